@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, packing, quality_rules
 
 QUERIES = {
+    "op1_cube_mix": mixing.op1_cube_mix,
     "op6_line_cleaning": quality_rules.op6_line_cleaning,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
 
 SQL = {
