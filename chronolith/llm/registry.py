@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, sharding
+from . import jaccard_join, mixing, packing, quality_rules, sharding
 
 QUERIES = {
     "op1_cube_mix": mixing.op1_cube_mix,
     "op5_label_propagation": sharding.op5_label_propagation,
     "op6_line_cleaning": quality_rules.op6_line_cleaning,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op10_partition_jaccard": jaccard_join.op10_partition_jaccard,
 }
 
 SQL = {
