@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, packing, quality_rules, sharding
+from . import jaccard_join, mixing, packing, pii, quality_rules, sharding
 
 QUERIES = {
     "op1_cube_mix": mixing.op1_cube_mix,
+    "op4_feistel_pii": pii.op4_feistel_pii,
     "op5_label_propagation": sharding.op5_label_propagation,
     "op6_line_cleaning": quality_rules.op6_line_cleaning,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
