@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, packing, pii, quality_rules, sharding
+from . import hamming_search, jaccard_join, license_scan, mixing, packing, pii, quality_rules, sharding
 
 QUERIES = {
     "op1_cube_mix": mixing.op1_cube_mix,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_feistel_pii": pii.op4_feistel_pii,
     "op5_label_propagation": sharding.op5_label_propagation,
     "op6_line_cleaning": quality_rules.op6_line_cleaning,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op9_multi_index_hashing": hamming_search.op9_multi_index_hashing,
     "op10_partition_jaccard": jaccard_join.op10_partition_jaccard,
 }
 
 SQL = {
     "op6_line_cleaning": quality_rules.SQL,
+    "op9_multi_index_hashing": hamming_search.SQL,
 }
