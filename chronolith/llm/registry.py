@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import hamming_search, jaccard_join, license_scan, mixing, packing, pii, quality_rules, sharding
+from . import compression_quality, hamming_search, jaccard_join, license_scan, mixing, packing, pii, quality_rules, sharding
 
 QUERIES = {
     "op1_cube_mix": mixing.op1_cube_mix,
+    "op2_compression_quality": compression_quality.op2_compression_quality,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_feistel_pii": pii.op4_feistel_pii,
     "op5_label_propagation": sharding.op5_label_propagation,
