@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, hamming_search, jaccard_join, license_scan, mixing, packing, pii, quality_rules, sharding
+from . import compression_quality, hamming_search, html_extract, jaccard_join, license_scan, mixing, packing, pii, quality_rules, sharding
 
 QUERIES = {
     "op1_cube_mix": mixing.op1_cube_mix,
@@ -12,11 +12,13 @@ QUERIES = {
     "op5_label_propagation": sharding.op5_label_propagation,
     "op6_line_cleaning": quality_rules.op6_line_cleaning,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_recurrent_labeller": html_extract.op8_recurrent_labeller,
     "op9_multi_index_hashing": hamming_search.op9_multi_index_hashing,
     "op10_partition_jaccard": jaccard_join.op10_partition_jaccard,
 }
 
 SQL = {
     "op6_line_cleaning": quality_rules.SQL,
+    "op8_recurrent_labeller": html_extract.op8_recurrent_labeller,
     "op9_multi_index_hashing": hamming_search.SQL,
 }
