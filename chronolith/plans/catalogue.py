@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx, values as vl
 from ..operators import diagnostics as dg, ingest as ig, lifecycle as lc, routines as rt, search as se, sessions as ss
+from ..functions import trees as tr
 from ..operators.linedelta import line_delta
+from ..session import shared_dir
+from ..streaming import streams as st
 from .views import FRAMES_SQL, IDLE, NUMBERED_SQL, USER, activity, frames, rows, table, vectors
 
 QUERIES: dict = {}
@@ -588,3 +594,80 @@ def session_iou(spark, d):
 @query("SELECT event_type AS app_name, list_sort(list(value))[greatest(CAST(floor(count(*) * 0.95) AS BIGINT) - 1, 0) + 1] AS p95, count(*) AS n FROM events GROUP BY 1")
 def p95_index(spark, d):
     return rt.p95_by_index(activity(spark, d), "app_name", "value", "p95")
+
+
+# --- trees ---------------------------------------------------------------------------------------------------------------
+
+NESTED = {
+    "role": "AXWindow", "title": "notes.md", "children": [
+        {"role": "AXToolbar", "children": [{"role": "AXButton", "title": "Back"}, {"role": "AXStaticText", "value": "Docs"}]},
+        {"role": "AXWebArea", "children": [{"role": "AXStaticText", "value": "Line one\nLine two"}, {"role": "AXTextField", "value": "secret", "onScreen": False}]},
+        {"role": "AXMenu", "children": [{"role": "AXMenuItem", "title": "Copy"}]},
+        {"role": "AXSecureTextField", "value": "hunter2", "children": [{"role": "AXStaticText", "value": "below"}]},
+        {"role": "AXButton", "title": "dropped"},
+    ],
+}
+FLAT = [
+    {"role": "AXWindow", "text": "Mail", "depth": 0}, {"role": "AXHeading", "text": "Inbox", "depth": 1}, {"role": "AXScrollArea", "depth": 1},
+    {"role": "AXStaticText", "text": "Hello", "depth": 2}, {"role": "AXSecureTextField", "text": "pw", "depth": 2}, {"role": "AXStaticText", "text": "x", "depth": 3}, {"role": "AXGroup", "text": "end", "depth": 1},
+]
+
+
+def _trees(spark) -> DataFrame:
+    return rows(spark, [(1, "notes", json.dumps(NESTED)), (2, None, json.dumps(FLAT)), (3, "t", "not json"), (4, "t", None)], "frame_id long, window_name string, accessibility_tree_json string")
+
+
+def _expected(columns: str, values: list[tuple]) -> str:
+    return f"SELECT * REPLACE (CAST(frame_id AS BIGINT) AS frame_id) FROM ({_values(values)}) AS t({columns})"
+
+
+@query(_expected("frame_id, text", [
+    (1, "[Window] notes.md\n[Nav] Back\n[Nav] Docs\n[Action] Copy\n[Body] Line one\n[Body] Line two\n[Body] below"),
+    (2, "[Window] Mail\n[Nav] Inbox\n[Body] Hello\n[Body] pw\n[Body] x\n[Body] end"), (3, ""), (4, ""),
+]))
+def tree_extract(spark, d):
+    t = _trees(spark)
+    return t.select("frame_id", tr.tree_text(F.col("accessibility_tree_json"), F.col("window_name")).alias("text"))
+
+
+@query(_expected("frame_id, n_roles, secure", [(1, 10, True), (2, 5, True), (3, 0, False), (4, 0, False)]))
+def tree_prune_json(spark, d):
+    secure = ["AXSecureTextField"]
+    t = _trees(spark).withColumn("pruned", tr.prune_json(F.col("accessibility_tree_json"), secure))
+    n = F.coalesce(F.regexp_count("pruned", F.lit('"role"')), F.lit(0))
+    return t.select("frame_id", n.alias("n_roles"), tr.holds_secure(F.col("accessibility_tree_json"), secure).alias("secure"))
+
+
+@query(_expected("frame_id, sort_order, role, depth, parent_order", [
+    (2, 0, "AXWindow", 0, None), (2, 1, "AXHeading", 1, 0), (2, 2, "AXScrollArea", 1, 0), (2, 3, "AXStaticText", 2, 2),
+    (2, 4, "AXSecureTextField", 2, 2), (2, 5, "AXStaticText", 3, 4), (2, 6, "AXGroup", 1, 0),
+]))
+def tree_to_elements(spark, d):
+    return tr.element_rows(_trees(spark).filter("frame_id = 2")).select("frame_id", "sort_order", "role", "depth", "parent_order")
+
+
+# --- streams -------------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, d, name: str) -> DataFrame:
+    """A table as a stream of the files of its name in the folder."""
+    schema = table(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+@query(SQL["session_window_equiv"])
+def stream_sessions_equals_batch(spark, d):
+    events = _stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("frame_timestamp"))
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = st.run_available(st.stream_sessions(events, USER, IDLE), path, "complete")
+    return out.select("user_id", us("started_at").alias("started_us"), "frames")
+
+
+@query(SQL["line_delta_batch"].replace("p.frame_id, p.lang, CAST(p.epoch AS BIGINT) AS epoch, ", "p.frame_id, p.lang AS context, CAST(p.epoch AS BIGINT) AS epoch, ").replace(", sha256(k.t) AS delta_hash", ""))
+def stream_line_delta_equals_batch(spark, d):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
+    events = _stream(spark, d, "events").select(F.col("event_id").alias("frame_id"), F.col("ts").cast("timestamp").alias("frame_timestamp"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("frame_id"), "lang", F.col("text").alias("extracted_text"))
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = st.run_available(st.stream_line_delta(events.join(docs, "frame_id"), "lang", IDLE), path)
+    return out.select("frame_id", "context", "epoch", "kept_lines", "delta_text")
