@@ -1,97 +1,127 @@
 r"""Exact top-k search over binary codes by incremental multi-index hashing (Norouzi, Punjani, Fleet 2012).
 
-A code (the signs of an embedding) is cut into m segments. If every segment value within r bits of the query's has been looked
-up, each code within m * (r + 1) - 1 bits has been found. So r grows from 0; each round probes the index for values at
-exactly r bits from the query's segments, verifies the distance of what it meets, and retires every query whose kth distance is
-covered. When r reaches the segment length all codes have been met, so the search always ends, and it is exact.
-
-Equal codes are one entry of the index with their k + 1 smallest ids, and equal query codes are searched once: vectors with
-thousands of copies cost no more than others. Segments are about log2(number of codes) bits, which keeps a
-value's list short at any size.
-
-Ties go to the smaller id. A query is not its own neighbour. Rows with a null id or embedding are left out; null or NaN elements count as
-not positive; embeddings of other lengths are cut or padded with zeros to `bits`. Rows repeated with one id are one. Empty
-tables give empty results.
+A code (the signs of an embedding, up to 64 of them) is cut into four segments. If every segment value within r bits of the query's has
+been looked up, each code within 4 * (r + 1) - 1 bits has been found. So r grows from 0: each round looks up the values at exactly
+r bits from the query's segments, verifies the distance of what it meets, and ends once the kth distance is covered. Where a radius has more
+values to look up than there are codes, all codes are verified instead, which covers every radius.
+
+Equal codes are one entry with their k + 1 smallest ids, and equal query codes are searched once: vectors with thousands of copies cost
+no more than others. The queries (a stated set) meet all codes in blocks: a task holds one part of the codes, with its four
+tables, and one part of the queries, both of bounded size, and returns the best of its part; the best over all parts are merged.
+
+Ties go to the smaller id. A query is not its own neighbour. Rows with a null id or embedding are left out; null or NaN elements
+count as not positive; embeddings of other lengths are cut or padded with zeros to 64. Of rows repeated with one id one stays. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
-import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialize
 
-
-def _segments(embedding: Column, bits: int, length: int) -> Column:
-    """The code of an embedding as integers of so many bits each."""
-    positive = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.coalesce(F.get(embedding, i) > 0, F.lit(False)) & ~F.coalesce(F.isnan(F.get(embedding, i)), F.lit(False)))
-    starts = F.sequence(F.lit(0), F.lit(bits - 1), F.lit(length))
-    return F.transform(
-        starts, lambda s: F.aggregate(F.slice(positive, s + 1, length), F.lit(0), lambda a, b: a * 2 + b.cast("int"))
-    )
-
-
-def _distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def masks(length: int, radius: int) -> list[int]:
-    return [sum(1 << i for i in c) for c in itertools.combinations(range(length), radius)]
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) -> DataFrame:
+BITS, SEGMENT = 64, 16
+#: Codes and queries of a block: at least the first, at most the second, in between a 64th of all.
+CODES, QUERIES = (1 << 14, 1 << 18), (1 << 9, 1 << 13)
+
+
+def code(embedding: Column) -> Column:
+    """The signs of an embedding as the bits of a long."""
+    positive = lambda i: F.coalesce((F.get(embedding, i) > 0) & ~F.isnan(F.get(embedding, i)), F.lit(False))
+    bit = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.when(positive(i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+@functools.cache
+def masks(radius: int) -> np.ndarray:
+    """All segment values with so many bits."""
+    return np.array([sum(1 << i for i in c) for c in itertools.combinations(range(SEGMENT), radius)], np.int64)
+
+
+class MultiIndex:
+    """Tables of a part of the codes, one for each segment."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes.view(np.uint64)
+        self.tables = []
+        for j in range(BITS // SEGMENT):
+            value = ((self.codes >> np.uint64(j * SEGMENT)) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)
+            starts = np.concatenate(([0], np.cumsum(np.bincount(value, minlength=1 << SEGMENT))))
+            self.tables.append((np.argsort(value, kind="stable"), starts))
+
+    def _met(self, query: int, radius: int) -> np.ndarray:
+        """Places of the codes with a segment at exactly this distance."""
+        found = []
+        for j, (order, starts) in enumerate(self.tables):
+            values = masks(radius) ^ ((query >> (j * SEGMENT)) & ((1 << SEGMENT) - 1))
+            low, n = starts[values], starts[values + 1] - starts[values]
+            low, n = low[n > 0], n[n > 0]
+            if len(n):
+                found.append(order[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def nearest(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, distances) of the k nearest codes and all that tie with the kth."""
+        q = np.uint64(query)
+        seen = np.zeros(0, np.int64)
+        for radius in range(SEGMENT + 1):
+            if radius == SEGMENT or len(masks(radius)) * len(self.tables) > len(self.codes):
+                seen, covered = np.arange(len(self.codes)), BITS
+            else:
+                seen, covered = np.union1d(seen, self._met(query, radius)), len(self.tables) * (radius + 1) - 1
+            distance = np.bitwise_count(self.codes[seen] ^ q).astype(np.int64)
+            kth = np.partition(distance, k - 1)[k - 1] if len(distance) >= k else BITS
+            if kth <= covered:
+                break
+        best = distance <= kth
+        return seen[best], distance[best]
+
+
+def _block(n: int, bounds: tuple[int, int]) -> int:
+    """How many blocks n rows make."""
+    return max(1, -(-n // min(max(n // 64, bounds[0]), bounds[1])))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, neighbor_id, distance, rank) for queries and vectors given as (id, embedding)."""
-    spark = vectors.sparkSession
-    known = vectors.filter("id IS NOT NULL AND embedding IS NOT NULL").select(F.col("id").cast("long"), _segments(F.col("embedding"), bits, 8).alias("bytes"))
-    known = materialize(known.dropDuplicates(["id"]), "codes")
-    by_code = W.partitionBy("bytes").orderBy("id")
-    few = known.withColumn("_r", F.row_number().over(by_code)).filter(F.col("_r") <= k + 1)  # limited before the shuffle too
-    classes = few.groupBy("bytes").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    total = known.select("bytes").distinct().count()
-    length = max(8, min(16, int(math.log2(max(total, 2)))))
-    m = -(-bits // length)
-
-    def resegmented(code: Column) -> Column:
-        digits = F.array_join(F.transform(code, lambda x: F.lpad(F.bin(x), 8, "0")), "")
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(bits - 1), F.lit(length)), lambda s: F.conv(F.substr(digits, s + 1, F.lit(length)), 2, 10).cast("int")
-        )
-
-    classes = materialize(classes.select(resegmented(F.col("bytes")).alias("code"), "ids", F.size("ids").alias("n")), "classes")
-    index = classes.select(F.posexplode("code").alias("segment", "value"), "code", "n")
-    asked = queries.filter("id IS NOT NULL AND embedding IS NOT NULL").select(
-        F.col("id").cast("long").alias("query_id"), resegmented(_segments(F.col("embedding"), bits, 8)).alias("query")
-    )
-    asked = materialize(asked.dropDuplicates(["query_id"]), "queries")
-    open_ = materialize(asked.select("query").distinct(), "open")
-    found, done = None, None
-    by_query = W.partitionBy("query").orderBy("distance").rangeBetween(W.unboundedPreceding, W.currentRow)
-    for radius in range(length + 1):
-        at = F.explode(F.array(*[F.lit(x) for x in masks(length, radius)]))
-        probes = open_.select("query", F.posexplode("query").alias("segment", "value")).select("query", "segment", "value", at.alias("mask"))
-        probes = probes.select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).select("query", "code", "n").distinct()
-        met = met.withColumn("distance", _distance(F.col("query"), F.col("code")))
-        met = met if found is None else found.unionByName(met).distinct()
-        reached = met.withColumn("have", F.sum("n").over(by_query)).withColumn("kth", F.min(F.when(F.col("have") > k, F.col("distance"))).over(W.partitionBy("query")))
-        met = materialize(reached.filter(F.col("kth").isNull() | (F.col("distance") <= F.col("kth"))).drop("have"), "found")
-        covered = m * (radius + 1) - 1 if radius < length else bits
-        ended = met.filter(F.col("kth") <= covered) if radius < length else met
-        part = ended.select("query", "code", "distance")
-        done = part if done is None else done.unionByName(part)
-        open_ = materialize(open_.join(ended.select("query").distinct(), "query", "left_anti"), "open")
-        found = met.drop("kth").join(open_, "query", "left_semi")
-        if open_.isEmpty():
-            break
-    best = done.join(classes.select("code", "ids"), "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
-    best = best.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbor_id"))).filter(F.col("_r") <= k + 1)
-    lists = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor_id"))).alias("best"))
-    own = asked.join(lists, "query").select("query_id", F.slice(F.filter("best", lambda x: x["neighbor_id"] != F.col("query_id")), 1, k).alias("best"))
+    coded = lambda df: df.filter("id IS NOT NULL AND embedding IS NOT NULL").select(F.col("id").cast("long"), code(F.col("embedding")).alias("code")).dropDuplicates(["id"])
+    by_code = W.partitionBy("code").orderBy("id")
+    few = coded(vectors).withColumn("_r", F.row_number().over(by_code)).filter(F.col("_r") <= k + 1)  # limited before the shuffle too
+    classes = materialize(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "classes")
+    asked = materialize(coded(queries).withColumnRenamed("id", "query_id"), "queries")
+    wanted = asked.select(F.col("code").alias("query")).distinct()
+    parts, blocks = _block(classes.count(), CODES), _block(asked.count(), QUERIES)
+
+    index = classes.select("code", F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    probes = wanted.select("query", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def run(codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        values = codes["code"].to_numpy(np.int64)
+        out = {"query": [], "code": [], "distance": []}
+        if len(values) and len(queries):
+            table = MultiIndex(values)
+            for query in queries["query"].tolist():
+                at, distance = table.nearest(query & ((1 << BITS) - 1), k + 1)
+                out["query"].append(np.full(len(at), query, np.int64))
+                out["code"].append(values[at])
+                out["distance"].append(distance)
+        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()})
+
+    grouped = index.groupBy("part", "block").cogroup(probes.groupBy("part", "block"))
+    met = grouped.applyInPandas(run, "query long, code long, distance int")
+    # of codes that tie, those with the smallest ids count: each stands for its smallest one, then all ids of the best codes compete
+    by_query = W.partitionBy("query")
+    best = met.join(classes, "code").withColumn("_r", F.row_number().over(by_query.orderBy("distance", F.col("ids")[0]))).filter(F.col("_r") <= k + 1)
+    lists = best.select("query", "distance", F.explode("ids").alias("id")).groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "id"))), 1, k + 1).alias("best"))
+    own = asked.join(lists, asked["code"] == lists["query"]).select("query_id", F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k).alias("best"))
     return own.select("query_id", F.posexplode("best").alias("at", "b")).select(
-        "query_id", F.col("b.neighbor_id").alias("neighbor_id"), F.col("b.distance").alias("distance"), (F.col("at") + 1).alias("rank")
+        "query_id", F.col("b.id").alias("neighbor_id"), F.col("b.distance").alias("distance"), (F.col("at") + 1).alias("rank")
     )
 
 

@@ -14,7 +14,7 @@ have smaller partners there.
 So every linked pair meets in some index entry, whatever the counts are; counts decide only the cost.
 
 Equal sets are one class from the start. In each entry the classes are compared with one hub, then components are formed, and what
-still spans components is compared pair by pair, so that groups of near copies never expand into all pairs. Pairs are
+still spans components is compared within tasks, by sizes and parity sketches (which never rule out a link), so that groups of near copies never expand into all pairs. Pairs are
 verified on the exact sets of their whole texts.
 
 Null and empty texts have no set and stay alone. Rows with a null doc_id take part; a component's id is its smallest non-null
@@ -47,10 +47,14 @@ def apart(a, b):
     return (a + b) // 7
 
 
+#: Segments of a scheme for each one that a pair may lose. More of them leave more choice of cheap ones; fewer make each rarer.
+CHOICE = 4
+
+
 def segments_of(band):
-    """How many segments a band's scheme has: a quarter more than the most a set of the band can lose, and 4."""
+    """How many segments a band's scheme has."""
     top = _TOP[band]
-    return (apart(top, top * 4 // 3) + 1) * 5 // 4 + 4
+    return (apart(top, top * 4 // 3) + 1) * CHOICE + 4
 
 
 class Entries:
@@ -124,8 +128,27 @@ def _classes(hashes: np.ndarray, of: np.ndarray, texts: int) -> tuple[np.ndarray
     return n, marks
 
 
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the parity sketch of a set: the power of two from twice its size on, 64 at least."""
+    return 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+
+
+def _sketches(hashes: np.ndarray, of: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Parity sketches: bit i is the parity of how many tokens fall into bucket i. Sets that differ in d tokens differ in d bits at most."""
+    out, start = [], 0
+    spread = mix(hashes, 11)
+    for size, bits in zip(n.tolist(), sketch_bits(n).tolist(), strict=True):
+        if not size:
+            out.append(np.zeros(0, np.int64))
+            continue
+        odd = np.bincount((spread[start : start + size] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+        start += size
+    return out
+
+
 def profiled(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, class) of each document, and rows (bucket, count) for the cost of entries."""
+    """(doc_id, key, n, class, sketch) of each document, and rows (bucket, count) for the cost of entries."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -134,11 +157,11 @@ def profiled(docs: DataFrame) -> DataFrame:
             for a, b, hashes, of in shingle_sets(batch["text"].tolist()):
                 n, marks = _classes(hashes, of, b - a)
                 counts += Entries(hashes, of, n).counted()
-                yield ids.iloc[a:b].assign(n=n, **{"class": marks.view(np.int64)}, bucket=None, count=None)
+                yield ids.iloc[a:b].assign(n=n, **{"class": marks.view(np.int64)}, sketch=_sketches(hashes, of, n), bucket=None, count=None)
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"doc_id": None, "key": None, "n": None, "class": None, "bucket": used, "count": counts[used]})
+        yield pd.DataFrame({"doc_id": None, "key": None, "n": None, "class": None, "sketch": None, "bucket": used, "count": counts[used]})
 
-    return docs.select("doc_id", "key", "text").mapInPandas(run, "doc_id long, key long, n long, class long, bucket int, count long")
+    return docs.select("doc_id", "key", "text").mapInPandas(run, "doc_id long, key long, n long, class long, sketch array<bigint>, bucket int, count long")
 
 
 def indexed(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -164,21 +187,120 @@ def indexed(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 GROUP = 256
+#: Up to so many pairs (some 10 MB) go to the texts by broadcast; beyond it, texts and pairs are shuffled.
+BROADCAST_PAIRS = 100_000
+
+
+def plausible(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule a link out: they differ in at most as many bits as linked sets differ in tokens.
+
+    A sketch twice as long as the other is folded first: bit i and bit i + half make one parity.
+    """
+    left = first.select(F.col("class").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("s"))
+    right = first.select(F.col("class").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("t"))
+
+    def folded(x, y):
+        half = F.size(y)
+        return F.when(F.size(x) > half, F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    differ = F.aggregate(F.zip_with(folded(F.col("s"), F.col("t")), folded(F.col("t"), F.col("s")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+    return pairs.join(left, "a").join(right, "b").filter(differ <= F.floor((F.col("an") + F.col("bn")) / 7)).select("a", "b")
+
+
+#: Members of one hub are compared in blocks of about this many, each pair of blocks in its own group.
+BLOCK = 512
+
+
+def _folded(rows: np.ndarray) -> np.ndarray:
+    half = rows.shape[1] // 2
+    return rows[:, :half] ^ rows[:, half:]
+
+
+def _crossing(n: np.ndarray, component: np.ndarray, side: np.ndarray, sketches: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of rows in different components, on different sides if there are two, that sizes and sketches don't rule out."""
+    size = np.array([len(x) for x in sketches])
+    by = {w: np.flatnonzero(size == w) for w in np.unique(size)}
+    by = {w: i[np.argsort(n[i], kind="stable")] for w, i in by.items()}
+    bits = {w: np.stack([sketches[k] for k in i]) for w, i in by.items()}
+    two = side.min() != side.max()
+    out = []
+    for w, own in by.items():
+        other = by.get(2 * w)
+        small = _folded(bits[2 * w]) if other is not None else None
+        for at, i in enumerate(own):
+            for where, rows, start in ((own, bits[w], at + 1), (other, small, 0)):
+                if where is None:
+                    continue
+                stop = np.searchsorted(n[where], n[i] * 4 // 3, "right")
+                low = max(start, np.searchsorted(n[where], -(-n[i] * 3 // 4), "left"))
+                if low >= stop:
+                    continue
+                j = where[low:stop]
+                keep = component[j] != component[i]
+                if two:
+                    keep &= side[j] != side[i]
+                if not keep.any():
+                    continue
+                differ = np.bitwise_count(rows[low:stop][keep] ^ bits[w][at]).sum(axis=1)
+                j = j[keep]
+                out += [(i, k) for k in j[differ <= (n[j] + n[i]) // 7]]
+    return out
+
+
+def crossing(members: DataFrame, first: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (hub, class, component) of one hub, in different components, that sizes and sketches don't rule out.
+
+    Compared in memory, block against block; only what passes leaves the task.
+    """
+    parts = shuffle_partitions(members.sparkSession)
+    many = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(many, "hub").withColumn("u", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = rows.join(first.select("class", "n", "sketch"), "class").withColumn("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("hub", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "u", "class", "component", "n", "sketch")
+    rows = rows.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def compared(group: list[pd.DataFrame]) -> pd.DataFrame:
+            g = pd.concat(group, ignore_index=True)
+            classes = g["class"].to_numpy()
+            found = _crossing(g["n"].to_numpy(), g["component"].to_numpy(), g["u"].to_numpy(), [np.asarray(x, np.int64).view(np.uint64) for x in g["sketch"]])
+            pairs = [(min(classes[a], classes[b]), max(classes[a], classes[b])) for a, b in found]
+            return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+        held, key = [], None
+        for batch in batches:
+            keys = batch[["hub", "i", "j"]].astype("int64").to_numpy()
+            start = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+            for lo, hi in zip(start, [*start[1:], len(batch)], strict=True):
+                own = tuple(keys[lo])
+                if key is not None and own != key:
+                    yield compared(held)
+                    held = []
+                key = own
+                held.append(batch.iloc[lo:hi])
+        if held:
+            yield compared(held)
+
+    return rows.mapInPandas(run, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) of the pairs of classes whose sets have a similarity of 3/4 or more.
 
-    first has (class, key): one document of each class, by doc_id or, where that is null, by a hash of its text. Texts travel to the pairs of class a, in groups of at
+    first has (class, key, n, sketch): one document of each class, by doc_id or, where that is null, by a hash of its text.
+    Callers leave out pairs that their sketches rule out: those never see a text. Texts travel to the pairs of class a, in groups of at
     most GROUP partners, so that a class with many partners is spread over tasks; each text of a comes along once a group.
     """
-    pairs = materialize(pairs.select("a", "b"), "pairs")
+    pairs = materialize(pairs, "pairs")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.col("b").alias("class"))
     left = many.select("a", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("g"), F.col("a").alias("class"))
     wanted = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
     places = wanted.groupBy("class").agg(F.collect_list(F.struct("a", "g", "side")).alias("places"))
-    texts = docs.select("key", "text").join(first.join(places, "class"), "key")
+    wanted = first.select("class", "key").join(places, "class")
+    if pairs.count() <= BROADCAST_PAIRS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select("key", "text").join(wanted, "key")
     sent = texts.select("class", "text", F.explode("places").alias("p")).select("p.*", "class", "text")
     sent = sent.repartition(shuffle_partitions(docs.sparkSession), "a", "g").sortWithinPartitions("a", "g", "side", "class")
 
@@ -211,11 +333,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     docs = docs.select(doc_id.alias("doc_id"), "text", F.coalesce(doc_id, F.xxhash64("text")).alias("key"))
     both = materialize(profiled(docs), "profiles")
-    profiles = both.filter("n IS NOT NULL").select("doc_id", "key", "n", "class")
+    profiles = both.filter("n IS NOT NULL").select("doc_id", "key", "n", "class", "sketch")
     counts = np.zeros(BUCKETS, np.int64)
     for r in both.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("c")).collect():  # BUCKETS rows at most
         counts[r["bucket"]] = r["c"]
-    first = profiles.filter("n > 0").groupBy("class").agg(F.min("key").alias("key"))
+    first = profiles.filter("n > 0").groupBy("class").agg(F.min_by(F.struct("key", "n", "sketch"), "key").alias("f")).select("class", "f.*")
+    first = materialize(first, "classes")
+    profiles = profiles.drop("sketch")
 
     by_entry = W.partitionBy("entry")
     entries = indexed(docs, counts).repartition(shuffle_partitions(docs.sparkSession), "entry").dropDuplicates(["entry", "class"])
@@ -225,17 +349,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     near = (F.col("n") * 4 >= F.col("hub.n") * 3) & (F.col("hub.n") * 4 >= F.col("n") * 3)
     star = shared.filter(near & (F.col("class") != F.col("hub.class"))).select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
-    edges = materialize(verified(docs, first, star), "links")
+    edges = materialize(verified(docs, first, plausible(star, first)), "links")
     found = components(edges)
 
-    # entries that still span components: all their pairs across components, but those with the hub, which are known
+    # entries that still span components: their members are compared across components, all members of one hub together
     labelled = shared.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     spans = labelled.withColumn("lo", F.min("component").over(by_entry)).withColumn("hi", F.max("component").over(by_entry))
-    spans = materialize(spans.filter((F.col("lo") < F.col("hi")) & (F.col("class") != F.col("hub.class"))).select("entry", "class", "n", "component"), "spans")
-    x, y = spans.alias("x"), spans.alias("y")
-    crossing = x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") * 4 >= F.col("y.n") * 3) & (F.col("y.n") * 4 >= F.col("x.n") * 3))
-    crossing = crossing.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    more = verified(docs, first, crossing)
+    spans = spans.filter((F.col("lo") < F.col("hi")) & (F.col("class") != F.col("hub.class")))  # pairs with the hub are known
+    members = materialize(spans.select(F.col("hub.class").alias("hub"), "class", "component").distinct(), "members")
+    more = verified(docs, first, crossing(members, first))
     found = components(edges.unionByName(more))
 
     classed = profiles.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))

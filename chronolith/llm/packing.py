@@ -17,10 +17,11 @@ Null texts are empty texts: one piece, the end token. Equal rows are separate do
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,34 +33,34 @@ CAPACITY = 1024
 END = 2
 #: How byte-level BPE vocabularies of this family part a text before they merge.
 PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED = 300_000
 
 
-class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes. Parts of texts repeat: their ids are kept, up to a bound."""
+def _bytes_of() -> dict[str, int]:
+    """The byte each character of a byte-level vocabulary stands for: printable Latin-1 itself, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __init__(self, path: str, cached: int = CACHED):
-        import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.parts = regex.compile(PARTS).findall
-        self.cached = cached
-        self.known: dict[str, bytes] = {}
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Token ids of a text by a byte-level BPE tokenizer file; strings of special tokens are ordinary text.
 
-    def __call__(self, text: str) -> bytes:
-        parts = self.parts(text)
-        known = self.known
-        try:
-            return b"".join([known[x] for x in parts])
-        except KeyError:
-            if len(known) > self.cached:
-                known.clear()
-            new = list({x for x in parts if x not in known})
-            for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[x] = np.asarray(e.ids, "<u4").tobytes()
-            return b"".join([known[x] for x in parts])
+    The file's vocabulary is merged by rank, as its ids count merges in their order; that is checked here, and
+    a tokenizer for which it doesn't hold is used as it is.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    model, byte = json.loads(tokenizer.to_str()), _bytes_of()
+    special = {t["content"] for t in model["added_tokens"]}
+    vocabulary = model["model"]["vocab"]
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["model"]["merges"]]
+    if model["normalizer"] is None and all(vocabulary[m] == 256 + i for i, m in enumerate(merged)):
+        ranks = {bytes(byte[c] for c in k): v for k, v in vocabulary.items() if k not in special}
+        return tiktoken.Encoding("byte-bpe", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -77,11 +78,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             import public_tokenizers
 
             path = public_tokenizers.path("byte_bpe_50k.json")
-        encode, tail, full = Encoder(path), np.asarray([end], "<u4").tobytes(), 4 * capacity
+        encode, full = encoder(path), 4 * capacity
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                ids = encode(text or "") + tail
+                ids = np.asarray([*encode(text or ""), end], "<u4").tobytes()
                 first = len(ids) % full or full
                 at, stop, piece = 0, first, 0
                 while at < len(ids):
