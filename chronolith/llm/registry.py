@@ -19,6 +19,5 @@ QUERIES = {
 
 SQL = {
     "op6_line_cleaning": quality_rules.SQL,
-    "op8_recurrent_labeller": html_extract.op8_recurrent_labeller,
     "op9_multi_index_hashing": hamming_search.SQL,
 }
