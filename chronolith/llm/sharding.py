@@ -20,6 +20,8 @@ from ..session import materialize, ranked
 
 SHARDS = 24
 ROUNDS = 12
+#: A shard is closed to label moves once less than one part in so many of it is free.
+NEARLY_FULL = 16
 
 
 def _unit(*cols) -> Column:
@@ -35,7 +37,9 @@ def propagate(cells: DataFrame, shards: int, room: int, rounds: int = ROUNDS) ->
     """
     cells = materialize(cells, "cells")
     for number in range(rounds):
-        loads = cells.groupBy("shard").agg(F.sum("n").alias("load")).select("shard", F.greatest(F.lit(room) - F.col("load"), F.lit(0)).alias("free"))
+        # a shard with next to no room left counts as full: all would want it and none could move there
+        loads = cells.groupBy("shard").agg((F.lit(room) - F.sum("n")).alias("free"))
+        loads = loads.withColumn("free", F.when(F.col("free") * NEARLY_FULL >= room, F.col("free")).otherwise(0))
         seen = cells.join(F.broadcast(loads), "shard")  # as many rows as there are shards
         by_key = W.partitionBy("key")
         best = F.max(F.when(F.col("free") > 0, F.struct("n", F.xxhash64("key", "shard").alias("tie"), "shard"))).over(by_key)
@@ -46,7 +50,7 @@ def propagate(cells: DataFrame, shards: int, room: int, rounds: int = ROUNDS) ->
         quota = quota.join(F.broadcast(loads.withColumnRenamed("shard", "to")), "to").select("to", (F.col("free") / F.col("wanted")).alias("part"))
         offered = asked.join(F.broadcast(quota), "to", "left")
         draw = _unit("key", "shard", F.lit(number))
-        cut = F.floor(F.col("n") * F.least(F.col("part"), F.lit(1.0)))
+        cut = F.least(F.col("n"), F.floor(F.col("n") * F.least(F.col("part"), F.lit(1.0)) + draw))
         moved = F.when(F.col("to").isNull(), 0).when(F.col("n") * 8 > room, cut).when(draw < F.col("part"), F.col("n")).otherwise(0)
         step = materialize(offered.withColumn("moved", moved.cast("long")), "cells-moved")
         if step.filter("moved > 0").isEmpty():
