@@ -56,7 +56,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         .withColumn("open", F.sum("weight").over(one) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", F.col("rest") / F.col("open"))
         .withColumn("full", F.col("ratio") <= F.col("level"))
-        .withColumn("level", F.min(F.when(~F.col("full"), F.struct("place", "level"))).over(one)["level"])
+        .withColumn("level", F.min(F.when(~F.col("full"), F.struct("ratio", "place", "level"))).over(one)["level"])
         .withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight"))))
         .select("source", "source_size", "target")
     )
