@@ -129,8 +129,8 @@ def _classes(hashes: np.ndarray, of: np.ndarray, texts: int) -> tuple[np.ndarray
 
 
 def sketch_bits(n: np.ndarray) -> np.ndarray:
-    """Bits of the parity sketch of a set: the power of two from twice its size on, 64 at least."""
-    return 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    """Bits of the parity sketch of a set: the power of two from its size on, 64 at least."""
+    return 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
 
 
 def _sketches(hashes: np.ndarray, of: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -353,10 +353,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     found = components(edges)
 
     # entries that still span components: their members are compared across components, all members of one hub together
-    labelled = shared.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    spans = labelled.withColumn("lo", F.min("component").over(by_entry)).withColumn("hi", F.max("component").over(by_entry))
-    spans = spans.filter((F.col("lo") < F.col("hi")) & (F.col("class") != F.col("hub.class")))  # pairs with the hub are known
-    members = materialize(spans.select(F.col("hub.class").alias("hub"), "class", "component").distinct(), "members")
+    # (the hub, the least class of its entry, isn't shuffled along, nor is a component where a class has no link)
+    labelled = shared.select("entry", "class").join(found.withColumnRenamed("node", "class"), "class", "left")
+    own = F.coalesce("component", "class")
+    spans = labelled.select("class", "component", F.min("class").over(by_entry).alias("hub"), F.min(own).over(by_entry).alias("lo"), F.max(own).over(by_entry).alias("hi"))
+    spans = spans.filter((F.col("lo") < F.col("hi")) & (F.col("class") != F.col("hub")))  # pairs with the hub are known
+    members = materialize(spans.select("hub", "class", own.alias("component")).distinct(), "members")
     more = verified(docs, first, crossing(members, first))
     found = components(edges.unionByName(more))
 
