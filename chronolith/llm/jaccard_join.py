@@ -129,8 +129,8 @@ def _classes(hashes: np.ndarray, of: np.ndarray, texts: int) -> tuple[np.ndarray
 
 
 def sketch_bits(n: np.ndarray) -> np.ndarray:
-    """Bits of the parity sketch of a set: the power of two from its size on, 64 at least."""
-    return 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+    """Bits of the parity sketch of a set: the power of two from twice its size on, 64 at least."""
+    return 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
 
 
 def _sketches(hashes: np.ndarray, of: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -207,8 +207,9 @@ def plausible(pairs: DataFrame, first: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(differ <= F.floor((F.col("an") + F.col("bn")) / 7)).select("a", "b")
 
 
-#: Members of one hub are compared in blocks of about this many, each pair of blocks in its own group.
-BLOCK = 512
+#: Members of one hub are compared in blocks of about this many, each pair of blocks in its own group. A member goes to as many groups
+#: as its hub has blocks; a group's sketches are a few megabytes.
+BLOCK = 2048
 
 
 def _folded(rows: np.ndarray) -> np.ndarray:
