@@ -295,7 +295,7 @@ def page(r: random.Random) -> tuple[str, list[bool]]:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 1500, epochs: int = 8, seed: int = 20240229, batch: int = 32) -> Labeller:
+def trained(pages: int = 2500, epochs: int = 8, seed: int = 20240229, batch: int = 32) -> Labeller:
     """The labeller, trained on so many made pages with Adam."""
     r = random.Random(seed)
     made = sorted((page(r) for _ in range(pages)), key=lambda p: len(p[1]))
