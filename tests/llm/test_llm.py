@@ -345,7 +345,7 @@ def test_compression_classifier(spark, no_docs):
 
 @pytest.fixture(scope="module")
 def labeller():
-    return html_model.trained(400, 6)
+    return html_model.trained()
 
 
 def test_labeller_on_unseen_pages(labeller):
