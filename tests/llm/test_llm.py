@@ -198,6 +198,14 @@ def test_a_key_larger_than_a_shard_is_split(spark):
     assert (got.groupby("shard").size() == 20).all() and got[got["key"] == 1]["shard"].nunique() <= 7
 
 
+def test_copies_stay_together_where_nearly_all_rows_have_one(spark):
+    """Full shards exchange rows: with 97 % of the rows in groups of 3, the rest is not enough to move them one by one."""
+    df = spark.range(2400).select("id", F.when(F.col("id") < 2328, F.floor(F.col("id") / 3)).otherwise(F.col("id")).alias("key"))
+    got = sharding.sharded(df, 6).toPandas()
+    assert (got.groupby("shard").size() == 400).all()
+    assert (got[got["id"] < 2328].groupby("key")["shard"].nunique() == 1).mean() >= 0.95
+
+
 # --- 10 Jaccard join
 
 
@@ -340,6 +348,7 @@ def test_compression_classifier(spark, no_docs):
     assert compression_quality.scored(no_docs, none).count() == 0
 
 
+
 # --- 8 HTML
 
 
@@ -410,6 +419,7 @@ def test_search_equals_brute_force(spark, no_docs):
 # --- pipeline
 
 
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline as cp
 
