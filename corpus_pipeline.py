@@ -21,8 +21,11 @@ BROADCAST_ROWS = 500_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row: where it stands in the Parquet files, the same at every read of them."""
-    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    """docs with a number for each row: its file and its place there, however a read of the Parquet files is cut into partitions."""
+    files = docs.select(F.col("_metadata.file_path").alias("file")).distinct().collect()  # one row a file
+    numbers = docs.sparkSession.createDataFrame([(r["file"], i << 40) for i, r in enumerate(sorted(files))], "file string, first long")
+    placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index"))
+    return placed.join(F.broadcast(numbers), "file").select(*COLUMNS, (F.col("first") + F.col("index")).alias("row"))
 
 
 def _decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:

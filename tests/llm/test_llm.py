@@ -419,6 +419,20 @@ def test_search_equals_brute_force(spark, no_docs):
 # --- pipeline
 
 
+def test_rows_keep_their_numbers_however_files_are_read(spark, docs, tmp_path):
+    import corpus_pipeline as cp
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    for size in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            numbered = cp._numbered(spark.read.parquet(str(tmp_path / "documents.parquet")))
+            seen.append(sorted((r["row"], r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in numbered.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and len({r[0] for r in seen[0]}) == docs.count()
+
 
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline as cp
