@@ -5,7 +5,8 @@ either compresses at all (repetition), go through a logistic calibration fitted
 the score is the chance that the label is 1.
 
 Learning uses a bounded sample of the labelled rows: the ROWS of each class and purpose that come first by hash of doc_id, up to
-CLASS_BYTES of text for each dictionary. Scoring reads every text whole, in tasks, with the two dictionaries (110 KB each).
+CLASS_BYTES of text for each dictionary. A row of the calibration weighs as many labelled rows as it stands for, so that the classes keep
+their true shares where the sample is smaller than the labels. Scoring reads every text whole, in tasks, with the two dictionaries (110 KB each).
 
 Null and empty texts have features of 0 and get a score like any other. Rows with labels other than 0 and 1, null ids
 or null texts teach nothing. If a class has no rows, all scores are the share of label 1 (0.5 without any label). Equal texts get equal scores.
@@ -82,13 +83,13 @@ def _dictionary(texts: list[str]) -> bytes | None:
         return b"".join(pieces)[-DICTIONARY:] or None
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (weights * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weights * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -98,8 +99,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
 def learned(labelled: DataFrame, docs: DataFrame, rows: int = ROWS) -> Model:
     """From labelled (doc_id, quality) and docs (doc_id, text). Half of the sample builds dictionaries, half calibrates."""
     known = labelled.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality", F.xxhash64("doc_id").alias("h"))
+    known = known.withColumn("part", F.pmod("h", F.lit(2)).cast("int"))
+    found = {(r["quality"], r["part"]): r["n"] for r in known.groupBy("quality", "part").agg(F.count("*").alias("n")).collect()}  # at most 4 rows
+    # how many labelled rows a sampled one stands for
+    stands = {k: n / min(n, rows) for k, n in found.items()}
     samples = [
-        known.filter((F.col("quality") == q) & (F.pmod("h", F.lit(2)) == part)).orderBy("h", "doc_id").limit(rows).withColumn("part", F.lit(part))
+        known.filter((F.col("quality") == q) & (F.col("part") == part)).orderBy("h", "doc_id").limit(rows)
         for q in (0, 1)
         for part in (0, 1)
     ]
@@ -109,7 +114,8 @@ def learned(labelled: DataFrame, docs: DataFrame, rows: int = ROWS) -> Model:
     sample = docs.join(F.broadcast(wanted), "doc_id").filter("text IS NOT NULL")  # at most 4 * rows wanted
     sample = sample.select("doc_id", "quality", "part", "text").orderBy("doc_id", "text").toPandas()
     own = {(q, p): sample[(sample["quality"] == q) & (sample["part"] == p)]["text"].tolist() for q in (0, 1) for p in (0, 1)}
-    share = float(sample["quality"].mean()) if len(sample) else 0.5
+    weights = np.array([stands[k] for k in zip(sample["quality"], sample["part"], strict=True)])
+    share = float(np.average(sample["quality"], weights=weights)) if len(sample) else 0.5
     bad, good = (_dictionary(own[q, 0]) for q in (0, 1))
     model = Model(bad, good, None, None, None, share)
     rest = own[0, 1] + own[1, 1]
@@ -118,7 +124,8 @@ def learned(labelled: DataFrame, docs: DataFrame, rows: int = ROWS) -> Model:
     x = model.features(rest)
     model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     y = np.repeat([0.0, 1.0], [len(own[0, 1]), len(own[1, 1])])
-    model.weights = _logistic((x - model.mean) / model.spread, y)
+    weights = np.repeat([stands[0, 1], stands[1, 1]], [len(own[0, 1]), len(own[1, 1])])
+    model.weights = _logistic((x - model.mean) / model.spread, y, weights / weights.mean())
     return model
 
 

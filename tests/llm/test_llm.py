@@ -348,6 +348,14 @@ def test_compression_classifier(spark, no_docs):
     assert compression_quality.scored(no_docs, none).count() == 0
 
 
+def test_scores_keep_the_class_shares_where_the_sample_is_bounded(spark):
+    """Texts say nothing of their label here: the mean score is the share of label 1, 7 of 8, and not that of the sample, one half."""
+    r = random.Random(5)
+    d = spark.createDataFrame([(i, prose(r, 60)) for i in range(800)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 > 0)) for i in range(800)], "doc_id long, quality int")
+    scores = compression_quality.scored(d, compression_quality.learned(labels, d, rows=30)).toPandas()["score"]
+    assert 0.8 <= scores.mean() <= 0.95
+
 
 # --- 8 HTML
 
