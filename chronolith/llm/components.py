@@ -11,8 +11,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the larger (large) or the smaller neighbours of each node to the smallest of them all."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = both if large else both.filter("b < a")
-    least = seen.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    hung = seen.join(least, "a")
+    least = materialize(seen.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
+    hung = seen.join(least, "a")  # a node with a third of all edges makes a skewed join, which AQE splits
     if large:
         return hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
     down = hung.select(F.col("b").alias("a"), F.col("m").alias("b"))

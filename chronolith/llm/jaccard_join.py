@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -35,10 +36,10 @@ from .components import components
 from .shingles import mix, shingle_sets
 
 BUCKETS = 1 << 16
-#: Upper ends of the size bands; each is (4/3)^3 times the one before.
+#: Upper ends of the size bands; each is ten times the one before, so that few sets are indexed under two bands.
 BANDS = [6]
 while BANDS[-1] < 1 << 40:
-    BANDS.append(int(BANDS[-1] * 64 / 27) + 1)
+    BANDS.append(BANDS[-1] * 10)
 _TOP = np.array(BANDS, np.int64)
 
 
@@ -129,8 +130,11 @@ def _classes(hashes: np.ndarray, of: np.ndarray, texts: int) -> tuple[np.ndarray
 
 
 def sketch_bits(n: np.ndarray) -> np.ndarray:
-    """Bits of the parity sketch of a set: the power of two from twice its size on, 64 at least."""
-    return 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    """Bits of the parity sketch of a set: the power of two from twice its size on, 64 at least; from 1,024 on, from its size on.
+
+    The share of bits that differ strays less from its mean in large sets, so fewer bits a token tell them apart.
+    """
+    return 1 << np.ceil(np.log2(np.maximum(np.minimum(2 * n, np.maximum(n, 1024)), 64))).astype(np.int64)
 
 
 def _sketches(hashes: np.ndarray, of: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -150,25 +154,38 @@ def _sketches(hashes: np.ndarray, of: np.ndarray, n: np.ndarray) -> list[np.ndar
 def profiled(docs: DataFrame) -> DataFrame:
     """(doc_id, key, n, class, sketch) of each document, and rows (bucket, count) for the cost of entries."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            ids = batch[["doc_id", "key"]].astype("Int64")
-            for a, b, hashes, of in shingle_sets(batch["text"].tolist()):
+            for a, b, hashes, of in shingle_sets(batch["text"].to_pylist()):
                 n, marks = _classes(hashes, of, b - a)
                 counts += Entries(hashes, of, n).counted()
-                yield ids.iloc[a:b].assign(n=n, **{"class": marks.view(np.int64)}, sketch=_sketches(hashes, of, n), bucket=None, count=None)
+                ids, nothing = batch.slice(a, b - a), pa.nulls(b - a)
+                sketches = pa.array(_sketches(hashes, of, n), pa.list_(pa.int64()))
+                columns = [ids["doc_id"], ids["key"], pa.array(n), pa.array(marks.view(np.int64)), sketches, nothing.cast(pa.int32()), nothing.cast(pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, PROFILE)
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"doc_id": None, "key": None, "n": None, "class": None, "sketch": None, "bucket": used, "count": counts[used]})
+        nothing = [pa.nulls(len(used), t) for t in (*[pa.int64()] * 4, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(used.astype(np.int32)), pa.array(counts[used])], PROFILE)
 
-    return docs.select("doc_id", "key", "text").mapInPandas(run, "doc_id long, key long, n long, class long, sketch array<bigint>, bucket int, count long")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n long, class long, sketch array<bigint>, bucket int, count long")
+
+
+PROFILE = ["doc_id", "key", "n", "class", "sketch", "bucket", "count"]
+#: Entries of a bucket that counts so many times the mean, and PART at least, are dealt over several tasks: one for so many.
+HOT, PART = 8, 1 << 12
 
 
 def indexed(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(entry, class, n): the index entries of each class, once for each task that meets it."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 512 KB, whatever the corpus
+    """(entry, class, part): the index entries of each class, once for each task that meets it.
+
+    part is 0 but for entries of buckets with a count far above the mean: those are spread over that many parts.
+    """
+    parts = np.maximum(1, (counts / max(PART, counts.mean() * HOT)).astype(np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast((counts, parts))  # 768 KB, whatever the corpus
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, parts = shared.value
         seen: set[int] = set()
         for batch in batches:
             for a, b, hashes, of in shingle_sets(batch["text"].tolist()):
@@ -180,10 +197,30 @@ def indexed(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                         fresh[i] = True
                 keep = fresh[of]
                 kept = np.where(fresh, n, 0)
-                sets, entries = Entries(hashes[keep], of[keep], kept).chosen(shared.value)
-                yield pd.DataFrame({"entry": entries.view(np.int64), "class": marks[sets].view(np.int64), "n": n[sets].astype("int32")})
-
-    return docs.select("text").mapInPandas(run, "entry long, class long, n int")
+                sets, entries = Entries(hashes[keep], of[keep], kept).chosen(counts)
+                split = parts[(entries % np.uint64(BUCKETS)).astype(np.int64)]
+                part = (mix(marks[sets], 12) % split.astype(np.uint64)).astype(np.int32)
+                part = np.where(split > 1, part + 1, 0).astype(np.int32)
+                yield pd.DataFrame({"entry": entries.view(np.int64), "class": marks[sets].view(np.int64), "part": part})
+
+    return docs.select("text").mapInPandas(run, "entry long, class long, part int")
+
+
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """(hub, class, more) of the classes that share an entry with a smaller one: hub is the least of the entry, more says whether it has
+    three classes or more. An entry that is dealt over parts gets the least of all of them."""
+    of_part = W.partitionBy("entry", "part")
+    known = entries.dropDuplicates().withColumn("hub", F.min("class").over(of_part)).withColumn("members", F.count("*").over(of_part))
+    known = known.filter((F.col("part") > 0) | ((F.col("members") > 1) & (F.col("class") != F.col("hub"))))
+    split = F.col("part") > 0
+    known = known.select("hub", "class", (F.col("members") > 2).alias("more"), F.when(split, F.col("entry")).alias("of"), F.when(split, F.col("members")).alias("members"))
+    known = materialize(known.groupBy("hub", "class", "of", "members").agg(F.max("more").alias("more")), "entries")
+    # a split entry: the least of its parts, and how many members it has in all
+    spread = known.filter("of IS NOT NULL")
+    whole = spread.filter("class = hub").groupBy("of").agg(F.min("hub").alias("hub"), F.sum("members").alias("members")).filter("members > 1")
+    spread = spread.select("of", "class").join(materialize(whole, "hot-entries"), "of").filter("class <> hub")
+    both = known.filter("of IS NULL").select("hub", "class", "more").unionByName(spread.select("hub", "class", (F.col("members") > 2).alias("more")))
+    return both.groupBy("hub", "class").agg(F.max("more").alias("more"))
 
 
 GROUP = 256
@@ -191,20 +228,60 @@ GROUP = 256
 BROADCAST_PAIRS = 100_000
 
 
-def plausible(pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches don't rule a link out: they differ in at most as many bits as linked sets differ in tokens.
+def _sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each group of rows, which arrive sorted by the keys."""
+    held, key = [], None
+
+    def joined() -> dict[str, np.ndarray]:
+        return held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+    for batch in batches:
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        own = np.stack([columns[k].astype(np.int64) for k in keys], axis=1)
+        start = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(axis=1)))) if len(batch) else []
+        for lo, hi in zip(start, [*start[1:], len(batch)], strict=True):
+            if held and tuple(own[lo]) != key:
+                yield joined()
+                held = []
+            key = tuple(own[lo])
+            held.append({c: v[lo:hi] for c, v in columns.items()})
+    if held:
+        yield joined()
 
-    A sketch twice as long as the other is folded first: bit i and bit i + half make one parity.
-    """
-    left = first.select(F.col("class").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("s"))
-    right = first.select(F.col("class").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("t"))
 
-    def folded(x, y):
-        half = F.size(y)
-        return F.when(F.size(x) > half, F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    """A sketch (or rows of sketches) at a smaller power of two: bit i and bit i + half make one parity."""
+    while x.shape[-1] > size:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
 
-    differ = F.aggregate(F.zip_with(folded(F.col("s"), F.col("t")), folded(F.col("t"), F.col("s")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
-    return pairs.join(left, "a").join(right, "b").filter(differ <= F.floor((F.col("an") + F.col("bn")) / 7)).select("a", "b")
+
+def dealt(pairs: DataFrame) -> DataFrame:
+    """(a, g, side, class): for each class a, its partners (side 1) in groups of at most about GROUP, and a itself (side 0) in each of them."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.col("b").alias("class"))
+    left = many.select("a", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("g"), F.col("a").alias("class"))
+    return left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule a link out: they differ in at most as many bits as linked sets differ in tokens."""
+    rows = dealt(pairs).join(sketches, "class").repartition(shuffle_partitions(pairs.sparkSession), "a", "g").sortWithinPartitions("a", "g", "side")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub, size = np.zeros(0, np.int64), 0
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for i, (side, n, sketch) in enumerate(zip(batch["side"].tolist(), batch["n"].tolist(), batch["sketch"].tolist(), strict=True)):
+                if side == 0:  # the first row of its group
+                    hub, size = sketch, n
+                else:
+                    bits = min(len(hub), len(sketch))
+                    keep[i] = np.bitwise_count(_fold(hub, bits) ^ _fold(sketch, bits)).sum() <= (size + n) // 7
+            yield batch.loc[keep, ["a", "class"]].set_axis(["a", "b"], axis=1)
+
+    return rows.mapInPandas(run, "a long, b long")
 
 
 #: Members of one hub are compared in blocks of about this many, each pair of blocks in its own group. A member goes to as many groups
@@ -212,11 +289,6 @@ def plausible(pairs: DataFrame, first: DataFrame) -> DataFrame:
 BLOCK = 2048
 
 
-def _folded(rows: np.ndarray) -> np.ndarray:
-    half = rows.shape[1] // 2
-    return rows[:, :half] ^ rows[:, half:]
-
-
 def _crossing(n: np.ndarray, component: np.ndarray, side: np.ndarray, sketches: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs of rows in different components, on different sides if there are two, that sizes and sketches don't rule out."""
     size = np.array([len(x) for x in sketches])
@@ -227,7 +299,7 @@ def _crossing(n: np.ndarray, component: np.ndarray, side: np.ndarray, sketches:
     out = []
     for w, own in by.items():
         other = by.get(2 * w)
-        small = _folded(bits[2 * w]) if other is not None else None
+        small = _fold(bits[2 * w], w) if other is not None else None
         for at, i in enumerate(own):
             for where, rows, start in ((own, bits[w], at + 1), (other, small, 0)):
                 if where is None:
@@ -248,39 +320,27 @@ def _crossing(n: np.ndarray, component: np.ndarray, side: np.ndarray, sketches:
     return out
 
 
-def crossing(members: DataFrame, first: DataFrame) -> DataFrame:
+def crossing(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of members (hub, class, component) of one hub, in different components, that sizes and sketches don't rule out.
 
     Compared in memory, block against block; only what passes leaves the task.
     """
     parts = shuffle_partitions(members.sparkSession)
-    many = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    many = materialize(members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "hubs")
     rows = members.join(many, "hub").withColumn("u", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    rows = rows.join(first.select("class", "n", "sketch"), "class").withColumn("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(sketches, "class").withColumn("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("hub", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "u", "class", "component", "n", "sketch")
     rows = rows.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def compared(group: list[pd.DataFrame]) -> pd.DataFrame:
-            g = pd.concat(group, ignore_index=True)
-            classes = g["class"].to_numpy()
-            found = _crossing(g["n"].to_numpy(), g["component"].to_numpy(), g["u"].to_numpy(), [np.asarray(x, np.int64).view(np.uint64) for x in g["sketch"]])
+        for g in _sorted_groups(batches, ["hub", "i", "j"]):
+            if g["component"].min() == g["component"].max():
+                continue
+            classes = g["class"]
+            found = _crossing(g["n"], g["component"], g["u"], list(g["sketch"]))
             pairs = [(min(classes[a], classes[b]), max(classes[a], classes[b])) for a, b in found]
-            return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-
-        held, key = [], None
-        for batch in batches:
-            keys = batch[["hub", "i", "j"]].astype("int64").to_numpy()
-            start = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-            for lo, hi in zip(start, [*start[1:], len(batch)], strict=True):
-                own = tuple(keys[lo])
-                if key is not None and own != key:
-                    yield compared(held)
-                    held = []
-                key = own
-                held.append(batch.iloc[lo:hi])
-        if held:
-            yield compared(held)
+            if pairs:
+                yield pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
     return rows.mapInPandas(run, "a long, b long").distinct()
 
@@ -288,21 +348,15 @@ def crossing(members: DataFrame, first: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) of the pairs of classes whose sets have a similarity of 3/4 or more.
 
-    first has (class, key, n, sketch): one document of each class, by doc_id or, where that is null, by a hash of its text.
+    first has (class, key): one document of each class, by doc_id or, where that is null, by a hash of its text.
     Callers leave out pairs that their sketches rule out: those never see a text. Texts travel to the pairs of class a, in groups of at
     most GROUP partners, so that a class with many partners is spread over tasks; each text of a comes along once a group.
     """
     pairs = materialize(pairs, "pairs")
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.col("b").alias("class"))
-    left = many.select("a", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("g"), F.col("a").alias("class"))
-    wanted = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    places = wanted.groupBy("class").agg(F.collect_list(F.struct("a", "g", "side")).alias("places"))
-    wanted = first.select("class", "key").join(places, "class")
+    wanted = dealt(pairs).join(first.select("class", "key"), "class")
     if pairs.count() <= BROADCAST_PAIRS:
         wanted = F.broadcast(wanted)
-    texts = docs.select("key", "text").join(wanted, "key")
-    sent = texts.select("class", "text", F.explode("places").alias("p")).select("p.*", "class", "text")
+    sent = docs.select("key", "text").join(wanted, "key").select("a", "g", "side", "class", "text")
     sent = sent.repartition(shuffle_partitions(docs.sparkSession), "a", "g").sortWithinPartitions("a", "g", "side", "class")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,41 +388,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     docs = docs.select(doc_id.alias("doc_id"), "text", F.coalesce(doc_id, F.xxhash64("text")).alias("key"))
     both = materialize(profiled(docs), "profiles")
-    profiles = both.filter("n IS NOT NULL").select("doc_id", "key", "n", "class", "sketch")
+    profiles = both.filter("n > 0").select("doc_id", "key", "n", "class")
     counts = np.zeros(BUCKETS, np.int64)
     for r in both.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("c")).collect():  # BUCKETS rows at most
         counts[r["bucket"]] = r["c"]
-    first = profiles.filter("n > 0").groupBy("class").agg(F.min_by(F.struct("key", "n", "sketch"), "key").alias("f")).select("class", "f.*")
-    first = materialize(first, "classes")
-    profiles = profiles.drop("sketch")
-
-    by_entry = W.partitionBy("entry")
-    entries = indexed(docs, counts).repartition(shuffle_partitions(docs.sparkSession), "entry").dropDuplicates(["entry", "class"])
-    hub = F.min(F.struct("class", "n")).over(by_entry)
-    shared = entries.withColumn("hub", hub).withColumn("last", F.max("class").over(by_entry)).filter(F.col("hub.class") < F.col("last"))
-    shared = materialize(shared.select("entry", "class", "n", "hub"), "entries")
-
-    near = (F.col("n") * 4 >= F.col("hub.n") * 3) & (F.col("hub.n") * 4 >= F.col("n") * 3)
-    star = shared.filter(near & (F.col("class") != F.col("hub.class"))).select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
-    edges = materialize(verified(docs, first, plausible(star, first)), "links")
+    first = materialize(profiles.groupBy("class").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
+    sketches = both.filter("n > 0").select("class", "n", "sketch").dropDuplicates(["class"])  # equal sets have equal sketches
+
+    pairs = materialize(shared_entries(indexed(docs, counts).repartition(shuffle_partitions(docs.sparkSession), "entry", "part")), "shared")
+    size = lambda name, n: first.select(F.col("class").alias(name), F.col("n").alias(n))
+    sized = pairs.select(F.col("hub").alias("a"), F.col("class").alias("b")).join(size("a", "an"), "a").join(size("b", "bn"), "b")
+    star = materialize(sized.filter("an * 4 >= bn * 3 AND bn * 4 >= an * 3").select("a", "b"), "star")
+    edges = materialize(verified(docs, first, plausible(star, sketches)), "links")
     found = components(edges)
 
-    # entries that still span components: their members are compared across components, all members of one hub together
-    # (the hub, the least class of its entry, isn't shuffled along, nor is a component where a class has no link)
-    labelled = shared.select("entry", "class").join(found.withColumnRenamed("node", "class"), "class", "left")
-    own = F.coalesce("component", "class")
-    spans = labelled.select("class", "component", F.min("class").over(by_entry).alias("hub"), F.min(own).over(by_entry).alias("lo"), F.max(own).over(by_entry).alias("hi"))
-    spans = spans.filter((F.col("lo") < F.col("hi")) & (F.col("class") != F.col("hub")))  # pairs with the hub are known
-    members = materialize(spans.select("hub", "class", own.alias("component")).distinct(), "members")
-    more = verified(docs, first, crossing(members, first))
+    # hubs whose other members (in entries of three classes or more) still span components: those members are compared across components
+    # (a class without a link is its own component); pairs with the hub are known
+    labelled = pairs.filter("more").select("hub", "class").join(found.withColumnRenamed("node", "class"), "class", "left")
+    labelled = materialize(labelled.withColumn("component", F.coalesce("component", "class")), "labelled")
+    spans = labelled.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("hub")
+    members = materialize(labelled.join(materialize(spans, "spans"), "hub"), "members")
+    more = verified(docs, first, crossing(members, sketches))
     found = components(edges.unionByName(more))
 
-    classed = profiles.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    classed = materialize(classed, "classed")
-    least = classed.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return classed.join(least, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    # the least doc_id of a class, then of its component, then back: one row a class, in joins whose large side AQE may split
+    classed = materialize(first.select("class", "least").join(found.withColumnRenamed("node", "class"), "class", "left"), "classed")
+    least = classed.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("all"))
+    least = materialize(least, "component-ids")
+    named = classed.join(least, "component", "left").select("class", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("all")).alias("component_id"))
+    named = materialize(named, "class-ids")
+    linked = profiles.join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked.unionByName(both.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op10_partition_jaccard(spark, sf_dir: str) -> DataFrame:
