@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Words are runs of anything but space and the five control characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -15,6 +15,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (in any case of letters), made from the given one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
