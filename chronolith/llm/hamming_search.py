@@ -1,23 +1,26 @@
 r"""Exact top-k search over binary codes by incremental multi-index hashing (Norouzi, Punjani, Fleet 2012).
 
-A code (the signs of an embedding, up to 64 of them) is cut into four segments. If every segment value within r bits of the query's has
-been looked up, each code within 4 * (r + 1) - 1 bits has been found. So r grows from 0: each round looks up the values at exactly
-r bits from the query's segments, verifies the distance of what it meets, and ends once the kth distance is covered. Where a radius has more
-values to look up than there are codes, all codes are verified instead, which covers every radius.
+A code (the signs of an embedding, of any length) is cut into m segments of about log2 of the number of codes bits. Steps t = m * a + j
+look up, for growing a and j from 0 to m - 1, the codes whose segment j is at exactly a bits from the query's. After step t each code within t
+bits of the query has been met: one that has not is over a bits away in segments 0 to j, and a bits or more in all others. What is met is verified, and the search ends
+once the kth distance is covered by t.
+
+A look-up goes over the segment values at that distance, or over the values that occur, whichever are fewer; only codes it finds are verified.
 
 Equal codes are one entry with their k + 1 smallest ids, and equal query codes are searched once: vectors with thousands of copies cost
-no more than others. The queries (a stated set) meet all codes in blocks: a task holds one part of the codes, with its four
+no more than others. The queries (a stated set) meet all codes in blocks: a task holds one part of the codes, with its
 tables, and one part of the queries, both of bounded size, and returns the best of its part; the best over all parts are merged.
 
 Ties go to the smaller id. A query is not its own neighbour. Rows with a null id or embedding are left out; null or NaN elements
-count as not positive; embeddings of other lengths are cut or padded with zeros to 64. Of rows repeated with one id one stays. Empty tables
-give empty results.
+count as not positive; shorter embeddings than the longest are padded with zeros. Of rows repeated with one id one stays (that of the least code). Empty tables
+give empty results. Other columns don't matter.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -26,61 +29,84 @@ from pyspark.sql import Window as W
 
 from ..session import materialize
 
-BITS, SEGMENT = 64, 16
+WORD = 64
 #: Codes and queries of a block: at least the first, at most the second, in between a 64th of all.
-CODES, QUERIES = (1 << 14, 1 << 18), (1 << 9, 1 << 13)
+CODES, QUERIES = (1 << 14, 1 << 20), (1 << 9, 1 << 15)
 
 
-def code(embedding: Column) -> Column:
-    """The signs of an embedding as the bits of a long."""
+def code(embedding: Column, words: int) -> Column:
+    """The signs of an embedding as the bits of so many longs."""
     positive = lambda i: F.coalesce((F.get(embedding, i) > 0) & ~F.isnan(F.get(embedding, i)), F.lit(False))
-    bit = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.when(positive(i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    word = lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(WORD - 1)), F.lit(0).cast("long"), lambda a, i: F.when(positive(w * WORD + i), a.bitwiseOR(bit(i))).otherwise(a))
+    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), word)
 
 
 @functools.cache
-def masks(radius: int) -> np.ndarray:
-    """All segment values with so many bits."""
-    return np.array([sum(1 << i for i in c) for c in itertools.combinations(range(SEGMENT), radius)], np.int64)
+def masks(length: int, radius: int) -> np.ndarray:
+    """All segment values of this length with so many bits."""
+    return np.array([sum(1 << i for i in c) for c in itertools.combinations(range(length), radius)], np.int64)
 
 
 class MultiIndex:
-    """Tables of a part of the codes, one for each segment."""
+    """Tables of a part of the codes (rows of 64-bit words), one for each segment: the values that occur, and the codes that have them."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes.view(np.uint64)
+        self.codes, self.bits = codes, codes.shape[1] * WORD
+        length = min(max(round(math.log2(max(len(codes), 2))), 4), 16)
+        m = -(-self.bits // length)
+        self.bounds = [(j * self.bits // m, (j + 1) * self.bits // m) for j in range(m)]
         self.tables = []
-        for j in range(BITS // SEGMENT):
-            value = ((self.codes >> np.uint64(j * SEGMENT)) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)
-            starts = np.concatenate(([0], np.cumsum(np.bincount(value, minlength=1 << SEGMENT))))
-            self.tables.append((np.argsort(value, kind="stable"), starts))
-
-    def _met(self, query: int, radius: int) -> np.ndarray:
-        """Places of the codes with a segment at exactly this distance."""
-        found = []
-        for j, (order, starts) in enumerate(self.tables):
-            values = masks(radius) ^ ((query >> (j * SEGMENT)) & ((1 << SEGMENT) - 1))
-            low, n = starts[values], starts[values + 1] - starts[values]
-            low, n = low[n > 0], n[n > 0]
-            if len(n):
-                found.append(order[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
-
-    def nearest(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, distances) of the k nearest codes and all that tie with the kth."""
-        q = np.uint64(query)
-        seen = np.zeros(0, np.int64)
-        for radius in range(SEGMENT + 1):
-            if radius == SEGMENT or len(masks(radius)) * len(self.tables) > len(self.codes):
-                seen, covered = np.arange(len(self.codes)), BITS
-            else:
-                seen, covered = np.union1d(seen, self._met(query, radius)), len(self.tables) * (radius + 1) - 1
-            distance = np.bitwise_count(self.codes[seen] ^ q).astype(np.int64)
-            kth = np.partition(distance, k - 1)[k - 1] if len(distance) >= k else BITS
-            if kth <= covered:
+        for lo, hi in self.bounds:
+            value = self._segment(codes, lo, hi)
+            order = np.argsort(value, kind="stable")
+            known, first = np.unique(value[order], return_index=True)
+            self.tables.append((order, known, first, np.diff(np.append(first, len(order)))))
+
+    @staticmethod
+    def _segment(codes: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        word, shift = divmod(lo, WORD)
+        value = codes[:, word] >> np.uint64(shift)
+        if shift and hi > (word + 1) * WORD:
+            value = value | (codes[:, word + 1] << np.uint64(WORD - shift))
+        return (value & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
+
+    def _met(self, value: int, j: int, radius: int) -> np.ndarray:
+        """Places of the codes whose segment j is at exactly this distance from the value."""
+        order, known, first, many = self.tables[j]
+        length = self.bounds[j][1] - self.bounds[j][0]
+        if math.comb(length, radius) < len(known):
+            wanted = masks(length, radius) ^ value
+            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            at = at[known[at] == wanted]
+        else:
+            at = np.flatnonzero(np.bitwise_count(known ^ value) == radius)
+        if not len(at):
+            return at
+        low, n = first[at], many[at]
+        return order[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+
+    def nearest(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(places, distances) of the k nearest codes and all that tie with the kth, and how many codes were verified."""
+        m = len(self.bounds)
+        values = [int(self._segment(query[None], lo, hi)[0]) for lo, hi in self.bounds]
+        fresh = np.ones(len(self.codes), bool)
+        places, distances, kth = [], [], self.bits
+        for step in range(m * (max(hi - lo for lo, hi in self.bounds) + 1)):
+            radius, j = divmod(step, m)
+            met = self._met(values[j], j, radius)
+            met = met[fresh[met]]
+            if len(met):
+                fresh[met] = False
+                places.append(met)
+                distances.append(np.bitwise_count(self.codes[met] ^ query).sum(axis=1).astype(np.int64))
+                have = np.concatenate(distances)
+                kth = np.partition(have, k - 1)[k - 1] if len(have) >= k else self.bits
+            if kth <= step:
                 break
+        at, distance = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, distances))
         best = distance <= kth
-        return seen[best], distance[best]
+        return at[best], distance[best], len(at)
 
 
 def _block(n: int, bounds: tuple[int, int]) -> int:
@@ -90,7 +116,10 @@ def _block(n: int, bounds: tuple[int, int]) -> int:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, neighbor_id, distance, rank) for queries and vectors given as (id, embedding)."""
-    coded = lambda df: df.filter("id IS NOT NULL AND embedding IS NOT NULL").select(F.col("id").cast("long"), code(F.col("embedding")).alias("code")).dropDuplicates(["id"])
+    known = "id IS NOT NULL AND embedding IS NOT NULL"
+    longest = vectors.filter(known).select(F.size("embedding").alias("n")).unionByName(queries.filter(known).select(F.size("embedding").alias("n")))
+    words = max(1, -(-(longest.agg(F.max("n")).first()[0] or 0) // WORD))
+    coded = lambda df: df.filter(known).select(F.col("id").cast("long"), code(F.col("embedding"), words).alias("code")).groupBy("id").agg(F.min("code").alias("code"))
     by_code = W.partitionBy("code").orderBy("id")
     few = coded(vectors).withColumn("_r", F.row_number().over(by_code)).filter(F.col("_r") <= k + 1)  # limited before the shuffle too
     classes = materialize(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "classes")
@@ -102,19 +131,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     probes = wanted.select("query", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def run(codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        values = codes["code"].to_numpy(np.int64)
         out = {"query": [], "code": [], "distance": []}
-        if len(values) and len(queries):
-            table = MultiIndex(values)
+        if len(codes) and len(queries):
+            values = np.stack(codes["code"].tolist())
+            table = MultiIndex(values.view(np.uint64))
             for query in queries["query"].tolist():
-                at, distance = table.nearest(query & ((1 << BITS) - 1), k + 1)
-                out["query"].append(np.full(len(at), query, np.int64))
-                out["code"].append(values[at])
-                out["distance"].append(distance)
-        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()})
+                at, distance, _ = table.nearest(query.view(np.uint64), k + 1)
+                out["query"] += [query] * len(at)
+                out["code"] += list(values[at])
+                out["distance"] += distance.tolist()
+        return pd.DataFrame(out)
 
     grouped = index.groupBy("part", "block").cogroup(probes.groupBy("part", "block"))
-    met = grouped.applyInPandas(run, "query long, code long, distance int")
+    met = grouped.applyInPandas(run, "query array<bigint>, code array<bigint>, distance int")
     # of codes that tie, those with the smallest ids count: each stands for its smallest one, then all ids of the best codes compete
     by_query = W.partitionBy("query")
     best = met.join(classes, "code").withColumn("_r", F.row_number().over(by_query.orderBy("distance", F.col("ids")[0]))).filter(F.col("_r") <= k + 1)
