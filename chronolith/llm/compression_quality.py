@@ -4,12 +4,13 @@ A text is like the class whose dictionary compresses it better. The normalised d
 either compresses at all (repetition), go through a logistic calibration fitted on labelled rows that built no dictionary:
 the score is the chance that the label is 1.
 
-Learning uses a bounded sample of the labelled rows: the ROWS of each class and purpose that come first by hash of doc_id, up to
-CLASS_BYTES of text for each dictionary. A row of the calibration weighs as many labelled rows as it stands for, so that the classes keep
-their true shares where the sample is smaller than the labels. Scoring reads every text whole, in tasks, with the two dictionaries (110 KB each).
+Learning uses a bounded sample of the labelled rows: the ROWS of each class and purpose that come first by hash of doc_id. The texts that build a
+dictionary end with the one that reaches CLASS_BYTES; no more than that reaches the driver. The calibration's features are computed in tasks, from whole texts. A row of
+the calibration weighs as many labelled rows as it stands for, so that the classes keep their true shares where the sample is smaller than the labels.
+Scoring reads every text whole, in tasks, with the two dictionaries (110 KB each), a text at a time, however long it is.
 
 Null and empty texts have features of 0 and get a score like any other. Rows with labels other than 0 and 1, null ids
-or null texts teach nothing. If a class has no rows, all scores are the share of label 1 (0.5 without any label). Equal texts get equal scores.
+or null texts teach nothing; of rows with one doc_id the least text does. If a class has no rows, all scores are the share of label 1 (0.5 without any label). Equal texts get equal scores.
 Other columns don't matter.
 """
 
@@ -20,7 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Window as W
+
+from ..session import materialize
 
 ROWS = 2500
 CLASS_BYTES = 6_000_000
@@ -112,19 +117,29 @@ def learned(labelled: DataFrame, docs: DataFrame, rows: int = ROWS) -> Model:
     for s in samples[1:]:
         wanted = wanted.unionByName(s)
     sample = docs.join(F.broadcast(wanted), "doc_id").filter("text IS NOT NULL")  # at most 4 * rows wanted
-    sample = sample.select("doc_id", "quality", "part", "text").orderBy("doc_id", "text").toPandas()
-    own = {(q, p): sample[(sample["quality"] == q) & (sample["part"] == p)]["text"].tolist() for q in (0, 1) for p in (0, 1)}
-    weights = np.array([stands[k] for k in zip(sample["quality"], sample["part"], strict=True)])
-    share = float(np.average(sample["quality"], weights=weights)) if len(sample) else 0.5
-    bad, good = (_dictionary(own[q, 0]) for q in (0, 1))
+    sample = materialize(sample.groupBy("doc_id", "h", "quality", "part").agg(F.min("text").alias("text")), "labelled-sample")
+    have = {(r["quality"], r["part"]): r["n"] for r in sample.groupBy("quality", "part").agg(F.count("*").alias("n")).collect()}
+    of_good = sum(n * stands[k] for k, n in have.items() if k[0] == 1)
+    share = float(of_good / sum(n * stands[k] for k, n in have.items())) if have else 0.5
+    if len(have) < 4:
+        return Model(None, None, None, None, None, share)
+    before = F.sum(F.octet_length("text")).over(W.partitionBy("quality").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1))
+    building = sample.filter("part = 0").withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < CLASS_BYTES)
+    building = building.select("quality", "h", "doc_id", F.substring("text", 1, CLASS_BYTES).alias("text")).orderBy("quality", "h", "doc_id").collect()
+    bad, good = (_dictionary([r["text"] for r in building if r["quality"] == q]) for q in (0, 1))
     model = Model(bad, good, None, None, None, share)
-    rest = own[0, 1] + own[1, 1]
-    if not (bad and good and own[0, 1] and own[1, 1]):
+    if not (bad and good):
         return model
-    x = model.features(rest)
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": list(model.features(batch["text"].tolist()))})
+
+    rest = sample.filter("part = 1").select("doc_id", F.col("quality").cast("int"), "text").mapInPandas(measured, "doc_id long, quality int, x array<double>")
+    rest = rest.orderBy("quality", "doc_id").toPandas()  # at most 2 * rows, of five numbers each
+    x, y = np.stack(rest["x"].tolist()), rest["quality"].to_numpy(float)
     model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    y = np.repeat([0.0, 1.0], [len(own[0, 1]), len(own[1, 1])])
-    weights = np.repeat([stands[0, 1], stands[1, 1]], [len(own[0, 1]), len(own[1, 1])])
+    weights = np.where(y > 0, stands[1, 1], stands[0, 1])
     model.weights = _logistic((x - model.mean) / model.spread, y, weights / weights.mean())
     return model
 
@@ -132,11 +147,11 @@ def learned(labelled: DataFrame, docs: DataFrame, rows: int = ROWS) -> Model:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of each row of docs (doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": model.score(batch["text"].tolist())})
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.score(batch["text"].to_pylist()))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def op2_compression_quality(spark, sf_dir: str) -> DataFrame:
