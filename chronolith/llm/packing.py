@@ -12,7 +12,8 @@ Reduction: for the longest length L left, with gap g = capacity - L,
 Each of these sets dominates all others that hold L: some optimal packing uses it. It repeats until no length reduces.
 Best fit then takes, from the longest length on, whatever leaves the least of each gap.
 
-Null texts are empty texts: one piece, the end token. Equal rows are separate documents. Other columns don't matter.
+Null texts are empty texts: one piece, the end token. Long texts are tokenized whole, in one task each. Equal rows and repeated or null ids are separate documents,
+numbered by row so that they spread over tasks too. An empty table gives an empty result. Other columns of pieces pass through `packed`.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize, ranked
+from .text import free_name
 
 CAPACITY = 1024
 END = 2
@@ -45,8 +47,8 @@ def _bytes_of() -> dict[str, int]:
 def encoder(path: str) -> Callable[[str], list[int]]:
     """Token ids of a text by a byte-level BPE tokenizer file; strings of special tokens are ordinary text.
 
-    The file's vocabulary is merged by rank, as its ids count merges in their order; that is checked here, and
-    a tokenizer for which it doesn't hold is used as it is.
+    tokenizers reads the file. Where its ids count merges in their order, texts aren't normalised, and the pre-tokenizer is the byte-level one with its own pattern
+    (PARTS) and no space put first, tiktoken merges the same vocabulary in half the time; all of that is checked here, and any other tokenizer is used as it is.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -57,7 +59,10 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     special = {t["content"] for t in model["added_tokens"]}
     vocabulary = model["model"]["vocab"]
     merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["model"]["merges"]]
-    if model["normalizer"] is None and all(vocabulary[m] == 256 + i for i, m in enumerate(merged)):
+    parts = model["pre_tokenizer"] or {}
+    plain = parts.get("type") == "ByteLevel" and parts.get("use_regex", True) and not parts.get("add_prefix_space")
+    plain = plain and model["normalizer"] is None and not any(model["model"].get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+    if plain and all(vocabulary[m] == 256 + i for i, m in enumerate(merged)):
         ranks = {bytes(byte[c] for c in k): v for k, v in vocabulary.items() if k not in special}
         return tiktoken.Encoding("byte-bpe", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
@@ -72,7 +77,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     Documents longer than a sequence are cut into full pieces; what is over comes first.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer
         if path is None:
             import public_tokenizers
@@ -81,18 +86,18 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         encode, full = encoder(path), 4 * capacity
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+            for row, text in enumerate(batch["text"].to_pylist()):
                 ids = np.asarray([*encode(text or ""), end], "<u4").tobytes()
                 first = len(ids) % full or full
                 at, stop, piece = 0, first, 0
                 while at < len(ids):
-                    rows.append((doc_id, piece, at // 4, (stop - at) // 4, zlib.crc32(ids[at:stop])))
+                    rows.append((row, piece, at // 4, (stop - at) // 4, zlib.crc32(ids[at:stop])))
                     at, stop, piece = stop, stop + full, piece + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            row, piece, *rest = np.array(rows, np.int64).reshape(-1, 5).T
+            columns = [batch["doc_id"].take(pa.array(row)), pa.array(piece.astype(np.int32)), *map(pa.array, rest)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
 class Lengths:
@@ -160,8 +165,8 @@ def reduce_dominated(left: Lengths, capacity: int) -> list[tuple[tuple[int, ...]
                 if not dominant:
                     break
                 chosen = (top, one) if one else (top,)
-                # a run of equal sets stays dominant while the lengths it was judged by are there
-                runs = left.runs(chosen) if not one or one == gap else 1
+                # taking a set makes the shortest pieces no shorter and the best pair no better: it stays dominant while its lengths are there
+                runs = left.runs(chosen)
                 left.take(chosen, runs)
                 fixed.append((chosen, runs))
                 changed = True
@@ -219,28 +224,30 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[int,
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces (any table with a length column and doc_id, piece) with sequence_id and offset added."""
-    cut = cut.withColumn("_tie", F.xxhash64("doc_id", "piece"))
-    ordered = ranked(cut, "length", [F.col("_tie"), F.col("doc_id"), F.col("piece")], "pack").drop("_tie")
+    """Pieces (any table with a length column and doc_id, piece) with sequence_id and offset added; columns of these names are replaced."""
+    cut = cut.drop("sequence_id", "offset")
+    row, place = free_name(cut, "row"), free_name(cut, "rank")
+    cut = materialize(cut.withColumn(row, F.monotonically_increasing_id()), "pieces")  # written once: the numbers stay
+    ordered = ranked(cut, "length", [F.xxhash64("doc_id", "piece"), F.col("doc_id"), F.col("piece"), F.col(row)], "pack", place).drop(row)
     ordered = materialize(ordered, "pack-ranked")
     counts = {r["length"]: r["n"] for r in ordered.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     table = {k: np.asarray(v, "int64") for k, v in places(solve(counts, capacity)).items()}
-    names = ordered.drop("rank").columns
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence, offset = np.empty(len(batch), "int64"), np.empty(len(batch), "int64")
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            length, rank = batch["length"].to_numpy(), batch[place].to_numpy()
             for k in np.unique(length):
                 at, runs = length == k, table[int(k)]
                 row = runs[np.searchsorted(runs[:, 0], rank[at], "right") - 1]
                 sequence[at], offset[at] = row[:, 1] + rank[at] - row[:, 0], row[:, 2]
-            yield batch[names].assign(sequence_id=sequence, offset=offset)
+            kept = batch.drop_columns([place])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence), pa.array(offset)], [*kept.schema.names, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.drop("rank").schema)
-    return ordered.mapInPandas(place, f"{kinds}, sequence_id long, offset long")
+    schema = ordered.drop(place).schema.add("sequence_id", "long").add("offset", "long")
+    return ordered.mapInArrow(placed, schema)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return packed(materialize(pieces(docs), "pieces"))
+    return packed(pieces(docs))
