@@ -9,10 +9,10 @@ them reaches 0 or 1. It runs in blocks of about a thousand documents of one sour
 most two documents undecided. Those form the blocks of the next level, until one block a source is left, and
 a dozen documents of all sizes and what the flight leaves land on the 0/1 choice that is nearest to the totals.
 
-Blocks come from a hash of doc_id, order in them from doc_id and size, draws from a generator seeded with source and block:
-reruns agree however the input is partitioned. Null sources are a source, null texts have no words, rows with equal
-doc_id are separate documents, and an empty table gives an empty mix. Other columns pass through ``mixed`` untouched; those named
-like a result column are replaced. The table of sources (one row each) is ordered in one task.
+Blocks come from a hash of doc_id, size and row, order in them from the same, draws from a generator seeded with source and block:
+reruns agree however the input is partitioned. Null sources are a source, null texts have no words, rows with equal or null
+doc_id are separate documents, and an empty table gives an empty mix. Sizes, not texts, go through the flight, so long texts cost what others do. ``mixed`` returns
+its own columns only; the caller joins them back by row. The table of sources (one row each) is ordered in one task.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def cube(docs: DataFrame, block: int = BLOCK) -> Iterator[DataFrame]:
     while True:
         counts = docs.groupBy("source").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
         numbered = docs.join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-        numbered = numbered.withColumn("number", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.col("blocks")))
+        numbered = numbered.withColumn("number", F.pmod(F.xxhash64("doc_id", "size", "row", F.lit(level)), F.col("blocks")))
         settled = numbered.groupBy("source", "number", (F.col("blocks") == 1).alias("last")).applyInPandas(_settle, docs.schema)
         settled = materialize(settled, f"cube-{level}")
         yield settled.filter("chance = 0 OR chance = 1")
@@ -148,9 +148,10 @@ def cube(docs: DataFrame, block: int = BLOCK) -> Iterator[DataFrame]:
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(row, doc_id, source, size, source_size, target, copies): how often each row of docs is taken.
 
-    docs needs doc_id, source, size and row, a column that tells equal doc_ids apart (any expression of the row).
+    docs needs doc_id, source, size and row, a number that tells rows apart and isn't null.
     """
-    docs = materialize(docs.select("row", "doc_id", "source", "size"), "mix")
+    kind = docs.schema["doc_id"].dataType
+    docs = materialize(docs.select("row", F.col("doc_id").cast("string"), "source", "size"), "mix")  # pandas would round longs beside nulls
     plan = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     plan = materialize(plan.withColumn("wanted", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "mix-plan")
     joined = docs.join(plan.select(F.col("source").alias("_s"), "wanted"), F.col("source").eqNullSafe(F.col("_s")), "left")
@@ -160,11 +161,12 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
         decided = part if decided is None else decided.unionByName(part)
     of = plan.select(F.col("source").alias("_s"), "source_size", "target", F.floor("wanted").alias("whole"))
     return decided.join(of, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        "row", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("chance")).cast("long").alias("copies")
+        "row", F.col("doc_id").cast(kind), "source", "size", "source_size", "target", (F.col("whole") + F.col("chance")).cast("long").alias("copies")
     )
 
 
 def op1_cube_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.lit(0).cast("long").alias("row"))
+    row = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    docs = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row.alias("row"))
     return mixed(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
