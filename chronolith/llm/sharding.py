@@ -7,8 +7,8 @@ its quota leaves and as leave it in the same round, so that full shards exchange
 many shards as its rows need. Rounds end when nothing moves any more. Documents without links, and whatever overfills a
 shard, then fill the shards' free places in order of key: counts of any two shards differ by one at most.
 
-Law of the query: ``rows``. Null texts are linked to nothing. Equal rows are linked documents like others; null doc_ids are documents.
-An empty table gives an empty result. Other columns don't matter.
+Law of the query: ``rows``. Null texts are linked to nothing. Equal rows are linked documents like others; null and repeated doc_ids are documents of their own.
+Texts, however long, go no further than their link key. An empty table gives an empty result. Other columns of ``sharded`` pass through.
 """
 
 from __future__ import annotations
@@ -110,9 +110,14 @@ def propagate(cells: DataFrame, shards: int, room: int) -> DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """docs (id, key, and any other columns; a null key is linked to nothing) with shard and slot, counts at most one apart."""
+    """docs (id, key, and any other columns; a null key is linked to nothing) with shard and slot, counts at most one apart.
+
+    Columns named shard or slot are replaced; all others pass through.
+    """
     spark = docs.sparkSession
-    docs = materialize(docs, "shard-docs")
+    docs = docs.drop("shard", "slot")
+    docs = docs.select("id", "key", F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    docs = materialize(docs, "shard-docs")  # written once: the numbers stay
     keys = docs.filter("key IS NOT NULL").groupBy("key", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
     keys = materialize(keys, "shard-keys")
     linked = keys.groupBy("key").agg(F.sum("n").alias("copies")).filter("copies > 1").select("key")
@@ -121,10 +126,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     cells = propagate(keys.join(linked, "key", "left_semi"), shards, low + (more > 0))
     # a document of a linked key belongs to the cell that its rank in the key falls into
     bounds = cells.withColumn("hi", F.sum("n").over(W.partitionBy("key").orderBy("shard"))).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("hi", "shard"))).alias("cells"))
-    in_key = ranked(docs.filter("key IS NOT NULL").join(linked, "key", "left_semi"), "key", [F.col("id")], "in-key")
+    in_key = ranked(docs.filter("key IS NOT NULL").join(linked, "key", "left_semi"), "key", [F.col("id"), F.col("row")], "in-key")
     placed = in_key.join(bounds, "key").withColumn("home", F.filter("cells", lambda c: c["hi"] > F.col("rank"))[0]["shard"]).drop("rank", "cells")
     alone = docs.join(linked, "key", "left_anti").withColumn("home", F.lit(shards))
-    homes = ranked(placed.select(*docs.columns, "home").unionByName(alone.select(*docs.columns, "home")), "home", [F.col("key"), F.col("id")], "homes")
+    homes = ranked(placed.select(*docs.columns, "home").unionByName(alone.select(*docs.columns, "home")), "home", [F.col("key"), F.col("id"), F.col("row")], "homes")
     homes = materialize(homes, "homes-ranked")
     # places: shard s has low (+ 1 if s < more) of them; its linked documents take the first, the pool fills the rest
     held = homes.groupBy("home").agg(F.count("*").alias("held"))
@@ -139,11 +144,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     slots = F.array(*[F.struct(F.lit(r["from"] + r["open"]).alias("to"), F.lit(s).alias("shard"), F.lit(r["taken"] - r["from"]).alias("shift")) for s, r in sorted(rows.items())])
     pool = homes.join(F.broadcast(table), "home").withColumn("pool", F.when(F.col("rank") >= F.col("taken"), F.col("rank") - F.col("taken") + F.col("over_from")))
     pool = pool.withColumn("into", F.when(F.col("pool").isNotNull(), F.filter(slots, lambda x: x["to"] > F.col("pool"))[0]))
-    return (
-        pool.withColumn("shard", F.coalesce("into.shard", "home").cast("int"))
-        .withColumn("slot", F.coalesce(F.col("pool") + F.col("into.shift"), F.col("rank")).cast("long"))
-        .drop("home", "rank", "taken", "over_from", "pool", "into")
-    )
+    shard = F.coalesce("into.shard", "home").cast("int").alias("shard")
+    return pool.select("doc.*", shard, F.coalesce(F.col("pool") + F.col("into.shift"), F.col("rank")).cast("long").alias("slot"))
 
 
 def op5_label_propagation(spark, sf_dir: str) -> DataFrame:
