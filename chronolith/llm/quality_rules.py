@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import SPACE, count_of, let, words
+from .text import count_of, free_name, let, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -86,23 +86,24 @@ def clean_lines(df: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -
 
         return let(F.array_distinct(lines), distinct)
 
-    full = df.withColumn("_w", let(words(body), with_words)).withColumn(
-        "_l", let(F.filter(F.split(body, "\n", -1), lambda x: x.rlike(HAS_WORD)), with_lines)
-    )
-    base_failed = (F.col("_w.n_words") < MIN_WORDS) | (F.col("_w.n_repeat_words") * 100 > F.col("_w.n_words") * int(MAX_REPEATED * 100))
+    own = free_name(df, "line_cleaning")
+    of = lambda name: F.col(f"{own}.{name}")
+    counted = F.struct(let(words(body), with_words).alias("w"), let(F.filter(F.split(body, "\n", -1), lambda x: x.rlike(HAS_WORD)), with_lines).alias("l"))
+    full = df.withColumn(own, counted)
+    base_failed = (of("w.n_words") < MIN_WORDS) | (of("w.n_repeat_words") * 100 > of("w.n_words") * int(MAX_REPEATED * 100))
     return full.withColumns(
         {
-            "n_words": F.col("_w.n_words"),
-            "word_chars": F.col("_w.word_chars"),
+            "n_words": of("w.n_words"),
+            "word_chars": of("w.word_chars"),
             "n_symbols": count_of(body, SYMBOL).cast("long"),
-            "n_dup_lines": F.col("_l.n_dup_lines"),
-            "n_repeat_words": F.col("_w.n_repeat_words"),
+            "n_dup_lines": of("l.n_dup_lines"),
+            "n_repeat_words": of("w.n_repeat_words"),
             "base_failed": base_failed,
-            "kept": ~base_failed & (F.col("_l.lost_chars") <= F.col("_l.line_chars") * max_lost),
-            "lost_chars": F.col("_l.lost_chars"),
-            "clean_text": F.col("_l.clean_text"),
+            "kept": ~base_failed & (of("l.lost_chars") <= of("l.line_chars") * max_lost),
+            "lost_chars": of("l.lost_chars"),
+            "clean_text": of("l.clean_text"),
         }
-    ).drop("_w", "_l")
+    ).drop(own)
 
 
 def op6_line_cleaning(spark, sf_dir: str) -> DataFrame:
