@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .html_blocks import blocks
@@ -22,28 +22,20 @@ def extracted(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_main) of each row of pages (page_id, url, html)."""
     parameters = (labeller or trained()).p
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Labeller()
         net.p = parameters
         for batch in batches:
             for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                cut = [blocks(h) for h in part["html"].tolist()]
+                part = batch.slice(at, 256)
+                cut = [blocks(h) for h in part["html"].to_pylist()]
                 chosen = net.labels([vectors(p) for p in cut])
                 text = [" ".join(b.text for b, yes in zip(p, mark, strict=True) if yes) for p, mark in zip(cut, chosen, strict=True)]
-                yield pd.DataFrame(
-                    {
-                        "page_id": part["page_id"].astype("Int64").to_numpy(),
-                        "url": part["url"].to_numpy(),
-                        "text": text,
-                        "n_chars": [len(t) for t in text],
-                        "n_blocks": [len(p) for p in cut],
-                        "n_main": [int(m.sum()) for m in chosen],
-                    }
-                )
+                found = {"text": text, "n_chars": [len(t) for t in text], "n_blocks": [len(p) for p in cut], "n_main": [int(m.sum()) for m in chosen]}
+                yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], *map(pa.array, found.values())], ["page_id", "url", *found])
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_main long")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_main long")
 
 
 def op8_recurrent_labeller(spark, sf_dir: str) -> DataFrame:
