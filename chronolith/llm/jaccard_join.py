@@ -259,7 +259,7 @@ def _fold(x: np.ndarray, size: int) -> np.ndarray:
 
 def dealt(pairs: DataFrame) -> DataFrame:
     """(a, g, side, class): for each class a, its partners (side 1) in groups of at most about GROUP, and a itself (side 0) in each of them."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    many = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups")), "groups")  # a row a class: AQE splits the join's large side
     right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.col("b").alias("class"))
     left = many.select("a", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("g"), F.col("a").alias("class"))
     return left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
