@@ -66,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are tokenized and packed into sequences of 1024 tokens."""
-    return packing.packed(materialize(packing.pieces(docs.select("doc_id", "text")), "pieces"))
+    return packing.packed(packing.pieces(docs.select("doc_id", "text")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
