@@ -1,10 +1,11 @@
 r"""HTML extraction by a recurrent block labeller.
 
-Each page is cut into leaf blocks (`html_blocks`); a bidirectional LSTM (`html_model`), trained on the driver in a few seconds
-and sent to the tasks (60 KB), labels every block in the context of its page. The blocks of main text are joined by one space.
+Each page is cut into leaf blocks (`html_blocks`); a bidirectional LSTM (`html_model`), trained on the driver, once a process
+(some 20 seconds), and sent to the tasks (60 KB), labels every block in the context of its page. The blocks of main text are joined by one space.
 
-Null and empty pages, and pages without blocks of main text, give an empty text. Pages are judged one by one: order, repetition and
-partitioning don't matter. Other columns don't matter.
+Null and empty pages, and pages without blocks of main text, give an empty text. Pages are judged one by one: order, repetition, null or repeated ids and
+partitioning don't matter. An empty table gives an empty result. A page is read once from its start to its end, and blocks share what they know of the elements around them: long
+and deeply nested pages take time and memory in proportion. Other columns don't matter.
 """
 
 from __future__ import annotations

@@ -15,29 +15,43 @@ import zlib
 
 import numpy as np
 
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Place, blocks
 from .shingles import word_hashes
 
 PATH, WORDS, MEASURES = 96, 16, 8
 INPUT, HIDDEN = PATH + WORDS + MEASURES, 24
-TOKEN_CACHE = 200_000
-_cache: dict[tuple[str, ...], np.ndarray] = {}
+LABEL_CACHE = 20_000
+DECAY = 0.9
+_labels: dict[str, np.ndarray] = {}
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    known = _cache.get(path)
+def _label_vector(label: str) -> np.ndarray:
+    known = _labels.get(label)
     if known is None:
         known = np.zeros(PATH, np.float32)
-        for depth, label in enumerate(reversed(path[-12:])):
-            weight = 0.9**depth
-            for mark in label.split():
-                key, _, value = mark.rpartition("=")
-                for part in {mark, *value.replace("_", "-").split("-")} if key else {mark}:
-                    h = zlib.crc32(part.encode())
-                    known[h % PATH] += weight * (1 if h >> 20 & 1 else -1)
-        if len(_cache) > TOKEN_CACHE:
-            _cache.clear()
-        _cache[path] = known
+        for mark in label.split():
+            key, _, value = mark.rpartition("=")
+            for part in {mark, *value.replace("_", "-").split("-")} if key else {mark}:
+                h = zlib.crc32(part.encode("utf-8", "surrogatepass"))
+                known[h % PATH] += 1 if h >> 20 & 1 else -1
+        if len(_labels) > LABEL_CACHE:
+            _labels.clear()
+        _labels[label] = known
+    return known
+
+
+def _path_vector(place: Place | None) -> np.ndarray:
+    """Labels of all elements around, each counting DECAY times the one inside it; computed once for each element."""
+    known = np.zeros(PATH, np.float32)
+    fresh = []
+    while place is not None:
+        if place.vector is not None:
+            known = place.vector
+            break
+        fresh.append(place)
+        place = place.up
+    for p in reversed(fresh):
+        known = p.vector = _label_vector(p.label) + DECAY * known
     return known
 
 
@@ -51,11 +65,11 @@ def vectors(page: list[Block]) -> np.ndarray:
     out[:, PATH : PATH + WORDS] /= np.sqrt(n + 1)[:, None] * 4
     last = max(len(page) - 1, 1)
     for i, b in enumerate(page):
-        out[i, :PATH] = _path_vector(b.path)
+        out[i, :PATH] = _path_vector(b.place)
         size = len(b.text)
         out[i, PATH + WORDS :] = (
             np.log1p(size) / 6, b.linked / size, min(sum(map(b.text.count, ".!?,;")) / (n[i] + 1), 1.0), float(b.text[-1] in ".!?:\"'"),
-            i / last, np.log1p(n[i]) / 4, min(len(b.path), 12) / 12, 1.0,
+            i / last, np.log1p(n[i]) / 4, min(b.place.depth if b.place else 0, 12) / 12, 1.0,
         )
     return out
 
@@ -269,7 +283,7 @@ def page(r: random.Random) -> tuple[str, list[bool]]:
         r.shuffle(before)
     for k in before:
         noise[k]()
-    main = r.choice(MAIN)
+    main = "<div>" * (r.randint(1, 24) if r.random() < 0.15 else 0) + r.choice(MAIN) + "<div>" * (r.randint(1, 24) if r.random() < 0.15 else 0)  # some deep pages
     parts.append(main)
     if r.random() < 0.85:
         add(r.choice(["<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>", '<h1 class="title">{}</h1>', "<header><h1>{}</h1></header>"]).format(r.choice([w.phrase(2, 10), w.sentence(), w.phrase(1, 2)])), True)

@@ -250,7 +250,8 @@ def _sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator
 
 
 def _fold(x: np.ndarray, size: int) -> np.ndarray:
-    """A sketch (or rows of sketches) at a smaller power of two: bit i and bit i + half make one parity."""
+    """A sketch (or rows of sketches) of so many words of 64 bits: bit i and bit i + half make one parity. Unsigned, as bits are counted."""
+    x = x.view(np.uint64)
     while x.shape[-1] > size:
         half = x.shape[-1] // 2
         x = x[..., :half] ^ x[..., half:]
@@ -294,7 +295,7 @@ def _crossing(n: np.ndarray, component: np.ndarray, side: np.ndarray, sketches:
     size = np.array([len(x) for x in sketches])
     by = {w: np.flatnonzero(size == w) for w in np.unique(size)}
     by = {w: i[np.argsort(n[i], kind="stable")] for w, i in by.items()}
-    bits = {w: np.stack([sketches[k] for k in i]) for w, i in by.items()}
+    bits = {w: np.stack([sketches[k] for k in i]).view(np.uint64) for w, i in by.items()}
     two = side.min() != side.max()
     out = []
     for w, own in by.items():

@@ -3,13 +3,16 @@ r"""Line-first cleaning: rules judge each line, failing lines go, documents that
 Everything is one projection over the whole text: no shuffle, no Python. A text's lines are the parts between ``\n``.
 
 A line fails if it has a word and
-* punctuation: it doesn't end a sentence, or exclamation marks outnumber 3 in 10 parts (split at single spaces);
-* navigation: it holds over 3 symbols of ``[#*$%&|<>]`` for 10 parts (menus, link bars, symbol noise);
-* boilerplate: it is a short line (20 parts at most) that speaks of cookies, privacy policies, terms of use and the like.
+* punctuation: it doesn't end a sentence (a terminal mark of any script, then quotes, brackets and footnote marks; Thai and Lao have none,
+  so lines in them pass), or exclamation marks outnumber 3 in 10 parts (split at single spaces);
+* navigation: it holds over 3 symbols of ``[#*$%&|<>]`` for 10 parts (symbol noise, bars), or two separators or more (bars, arrows, dots, slashes with spaces
+  around them) between four words at most each (menus, breadcrumbs, link lists, in any language);
+* boilerplate: it is a short line (20 parts at most) that claims a copyright, or speaks of cookies, privacy, terms of use, subscribing, logging in and the
+  like in English, German, French or Spanish.
 A line equal to an earlier one of its text is text lost too.
 
-Null and empty texts have no words: they fail the base rules. Other columns, null or not, pass through untouched;
-columns named like a result are replaced. Equal rows get equal results.
+Null and empty texts have no words: they fail the base rules. Long texts and long lines are judged whole; an empty table gives an empty result. Other columns, null or not, pass
+through untouched; columns named like a result are replaced. Equal rows get equal results.
 """
 
 from __future__ import annotations
@@ -22,8 +25,15 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED = 0.3
 MAX_LOST = 0.5
-BOILERPLATE = r"(?i)\b(cookies?|privacy policy|terms (of|and) (use|service|conditions)|all rights reserved|sign up|log ?in|subscribe|newsletter|javascript|click here|read more|share this)\b"
-SENTENCE_END = r"""[.!?…。！？:;]["'”’»)\]]*[\x20\x09-\x0D]*$"""
+BOILERPLATE = (
+    r"(?i)©|\(c\) ?[12][0-9]{3}|\b(cookies?|privacy policy|terms (of|and) (use|service|conditions)|all rights reserved|sign up|log ?in|subscribe|newsletter|javascript|click here|read more|share this"
+    r"|datenschutz[a-z]*|impressum|alle rechte vorbehalten|nutzungsbedingungen|jetzt anmelden|hier klicken|weiterlesen"
+    r"|politique de confidentialit|tous droits r[éÉ]serv[éÉ]s|mentions l[éÉ]gales|conditions d'utilisation|abonnez-vous|cliquez ici|lire la suite"
+    r"|pol[íÍ]tica de privacidad|todos los derechos reservados|aviso legal|iniciar sesi[óÓ]n|suscr[íÍ]bete|haz clic|leer m[áÁ]s)"
+)
+TERMINAL = ".!?…‥。！？｡．:;：；؟؛۔।॥։።፧፨។៕။᠃᠉‼⁇⁈⁉"
+SENTENCE_END = rf"""[{TERMINAL}\x{{0E00}}-\x{{0EFF}}]["'”’»›)\]」』）]*(\[[0-9]{{1,3}}\]|[⁰¹²³⁴⁵⁶⁷⁸⁹])*[\x20\x09-\x0D]*\z"""
+SEPARATOR = " [|»›·•→/>] "
 HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 
@@ -57,6 +67,7 @@ def line_fails(line: Column) -> Column:
             ~line.rlike(SENTENCE_END)
             | (count_of(line, "!") * 10 > n * 3)
             | (count_of(line, SYMBOL) * 10 > n * 3)
+            | let(count_of(line, SEPARATOR), lambda k: (k >= 2) & (n - k <= (k + 1) * 4))
             | ((n <= 20) & line.rlike(BOILERPLATE))
         )
 
@@ -113,7 +124,9 @@ def op6_line_cleaning(spark, sf_dir: str) -> DataFrame:
     )
 
 
-SQL = r"""
+_END, _PLATE = (p.replace("'", "''") for p in (SENTENCE_END, BOILERPLATE))
+
+SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
 g AS (SELECT rid, i, array_to_string(w[i:i+7], ' ') AS win FROM w, unnest(range(1, len(w) - 6)) AS u(i) WHERE len(w) >= 8),
@@ -122,10 +135,11 @@ cov AS (SELECT rid, CAST(sum(least(8, coalesce(nx - i, 8))) AS BIGINT) AS n FROM
 ln AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 dl AS (SELECT rid, l, list_distinct(l) AS u FROM ln),
 j AS (SELECT rid, len(l) - len(u) AS n_dup_lines, coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) AS line_chars,
-  coalesce(list_sum(list_transform(list_filter(u, lambda x: regexp_matches(x, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$')
+  coalesce(list_sum(list_transform(list_filter(u, lambda x: regexp_matches(x, '{_END}')
     AND (length(x) - length(replace(x, '!', ''))) * 10 <= 3 * len(string_split(x, ' '))
     AND len(regexp_extract_all(x, '[#*$%&|<>]')) * 10 <= 3 * len(string_split(x, ' '))
-    AND NOT (len(string_split(x, ' ')) <= 20 AND regexp_matches(x, '(?i)\b(cookies?|privacy policy|terms (of|and) (use|service|conditions)|all rights reserved|sign up|log ?in|subscribe|newsletter|javascript|click here|read more|share this)\b'))
+    AND NOT (len(regexp_extract_all(x, '{SEPARATOR}')) >= 2 AND len(string_split(x, ' ')) - len(regexp_extract_all(x, '{SEPARATOR}')) <= 4 * (len(regexp_extract_all(x, '{SEPARATOR}')) + 1))
+    AND NOT (len(string_split(x, ' ')) <= 20 AND regexp_matches(x, '{_PLATE}'))
   ), lambda x: length(x))), 0) AS kept_chars FROM dl),
 m AS (SELECT w.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars, len(regexp_extract_all(w.t, '[#*$%&|<>]')) AS n_symbols,
   j.n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, j.line_chars, j.kept_chars
