@@ -55,6 +55,33 @@ def context_label(app: Column, title: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(title), blank), F.nullif(app, blank), F.lit("unknown"))
 
 
+# Words that name no place, windows that say nothing, and how much the role of a navigation element tells.
+NAVIGATION_NOISE = "back forward search close cancel done more menu settings home refresh reload share add new open save".split()
+COARSE_TITLES = ["", "untitled", "wechat", "slack", "discord"]
+ROLE_PRIORITY = {"AXHeading": 100, "AXNavigationBar": 95, "AXBanner": 90, "AXRadioButton": 85, "AXTab": 85, "AXTabGroup": 75, "AXToolbar": 65, "AXTitleBar": 60}
+OTHER_PRIORITY, LONGEST_PLACE = 50, 80
+
+
+def enriched_title(title: Column, app: Column, nav: Column, windows: Column, places: Column | None = None) -> Column:
+    """A title that says more than its app's name: `app - place` by the best of the navigation lines, else a window's line, else the title.
+
+    nav and windows are arrays of lines, with or without their tags; places an array of (line, role). Of lines with one text the first counts.
+    """
+    plain = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    noise = lambda x: F.lower(F.trim(x)).rlike(rf"^({'|'.join(NAVIGATION_NOISE)})(\s|$)")
+    lines_of = F.transform(F.coalesce(nav, F.array().cast("array<string>")), lambda x: F.struct(x.alias("line"), F.lit("AXStaticText").alias("role")))
+    every = lines_of if places is None else F.concat(places, lines_of)
+    priority = F.create_map(*[F.lit(x) for pair in ROLE_PRIORITY.items() for x in pair])
+    cleaned = F.transform(every, lambda c: F.struct(F.coalesce(F.element_at(priority, c["role"]), F.lit(OTHER_PRIORITY)).alias("score"), F.trim(F.regexp_replace(c["line"], r"^\[Nav\]\s*", "")).alias("line")))
+    told = F.filter(cleaned, lambda c: (c["line"] != "") & (F.length(c["line"]) <= LONGEST_PLACE) & ~noise(c["line"]))
+    once = F.filter(told, lambda c, i: F.array_position(F.transform(told, lambda t: t["line"]), c["line"]) == i + 1)
+    best = F.array_max(F.transform(once, lambda c, i: F.struct(c["score"].alias("score"), (-i).alias("at"), c["line"].alias("line"))))["line"]
+    window = F.get(F.filter(F.transform(F.coalesce(windows, F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(x, r"^\[Window\]\s*", ""))), lambda x: (x != "") & (F.lower(x) != plain(app)) & (F.lower(x) != "untitled") & ~noise(x)), 0)
+    prefix = F.coalesce(F.nullif(F.trim(app), F.lit("")), F.nullif(F.trim(title), F.lit("")), F.lit("App"))
+    coarse = plain(title).isin(COARSE_TITLES) | (plain(title) == plain(app))
+    return F.when(~coarse, title).when(best.isNotNull(), F.concat(prefix, F.lit(" - "), best)).otherwise(F.coalesce(window, title))
+
+
 def redact_secrets(text: Column) -> Column:
     for pattern, mask in SECRETS:
         text = F.regexp_replace(text, pattern, mask)

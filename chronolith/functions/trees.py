@@ -207,15 +207,33 @@ def holds_secure(tree: Column, secure_roles: list[str]) -> Column:
     return run(tree)
 
 
+def input_tree(record_tree: Column, frame_tree: Column, text: Column) -> Column:
+    """The tree to extract from: the record's, else its frame's, else its text in a tree of one node; blank trees don't count."""
+    some = lambda t: F.when(F.trim(t) != "", t)
+    return F.coalesce(some(record_tree), some(frame_tree), text_tree(text))
+
+
+def text_tree(text: Column) -> Column:
+    return F.when(text != "", F.to_json(F.struct(F.lit("AXWebArea").alias("role"), text.alias("value"))))
+
+
+def extracted_text(record_tree: Column, frame_tree: Column, text: Column, title: Column, secure_roles: list[str]) -> Column:
+    """The text of a record: from its tree without secure parts, or from its own text where the tree gives none, unless the tree holds secure nodes."""
+    raw = input_tree(record_tree, frame_tree, text)
+    own = tree_text(prune_json(raw, secure_roles), title)
+    return F.when((own != "") | (F.coalesce(text, F.lit("")) == "") | holds_secure(raw, secure_roles), own).otherwise(tree_text(text_tree(text), title))
+
+
 FLAT = "array<struct<role:string,text:string,depth:int,bounds:struct<left:double,top:double,width:double,height:double>>>"
 
 
 def element_rows(frames: DataFrame, tree: str = "accessibility_tree_json") -> DataFrame:
     """Rows of elements of flat-array trees: (frame_id, sort_order, role, text, depth, parent_order). A node's parent is the last one before it one level up."""
     rows = frames.select("frame_id", F.posexplode(F.from_json(F.col(tree), FLAT)).alias("sort_order", "n")).select("frame_id", "sort_order", "n.role", "n.text", F.coalesce("n.depth", F.lit(0)).alias("depth"))
-    before = W.partitionBy("frame_id").orderBy("sort_order").rowsBetween(W.unboundedPreceding, -1)
-    earlier = F.filter(F.collect_list(F.struct("depth", "sort_order")).over(before), lambda e: e["depth"] == F.col("depth") - 1)
-    return rows.withColumn("parent_order", F.array_max(F.transform(earlier, lambda e: e["sort_order"])))
+    # each row is seen on its own level, and asks the level above for the last row before it
+    seen = rows.withColumn("_l", F.explode(F.array(F.struct(F.col("depth").alias("level"), F.lit(True).alias("own")), F.struct((F.col("depth") - 1).alias("level"), F.lit(False).alias("own")))))
+    before = W.partitionBy("frame_id", "_l.level").orderBy("sort_order").rowsBetween(W.unboundedPreceding, -1)
+    return seen.withColumn("parent_order", F.max(F.when(F.col("_l.own"), F.col("sort_order"))).over(before)).filter("NOT _l.own").drop("_l")
 
 
 def tree_of_elements(elements: DataFrame) -> DataFrame:

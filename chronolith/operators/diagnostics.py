@@ -21,6 +21,12 @@ def duplication_sample(frames: DataFrame, text: str, since=None, sample: int = S
     return out.orderBy(F.desc("frame_timestamp"), F.desc("frame_id")).limit(sample)
 
 
+def duplication_by_field(frames: DataFrame, fields: dict[str, int], since=None, min_text: int = MIN_TEXT) -> DataFrame:
+    """The duplication summary of each text column (with the size of its sample): one row a column."""
+    out = [duplication_summary(duplication_sample(frames, c, since, n, min_text), c).select(F.lit(c).alias("field"), "*") for c, n in fields.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 def duplication_summary(sample: DataFrame, text: str) -> DataFrame:
     return sample.agg(F.count("*").alias("total_rows"), F.countDistinct(text).alias("distinct_texts"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("total_chars"))
 
@@ -159,6 +165,18 @@ def maintenance_counts(frames: DataFrame, elements: DataFrame) -> DataFrame:
     return counted.crossJoin(elements.agg(F.count("*").alias("elements"))).crossJoin(dangling)  # one row each
 
 
+def with_elements(frames: DataFrame, elements: DataFrame) -> DataFrame:
+    """Frames whose elements exist: under the frame they refer to, or else their own id."""
+    held = elements.select(F.col("frame_id").alias("_held")).distinct()
+    return frames.join(held, F.coalesce("elements_ref_frame_id", "frame_id") == F.col("_held"), "left_semi")
+
+
+def with_parents(elements: DataFrame) -> DataFrame:
+    """Elements (frame_id, id, parent_id, role, text) with role and text of their parent, if it is there."""
+    above = elements.select("frame_id", F.col("id").alias("parent_id"), F.col("role").alias("parent_role"), F.col("text").alias("parent_text"))
+    return elements.join(above, ["frame_id", "parent_id"], "left")
+
+
 def dangling_references(frames: DataFrame, elements: DataFrame) -> DataFrame:
     held = elements.select(F.col("frame_id").alias("elements_ref_frame_id"))
     return frames.filter("elements_ref_frame_id IS NOT NULL").join(held, "elements_ref_frame_id", "left_anti")

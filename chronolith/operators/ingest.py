@@ -23,16 +23,15 @@ def merged_sources(accessibility: DataFrame, ocr: DataFrame) -> DataFrame:
 
 def normalised_records(raw: DataFrame, page_offset: int = 0) -> DataFrame:
     """Records with a time and a text or a usable tree; ids that are missing are made from frame and place."""
-    usable = F.col("accessibility_tree_json").rlike(r'^\s*[\[{].*"(role|text|value|title|description)"')
+    usable = F.col("accessibility_tree_json").rlike(r'(?s)^\s*[\[{].*"(role|text|value|title|description)"')
     made = F.concat_ws(":", F.lit("frame"), F.col("frame_id").cast("string"), (F.col("seq") + page_offset).cast("string"))
     kept = raw.filter(F.col("timestamp").isNotNull() & ((F.trim(F.coalesce("text", F.lit(""))) != "") | F.coalesce(usable, F.lit(False))))
     return kept.withColumn("id", F.coalesce("id", made))
 
 
 def without_excluded_apps(frames: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Drop frames of excluded apps (app), whatever their case; frames without an app stay. The list is a control table."""
-    lower = F.broadcast(excluded.select(F.lower("app").alias("_app")))
-    return frames.join(lower, F.lower("app_name") == F.col("_app"), "left_anti")
+    """Drop frames of excluded apps (app), whatever their case; frames without an app stay. The planner sends the list around while it is small."""
+    return frames.join(excluded.select(F.lower("app").alias("_app")).distinct(), F.lower("app_name") == F.col("_app"), "left_anti")
 
 
 def outside_pause(frames: DataFrame, paused: bool, since) -> DataFrame:
@@ -101,6 +100,31 @@ def upserted(table: DataFrame, rows: DataFrame, key: str, order: str) -> DataFra
     return table.join(last.select(key), key, "left_anti").unionByName(last)
 
 
+def with_embedding(rows: DataFrame) -> DataFrame:
+    """Rows that have an embedding: others are never put into a vector table."""
+    return rows.filter(F.coalesce(F.size("embedding") > 0, F.lit(False)))
+
+
+def source_types(metadata: Column, own: Column) -> Column:
+    """The sources of a record: those in its metadata (JSON) if there are any, else its own, else none."""
+    return F.coalesce(F.from_json(F.get_json_object(metadata, "$.sourceTypes"), "array<string>"), own, F.array().cast("array<string>"))
+
+
+def reset(table: DataFrame) -> DataFrame:
+    """The table without rows."""
+    return table.filter(F.lit(False))
+
+
+def last_extracted(frames: DataFrame, text: str = "extracted_text") -> DataFrame:
+    """The time of the newest frame with a text."""
+    return frames.agg(F.max(F.when(F.col(text) != "", F.col("frame_timestamp"))).alias("last_extracted"))
+
+
+def is_ready(last: Column, wanted: Column) -> Column:
+    """Whether what is asked for has been extracted: the newest text is not older than the end of the record."""
+    return F.coalesce(last >= wanted, F.lit(False))
+
+
 def updated(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """table with the non-null columns of changes (one row a key) put in."""
     changed = changes.select(key, *[F.col(c).alias(f"_{c}") for c in changes.columns if c != key])

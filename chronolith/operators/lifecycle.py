@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import frame_of_capture
+from ..session import materialize, sliced
 
 
 def sessions_without_frames(sessions: DataFrame, ids: DataFrame, frame: str = "frame_id") -> DataFrame:
@@ -44,38 +45,58 @@ def frames_in_range(frames: DataFrame, start, end) -> DataFrame:
     return frames.filter(at.between(low, high)).select("frame_id")
 
 
-def retention_cut(frames: DataFrame, budget: int, floor, size: str = "bytes", batch: int = 100) -> DataFrame:
-    """Ids of the frames to delete: the oldest, in whole batches, until live bytes fit the budget; none from `floor` on.
+def retention_cut(frames: DataFrame, budget: Column | int, floor, size: str = "bytes", batch: int = 100) -> DataFrame:
+    """Ids of the frames to delete: the oldest, in whole batches, until live bytes fit the budget (a number, or a column over `total`); none from `floor` on.
 
-    Running sums are taken per day first, then within days, so that no task orders all frames.
+    Running sums go over slices of the table in order of time, then over the slices (a row each): no task orders all frames.
     """
-    day = F.to_date("frame_timestamp")
-    days = frames.groupBy(day.alias("_day")).agg(F.sum(size).alias("_b"), F.count("*").alias("_n"))
-    past = W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)  # a row a day
-    days = days.select("_day", F.coalesce(F.sum("_b").over(past), F.lit(0)).alias("_b0"), F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n0"), F.sum("_b").over(W.partitionBy(F.lit(0))).alias("_all"))
-    within = W.partitionBy("_day").orderBy("frame_timestamp", "frame_id")
-    placed = frames.withColumn("_day", day).join(days, "_day")
-    placed = placed.withColumn("_before", F.col("_b0") + F.coalesce(F.sum(size).over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.withColumn("_at", F.col("_n0") + F.row_number().over(within) - 1)
+    placed = sliced(frames.select("frame_id", "frame_timestamp", F.col(size).alias("_size")), [F.col("frame_timestamp"), F.col("frame_id")], "retention")
+    slices = placed.groupBy("_part").agg(F.sum("_size").alias("_b"), F.count("*").alias("_n"))
+    past = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    slices = slices.select("_part", F.coalesce(F.sum("_b").over(past), F.lit(0)).alias("_b0"), F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n0"), F.sum("_b").over(whole).alias("total"))
+    within = W.partitionBy("_part").orderBy("frame_timestamp", "frame_id")
+    placed = placed.join(F.broadcast(slices), "_part")  # a row a shuffle partition
+    placed = placed.withColumn("_before", F.col("_b0") + F.coalesce(F.sum("_size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.withColumn("_batch", F.floor((F.col("_n0") + F.row_number().over(within) - 1) / batch))
     # a batch goes if the frames before it don't free enough
-    head = placed.withColumn("_batch", F.floor(F.col("_at") / batch))
-    freed = head.groupBy("_batch").agg(F.min("_before").alias("_freed"))
-    cut = head.join(freed, "_batch").filter((F.col("_all") - F.col("_freed") > budget) & (F.col("frame_timestamp") < F.lit(floor).cast("timestamp")))
-    return cut.select("frame_id")
-
-
-def secure_subtrees(nodes: DataFrame, secure_roles: list[str], max_depth: int = 64) -> DataFrame:
-    """nodes (frame_id, id, parent_id, role) without secure nodes and all below them: a recursive query, joined on (frame, parent)."""
-    spark = nodes.sparkSession
-    roles = ", ".join("'" + r.lower().replace("'", "''") + "'" for r in secure_roles)
-    nodes.createOrReplaceTempView("_nodes")
-    blocked = spark.sql(f"""
-        WITH RECURSIVE blocked(frame_id, id) AS (
-          SELECT frame_id, id FROM _nodes WHERE lower(role) IN ({roles})
-          UNION ALL
-          SELECT n.frame_id, n.id FROM _nodes n JOIN blocked b ON n.frame_id = b.frame_id AND n.parent_id = b.id)
-        SELECT DISTINCT frame_id, id FROM blocked""")
-    return nodes.join(blocked, ["frame_id", "id"], "left_anti")
+    freed = placed.groupBy("_batch").agg(F.min("_before").alias("_freed"))
+    limit = budget if isinstance(budget, Column) else F.lit(budget)
+    return placed.join(freed, "_batch").filter((F.col("total") - F.col("_freed") > limit) & (F.col("frame_timestamp") < F.lit(floor).cast("timestamp"))).select("frame_id")
+
+
+def secure_subtrees(nodes: DataFrame, secure_roles: list[str]) -> DataFrame:
+    """nodes (frame_id, id, role, parent_id, path) without secure nodes and all below them; parent_id or path may be missing.
+
+    A frame whose nodes have a parent_id is walked along it, a level a round, each round joining the last one's nodes only; a node
+    met before isn't met again, so cycles end. A frame with none but with dotted paths loses what lies below a secure path. A frame with
+    neither loses its secure nodes only. Nodes without a frame are each their own.
+    """
+    for c, kind in (("parent_id", nodes.schema["id"].dataType), ("path", "string")):
+        nodes = nodes if c in nodes.columns else nodes.withColumn(c, F.lit(None).cast(kind))
+    secure = F.coalesce(F.lower("role").isin([r.lower() for r in secure_roles]), F.lit(False))
+    tree = materialize(nodes.filter("frame_id IS NOT NULL").select("frame_id", "id", "parent_id", "path", secure.alias("secure")), "tree")
+    shape = tree.groupBy("frame_id").agg(F.max("secure").alias("secure"), (F.count("parent_id") > 0).alias("linked"), (F.count("path") > 0).alias("placed"))
+    shape = shape.filter("secure").select("frame_id", "linked", "placed")
+    tree = materialize(tree.join(shape, "frame_id"), "secure-trees")
+
+    frontier = materialize(tree.filter("secure AND (linked OR placed)").select("frame_id", "id").distinct(), "blocked")
+    blocked = frontier
+    children = tree.filter("linked AND parent_id IS NOT NULL").select("frame_id", "id", "parent_id")
+    while True:
+        below = children.join(frontier.withColumnRenamed("id", "parent_id"), ["frame_id", "parent_id"], "left_semi").select("frame_id", "id").distinct()
+        frontier = materialize(below.join(blocked, ["frame_id", "id"], "left_anti"), "blocked")
+        if frontier.isEmpty():
+            break
+        blocked = materialize(blocked.unionByName(frontier), "blocked-so-far")
+
+    # paths: a node goes if any of the paths above its own belongs to a secure node
+    paths = tree.filter("placed AND NOT linked AND path IS NOT NULL")
+    parts = F.split("path", r"\.")
+    above = paths.select("frame_id", "id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("path"))
+    by_path = above.join(paths.filter("secure").select("frame_id", "path").distinct(), ["frame_id", "path"], "left_semi").select("frame_id", "id")
+    kept = nodes.join(blocked.unionByName(by_path).distinct(), ["frame_id", "id"], "left_anti")  # a null frame_id meets nothing
+    return kept.filter(~secure).select(nodes.columns)
 
 
 def compacted(df: DataFrame, path: str, files: int) -> None:

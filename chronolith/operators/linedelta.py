@@ -7,28 +7,47 @@ from pyspark.sql import Window as W
 
 from ..functions.text import lines, text_hash
 from ..functions.values import seconds_between
+from ..session import materialize, sliced
 
 IDLE_SECONDS = 300
 
 
+def epochs(frames: DataFrame, context: str, idle: int) -> DataFrame:
+    """(frame_id, context, epoch, seq) of frames: the epoch, from 1, and the place of each frame in its context.
+
+    Contexts may hold any share of all frames: rows are ordered in slices, and the slices of a context (a small table) follow each other.
+    """
+    order = [F.col(context), F.col("frame_timestamp"), F.col("frame_id")]
+    placed = sliced(frames.select("frame_id", context, "frame_timestamp"), order, "epochs")
+    own = W.partitionBy("_part", context).orderBy("frame_timestamp", "frame_id")
+    running = own.rowsBetween(W.unboundedPreceding, W.currentRow)
+    gap = seconds_between(F.col("frame_timestamp"), F.lag("frame_timestamp").over(own))
+    rows = placed.withColumn("_new", F.when(gap > idle, 1).otherwise(0)).withColumn("_at", F.row_number().over(own)).withColumn("_opened", F.sum("_new").over(running))
+    runs = rows.groupBy("_part", context).agg(F.min("frame_timestamp").alias("_from"), F.max("frame_timestamp").alias("_to"), F.sum("_new").alias("_n"), F.count("*").alias("_rows"))
+    by_context = W.partitionBy(context).orderBy("_part")
+    runs = runs.withColumn("_first", F.when(seconds_between(F.col("_from"), F.lag("_to").over(by_context)) <= idle, 0).otherwise(1))
+    before = by_context.rowsBetween(W.unboundedPreceding, -1)
+    past = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    runs = runs.select("_part", context, (past(F.col("_n") + F.col("_first")) + F.col("_first")).alias("_epochs"), past("_rows").alias("_past"))
+    return rows.join(runs, ["_part", context]).select("frame_id", context, (F.col("_epochs") + F.col("_opened")).alias("epoch"), (F.col("_past") + F.col("_at")).alias("seq"))
+
+
 def line_delta(frames: DataFrame, context: str = "context_key", idle: int = IDLE_SECONDS) -> DataFrame:
-    """(frame_id, context, epoch, kept_lines, delta_text, delta_hash) of each frame.
+    """(frame_id, context, epoch, kept_lines, delta_text, delta_hash) of each frame. Frame ids are unique, contexts not null.
 
     An epoch of a context ends after a pause of over `idle` seconds. A line counts as seen from the frame after its
     first one on, so repeats inside one frame survive. Frames without lines keep the epoch alive. The hash is null if nothing is left.
-    First occurrences come from a partial minimum, so a line on every frame is pre-aggregated before its shuffle.
+    Texts are not ordered: epochs come from times and ids. First occurrences come from a partial minimum, so a line on every frame is
+    pre-aggregated before its shuffle.
     """
-    by_context = W.partitionBy(context).orderBy("frame_timestamp", "frame_id")
-    gap = seconds_between(F.col("frame_timestamp"), F.lag("frame_timestamp").over(by_context))
-    begun = frames.withColumn("_new", F.when(gap <= idle, 0).otherwise(1))
-    running = by_context.rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = begun.withColumn("epoch", F.sum("_new").over(running)).withColumn("_seq", F.row_number().over(by_context)).drop("_new")
-    each = placed.select("frame_id", context, "epoch", "_seq", F.posexplode(F.transform(lines(F.col("extracted_text")), lambda x: F.trim(x))).alias("at", "line")).filter("line <> ''")
-    first = each.groupBy(context, "epoch", "line").agg(F.min("_seq").alias("_first"))
-    kept = each.join(first, [context, "epoch", "line"]).filter("_seq = _first")
+    placed = materialize(epochs(frames, context, idle), "placed")
+    split = frames.select("frame_id", F.posexplode(F.transform(lines(F.col("extracted_text")), lambda x: F.trim(x))).alias("at", "line")).filter("line <> ''")
+    each = split.join(placed, "frame_id")
+    first = each.groupBy(context, "epoch", "line").agg(F.min("seq").alias("first"))
+    kept = each.join(first, [context, "epoch", "line"]).filter("seq = first")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
     texts = kept.groupBy("frame_id").agg(F.count("*").alias("kept_lines"), joined.alias("delta_text"))
-    out = placed.select("frame_id", context, "epoch").join(texts, "frame_id", "left")
+    out = placed.join(texts, "frame_id", "left")
     return out.select(
         "frame_id", context, F.col("epoch").cast("long").alias("epoch"), F.coalesce("kept_lines", F.lit(0)).alias("kept_lines"),
         F.coalesce("delta_text", F.lit("")).alias("delta_text"), text_hash(F.col("delta_text")).alias("delta_hash"),

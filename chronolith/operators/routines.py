@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import ascii_tokens, lines, redact_secrets, token_list, tokens, truncated
 from ..functions.values import ratio
+from ..session import ranked
 
 
 def latest_runs(definitions: DataFrame, runs: DataFrame) -> DataFrame:
@@ -45,11 +46,10 @@ def evidence_lines(file_rows: DataFrame, question: str, limit: int = 5, ascii_on
     return scored.filter("score > 0").orderBy(F.desc("score"), "key", "line_number").limit(limit)
 
 
-def highlights(file_rows: DataFrame, limit: int = 3) -> DataFrame:
-    """The first lines of each file that aren't blank."""
-    kept = file_rows.withColumn("line", F.trim("line")).filter("line <> ''")
-    first = F.slice(F.sort_array(F.collect_list(F.struct("line_number", "line"))), 1, limit)
-    return kept.groupBy("key").agg(F.transform(first, lambda x: x["line"]).alias("highlights"))
+def highlights(files: DataFrame, limit: int = 3) -> DataFrame:
+    """The first lines of each file (key, text) that aren't blank; files without any are left out."""
+    kept = F.filter(F.transform(lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")
+    return files.select("key", F.slice(kept, 1, limit).alias("highlights")).filter(F.size("highlights") > 0)
 
 
 def memory_written(memory: DataFrame, scope: str, text: str, append: bool = True) -> DataFrame:
@@ -86,7 +86,9 @@ def session_iou(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def p95_by_index(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """The value at place floor(0.95 n) - 1 of each key's sorted values, and 0 at least."""
-    ordered = F.sort_array(F.collect_list(value))
-    at = F.greatest(F.floor(F.size(ordered) * 0.95) - 1, F.lit(0)).cast("int")
-    return rows.groupBy(key).agg(F.get(ordered, at).alias(order), F.count("*").alias("n"))
+    """The value at place floor(0.95 n) - 1 of each key's sorted values, and 0 at least. Keys aren't null. Ranks are taken over slices, so no task holds a key."""
+    kept = rows.select(key, value).filter(F.col(value).isNotNull())
+    n = rows.groupBy(key).agg(F.count(value).alias("_m"), F.count("*").alias("n"))
+    placed = ranked(kept, key, [F.col(value)], "p95").join(n, key)
+    at = F.greatest(F.floor(F.col("_m") * 0.95) - 1, F.lit(0))
+    return placed.filter(F.col("rank") == at).select(key, F.col(value).alias(order), "n")

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import keyword_form
 from ..functions.values import clamp_limit, dot
+from ..session import few, sliced
 
 RRF_CONSTANT = 60
 
 
-def matching(frames: DataFrame, query: str, start=None, end=None, app: str | None = None, text: str = "extracted_text", normalised: bool = False) -> DataFrame:
-    """Frames with a text that holds the query, in the bounds (both included) and app asked for. Bounds and app reach the scan."""
-    out = frames.filter(F.col(text) != "")
+def bounded(frames: DataFrame, start=None, end=None, app: str | None = None, text: str | None = "extracted_text") -> DataFrame:
+    """Frames with a text, in the bounds (both included) and app asked for: all of it reaches the scan."""
+    out = frames if text is None else frames.filter(F.col(text) != "")
     if start is not None:
         out = out.filter(F.col("frame_timestamp") >= F.lit(start).cast("timestamp"))
     if end is not None:
         out = out.filter(F.col("frame_timestamp") <= F.lit(end).cast("timestamp"))
     if app is not None:
         out = out.filter(F.col("app_name") == app)
-    needle = F.lower(F.lit(query))
-    return out.filter(F.contains(keyword_form(F.col(text), normalised), needle))
+    return out
+
+
+def matching(frames: DataFrame, query: str, start=None, end=None, app: str | None = None, text: str = "extracted_text", normalised: bool = False) -> DataFrame:
+    """The bounded frames whose text holds the query, in any case and composition of its characters."""
+    needle = F.lit(unicodedata.normalize("NFC", query).lower())
+    return bounded(frames, start, end, app, text).filter(F.contains(keyword_form(F.col(text), normalised), needle))
 
 
 def newest(frames: DataFrame, limit: float | None = None, after: tuple | None = None) -> DataFrame:
@@ -33,9 +41,23 @@ def newest(frames: DataFrame, limit: float | None = None, after: tuple | None =
     return frames.orderBy(F.desc("frame_timestamp"), F.desc("frame_id")).limit(clamp_limit(limit))
 
 
-def scan_budget(frames: DataFrame, budget: int) -> DataFrame:
-    """The newest `budget` frames, which a budgeted scan looks at."""
-    return frames.orderBy(F.desc("frame_timestamp"), F.desc("frame_id")).limit(budget)
+def within_budget(frames: DataFrame, budget: int) -> tuple[DataFrame, bool]:
+    """The newest `budget` frames, which a budgeted scan looks at, and whether there are more.
+
+    The time and id of the last one are found on times and ids alone; what is older is filtered in the scan.
+    """
+    if few(frames.select("frame_id"), budget):
+        return frames, False
+    order = [F.desc("frame_timestamp"), F.desc("frame_id")]
+    placed = sliced(frames.select("frame_timestamp", "frame_id"), order, "scan")
+    left = budget
+    for r in placed.groupBy("_part").count().orderBy("_part").collect():  # a row a slice
+        if r["count"] >= left:
+            last = placed.filter(F.col("_part") == r["_part"]).orderBy(*order).limit(left).agg(F.min(F.struct("frame_timestamp", "frame_id")).alias("m")).first()["m"]
+            break
+        left -= r["count"]
+    at = F.lit(last["frame_timestamp"])
+    return frames.filter((F.col("frame_timestamp") > at) | ((F.col("frame_timestamp") == at) & (F.col("frame_id") >= last["frame_id"]))), True
 
 
 def scan_state(frames: DataFrame, budget: int) -> DataFrame:
@@ -44,9 +66,23 @@ def scan_state(frames: DataFrame, budget: int) -> DataFrame:
     return frames.agg(n.alias("eligible"), F.least(n, F.lit(budget)).cast("long").alias("scanned"), (n > budget).alias("truncated"))
 
 
+def held(hits: DataFrame) -> DataFrame:
+    """Hits, which a result limit (100 rows at most) has made few, as a local table: what they were searched in is scanned once, however often they are used."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
+def of_keys(rows: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys occur among hits (held): the keys reach the scan of rows as values."""
+    out = rows
+    for k in keys:
+        out = out.filter(F.col(k).isin([r[0] for r in hits.select(k).distinct().collect() if r[0] is not None]))
+    return out
+
+
 def with_sessions(hits: DataFrame, owners: DataFrame) -> DataFrame:
-    """Hits with the session that owns them, if any. Hits are limited, so they are the side to send around."""
-    return owners.join(F.broadcast(hits), "frame_id", "right")
+    """Hits with the session that owns them, if any. Owners are cut down to the hits before they meet."""
+    own = owners.join(F.broadcast(hits.select("frame_id").distinct()), "frame_id", "left_semi")  # hits are limited
+    return hits.join(own, "frame_id", "left")
 
 
 def grouped_by_session(hits: DataFrame) -> DataFrame:
@@ -57,18 +93,15 @@ def grouped_by_session(hits: DataFrame) -> DataFrame:
     return groups.orderBy("first_rank")
 
 
-def narrative(hits: DataFrame) -> DataFrame:
-    """One line on the hits: how many, and apps by count."""
-    per_app = hits.groupBy(F.coalesce("app_name", F.lit("unknown")).alias("app")).agg(F.count("*").alias("n"))
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("app"), F.col("n"))))
-    text = F.array_join(F.transform(ordered, lambda x: F.concat(x["app"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ")
-    return per_app.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), text.alias("apps"))
-
-
 def without_suppressed_points(hits: DataFrame, ranges: DataFrame, ts: str = "frame_timestamp") -> DataFrame:
-    """Drop rows whose time falls into a (from, to) range, ends included. Ranges are a control table: a handful of rows."""
-    r = F.broadcast(ranges.select(F.col("from").alias("_from"), F.col("to").alias("_to")))
-    return hits.join(r, (F.col(ts) >= F.col("_from")) & (F.col(ts) <= F.col("_to")), "left_anti")
+    """Drop rows whose time falls into a (from, to) range, ends included; rows without a time stay. A control table of few ranges is sent to all
+    tasks; beyond that, rows and ranges meet by day."""
+    r = ranges.select(F.col("from").alias("_from"), F.col("to").alias("_to"))
+    inside = (F.col(ts) >= F.col("_from")) & (F.col(ts) <= F.col("_to"))
+    if few(r):
+        return hits.join(F.broadcast(r), inside, "left_anti")
+    days = r.withColumn("_day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))))
+    return hits.join(days, (F.to_date(ts) == F.col("_day")) & inside, "left_anti")
 
 
 def similarity(embedding: Column, query: list[float]) -> Column:

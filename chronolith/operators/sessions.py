@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from ..functions import narratives
 from ..functions.values import bucket_start, clamp, half_up, seconds_between
+from ..session import few
 
 IDLE_SECONDS = 120
 
@@ -26,9 +28,10 @@ def sessionized(frames: DataFrame, keys: list[str], idle: int = IDLE_SECONDS, ts
     return numbered.withColumn("session_id", name)
 
 
-def sessions_of(numbered: DataFrame, keys: list[str], ts: str = "frame_timestamp", frame: str = "frame_id") -> DataFrame:
-    """One row a session: its bounds, active seconds (a first frame adds none), and its frames in order of time."""
+def sessions_of(numbered: DataFrame, keys: list[str], ts: str = "frame_timestamp", frame: str = "frame_id", first: tuple[str, ...] = ()) -> DataFrame:
+    """One row a session: its bounds, active seconds (a first frame adds none), its frames in order of time, and what its first frame says (app, label, source types)."""
     return numbered.groupBy(*keys, "session_id").agg(
+        *[F.min_by(c, F.struct(F.col(ts), F.col(frame))).alias(c) for c in first],
         F.min(ts).alias("started_at"),
         F.max(ts).alias("ended_at"),
         F.coalesce(F.sum("gap_seconds"), F.lit(0.0)).alias("active_seconds"),
@@ -66,9 +69,15 @@ def session_list(sessions: DataFrame, start=None, end=None, app: str | None = No
 
 
 def without_suppressed_intervals(sessions: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Drop sessions that overlap any (from, to) range, both ends included. Ranges are a control table: a handful of rows."""
-    r = F.broadcast(ranges.select(F.col("from").alias("_from"), F.col("to").alias("_to")))
-    return sessions.join(r, (F.col("ended_at") >= F.col("_from")) & (F.col("started_at") <= F.col("_to")), "left_anti")
+    """Drop sessions that overlap any (from, to) range, both ends included. A control table of few ranges is sent to all tasks; beyond
+    that, days of sessions and of ranges meet first."""
+    r = ranges.select(F.col("from").alias("_from"), F.col("to").alias("_to"))
+    overlap = (F.col("ended_at") >= F.col("_from")) & (F.col("started_at") <= F.col("_to"))
+    if few(r):
+        return sessions.join(F.broadcast(r), overlap, "left_anti")
+    days = r.withColumn("_day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))))
+    of = sessions.select("session_id", "started_at", "ended_at", F.explode(F.sequence(F.to_date("started_at"), F.to_date("ended_at"))).alias("_day"))
+    return sessions.join(of.join(days, (of["_day"] == days["_day"]) & overlap, "left_semi").select("session_id"), "session_id", "left_anti")
 
 
 def recall_sessions(sessions: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:
@@ -122,7 +131,15 @@ def frame_owners(sessions: DataFrame, frame: str = "frame_id") -> DataFrame:
 
 
 def summary_text(sessions: DataFrame) -> DataFrame:
-    """The template summary of each session, in plain words."""
-    minutes = F.greatest(half_up(F.col("active_seconds") / 60), F.lit(1))
-    text = F.concat(F.coalesce("app_name", F.lit("unknown")), F.lit(": "), F.col("frames").cast("string"), F.lit(" frames in "), minutes.cast("string"), F.lit(" min"))
+    """The template summary of each session (app_name, context_label): what is shown while no model has written one."""
+    text = narratives.summary(*[F.col(c) for c in ("app_name", "context_label", "started_at", "ended_at", "active_seconds", "frames")])
     return sessions.withColumn("summary_text", text).withColumn("summary_status", F.lit("degraded"))
+
+
+def counts(sessions: DataFrame, since) -> DataFrame:
+    """One row: when a session was last closed, how many are open, started since a time, and summaries by status."""
+    status = lambda *s: F.count_if(F.col("summary_status").isin(*s))
+    return sessions.agg(
+        F.max(F.when(~F.col("is_open"), F.col("ended_at"))).alias("last_closed"), F.count_if("is_open").alias("open"),
+        F.count_if(F.col("started_at") >= F.lit(since).cast("timestamp")).alias("started_since"), status("ready").alias("ready"), status("pending").alias("pending"), status("failed", "degraded").alias("failed"),
+    )

@@ -30,7 +30,7 @@ class LineDelta(StatefulProcessor):
         self.seen = handle.getMapState("seen", StructType([StructField("hash", StringType())]), StructType([StructField("epoch", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "frame_id"])  # one context of one micro-batch, bounded by the source's rate
+        batch = pd.concat(list(rows)).sort_values(["ts_us", "frame_id"])  # one context of one micro-batch, which the source's rate limit bounds
         last, epoch = self.last.get() if self.last.exists() else (None, 0)
         out = []
         for frame, us, texts, hashes in zip(batch["frame_id"], batch["ts_us"], batch["lines"], batch["hashes"], strict=True):
@@ -55,7 +55,8 @@ class LineDelta(StatefulProcessor):
 
 
 def stream_line_delta(frames: DataFrame, context: str, idle: int) -> DataFrame:
-    """(frame_id, context, epoch, kept_lines, delta_text) of a stream of frames; state is keyed by context. Needs the RocksDB state store."""
+    """(frame_id, context, epoch, kept_lines, delta_text) of a stream of frames; state is keyed by context. Needs the RocksDB state store, and a
+    source with a rate limit (``maxBytesPerTrigger``): a task holds what a context adds in one micro-batch."""
     kept = F.filter(F.transform(lines(F.col("extracted_text")), lambda x: F.trim(x)), lambda x: x != "")
     rows = frames.select(F.col(context).alias("context"), "frame_id", F.unix_micros("frame_timestamp").alias("ts_us"), kept.alias("lines"))
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: text_hash(x)))
