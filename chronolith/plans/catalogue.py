@@ -12,6 +12,7 @@ from ..operators import diagnostics as dg, find as fi, ingest as ig, lifecycle a
 from ..functions import trees as tr
 from ..operators.linedelta import line_delta
 from ..session import shared_dir
+from ..sources import readers as rd
 from ..streaming import streams as st
 from .views import FRAMES_SQL, IDLE, NUMBERED_SQL, USER, activity, frames, rows, table, vectors
 
@@ -760,6 +761,90 @@ def p95_index(spark, d):
     return rt.p95_by_index(activity(spark, d), "app_name", "value", "p95")
 
 
+# --- scans and small functions ----------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id AS frame_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-20' - INTERVAL 600 MINUTE AND TIMESTAMP '2024-01-20'")
+def recent_window(spark, d):
+    return rd.recent(activity(spark, d), 600, "2024-01-20 00:00:00").select("frame_id")
+
+
+@query("SELECT event_id AS frame_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-09 12:00:00'")
+def derived_window(spark, d):
+    return rd.between(activity(spark, d), "2024-01-08 00:00:00", "2024-01-09 12:00:00").select("frame_id")
+
+
+@query("SELECT vec_id, event_type AS app_name FROM embeddings JOIN events ON vec_id = event_id WHERE ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-09 12:00:00'")
+def vector_window(spark, d):
+    return rd.between(vectors(spark, d), "2024-01-08 00:00:00", "2024-01-09 12:00:00").select("vec_id", "app_name")
+
+
+@query("SELECT event_id AS frame_id FROM events WHERE event_id IN (SELECT l_orderkey FROM lineitem)")
+def multi_key_lookup(spark, d):
+    return rd.by_ids(activity(spark, d), _elements(spark, d)).select("frame_id")
+
+
+RAW = [
+    "doc_id AS frame_id", "doc_id % 50 AS seq", "CASE WHEN doc_id % 5 > 0 THEN 'r' || doc_id END AS id", "CASE WHEN doc_id % 7 > 0 THEN '2024-01-01T00:00:00Z' END AS timestamp",
+    "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE lang END AS text", """CASE doc_id % 4 WHEN 0 THEN '{"role": "AXGroup"}' WHEN 1 THEN '[]' WHEN 2 THEN 'role' END AS accessibility_tree_json""",
+]
+
+
+@query(f"""WITH r AS (SELECT {', '.join(RAW)} FROM documents) SELECT frame_id, coalesce(id, 'frame:' || frame_id || ':' || (seq + 100)) AS id FROM r WHERE timestamp IS NOT NULL AND (trim(coalesce(text, '')) <> '' OR accessibility_tree_json LIKE '{{%')""")
+def normalised_records(spark, d):
+    raw = table(spark, d, "documents").selectExpr(*RAW).withColumn("accessibility_tree_json", F.replace("accessibility_tree_json", F.lit(": "), F.lit(":\n ")))
+    return ig.normalised_records(raw, 100).select("frame_id", "id")
+
+
+@query("SELECT vec_id FROM embeddings JOIN events ON vec_id = event_id WHERE NOT CASE WHEN vec_id % 3 = 2 THEN date_trunc('second', ts) ELSE ts END BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-19 12:00:00'")
+def vectors_outside_range(spark, d):
+    v = vectors(spark, d).withColumnRenamed("frame_timestamp", "timestamp")
+    text = F.when(F.col("vec_id") % 3 == 0, "").when(F.col("vec_id") % 3 == 1, "no time").otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return lc.vectors_outside(v.withColumn("frame_timestamp", text), "2024-01-08 00:00:00", "2024-01-19 12:00:00").select("vec_id")
+
+
+@query("SELECT event_id AS run_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 25")
+def routine_history(spark, d):
+    runs = activity(spark, d).select(F.col("app_name").alias("name"), F.col("frame_id").alias("run_id"), F.col("frame_timestamp").alias("started_at"))
+    return rt.history(runs, "click", 25).select("run_id")
+
+
+@query("""WITH f AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id * 2 END AS ref, CASE event_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN '' END AS t FROM events)
+SELECT count(*) AS frames, count(*) FILTER (coalesce(t, '') <> '') AS with_tree, (SELECT count(*) FROM lineitem) AS elements, count(*) FILTER (ref IS NOT NULL AND ref NOT IN (SELECT l_orderkey FROM lineitem)) AS dangling FROM f""")
+def maintenance_counts(spark, d):
+    i = F.col("frame_id")
+    f = activity(spark, d).withColumn("elements_ref_frame_id", F.when(i % 3 == 0, i * 2)).withColumn("accessibility_tree_json", F.when(i % 4 == 0, "{}").when(i % 4 == 1, ""))
+    return dg.maintenance_counts(f, _elements(spark, d)).select("frames", "with_tree", "elements", "dangling")
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower('-- ' || source || ' & ' || upper(lang) || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS name FROM documents")
+def routine_names(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.routine_name(F.concat(F.lit("-- "), "source", F.lit(" & "), F.upper("lang"), F.lit("!"))).alias("name"))
+
+
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN chr(10) ELSE '' END AS t FROM documents), s AS (SELECT doc_id, string_split(t, chr(10)) AS s FROM t)
+SELECT doc_id, CASE WHEN s[len(s)] = '' THEN len(s) - 1 ELSE len(s) END AS n FROM s""")
+def line_counts(spark, d):
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise(""))
+    crlf = F.when(F.col("doc_id") % 2 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    return table(spark, d, "documents").select("doc_id", F.size(tx.lines(crlf)).cast("long").alias("n"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || ',' || source WHEN 1 THEN lang ELSE '' END AS parts FROM documents""")
+def json_arrays(spark, d):
+    text = F.when(F.col("doc_id") % 4 == 0, F.to_json(F.array("lang", "source"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit('["'), "lang", F.lit('", null]'))).when(F.col("doc_id") % 4 == 2, "[1, ")
+    return table(spark, d, "documents").select("doc_id", F.array_join(vl.string_array(text), ",").alias("parts"))
+
+
+@query("""SELECT event_id, epoch_us(CASE event_id % 3 WHEN 0 THEN ts - INTERVAL 1 HOUR WHEN 1 THEN ts - INTERVAL 1 DAY ELSE TIMESTAMP '0001-01-01' END) AS start_us,
+  CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN epoch_us(date_trunc('second', ts)) ELSE epoch_us(date_trunc('second', ts)) - 7200000000 END AS utc_us FROM events""")
+def time_functions(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    word = F.expr("CASE event_id % 3 WHEN 0 THEN 'last_1h' WHEN 1 THEN 'last_1d' ELSE 'all' END")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.expr("CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Z' ELSE '+02:00' END"))
+    return e.select("event_id", us(vl.privacy_range_start(word, F.col("ts"))).alias("start_us"), us(vl.utc_timestamp(text)).alias("utc_us"))
+
+
 # --- trees ---------------------------------------------------------------------------------------------------------------
 
 #: Lines of a document that read alike everywhere, and its tree as a flat array: window, heading, text area with the lines, a secure field with a child, a group.

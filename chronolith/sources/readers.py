@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CAPTURE = "id string, text string, timestamp string, appName string, windowName string, frameId long, sourceTypes array<string>, role string, parentId string, path string, accessibilityTreeJson string"
@@ -40,23 +42,30 @@ def memory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def log_tail(spark: SparkSession, path: str, limit: int = 200, level: str | None = None) -> DataFrame:
-    """The last lines of a log, newest first; JSON lines are parsed, others are kept raw and have no level."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    """The last lines of a log, newest first; JSON lines are parsed, others are kept raw and have no level. Levels are compared in any case.
+
+    A line's place is its file, the block of the file it was read in, and its number there: how blocks are dealt to tasks doesn't matter.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("at")).filter(F.trim("value") != "")
     rows = lines.select("at", F.get_json_object("value", "$.level").alias("level"), F.get_json_object("value", "$.message").alias("message"), F.col("value").alias("raw"))
-    rows = rows if level is None else rows.filter(F.col("level") == level)
+    rows = rows if level is None else rows.filter(F.lower("level") == level.lower())
     return rows.orderBy(F.desc("at")).limit(min(max(limit, 1), 1000)).drop("at")
 
 
 def folder_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """(files, bytes) below a folder; contents are not read."""
+    """(exists, files, bytes) below a folder; contents are not read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([(False, 0, 0)], "exists boolean, files long, bytes long")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    return files.agg(F.lit(True).alias("exists"), F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def table_bytes(spark: SparkSession, root: str) -> DataFrame:
     """(name, bytes) of each table folder or file under root, largest first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    name = F.regexp_extract("path", rf"{root.rstrip('/').removeprefix('file://')}/([^/]+)", 1)
+    name = F.regexp_extract("path", re.escape(root.rstrip("/").removeprefix("file://")) + "/([^/]+)", 1)
     return files.groupBy(name.alias("name")).agg(F.sum("length").alias("bytes")).orderBy(F.desc("bytes"), "name")
 
 

@@ -5,7 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from chronolith.operators import diagnostics as dg, ingest as ig, lifecycle as lc, routines as rt, search as se, sessions as ss
-from chronolith.operators.linedelta import line_delta
+from chronolith.operators.find import find
+from chronolith.operators.linedelta import epochs, line_delta
 from chronolith.session import ranked
 
 T0 = dt.datetime(2024, 1, 1)
@@ -129,3 +130,67 @@ def test_keyword_search_pushes_bounds_to_the_scan(spark, tmp_path):
     frames(spark, [(1, 0, "a", "x")]).write.parquet(str(tmp_path / "f"))
     plan = se.newest(se.matching(spark.read.parquet(str(tmp_path / "f")), "x", at(0), at(9), "a", normalised=True), 5)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(frame_timestamp" in plan and "EqualTo(app_name,a)" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_secure_cycles_end_and_frames_without_a_tree_lose_secure_rows_only(spark):
+    n = spark.createDataFrame(
+        [(1, "a", "b", None, "secure"), (1, "b", "a", None, "x"), (1, "c", None, None, "x"), (2, "a", None, None, "secure"), (2, "a", None, None, "x"), (None, "z", None, None, "Secure"), (None, "z", None, None, "y"),
+         (3, "p", None, "0.1", "secure"), (3, "q", None, "0.1.4.2", "x"), (3, "r", None, "0.10", "x"), (3, "s", None, None, "x")],
+        "frame_id long, id string, parent_id string, path string, role string",
+    )
+    got = sorted(((r.frame_id or 0, r.id, r.role) for r in lc.secure_subtrees(n, ["SECURE"]).collect()))
+    assert got == [(0, "z", "y"), (1, "c", "x"), (2, "a", "x"), (3, "r", "x"), (3, "s", "x")]
+
+
+def test_epochs_over_slices_equal_a_loop(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.choice("ab"), at(r.randrange(4000))) for i in range(400)]
+    got = {x.frame_id: (x.epoch, x.seq) for x in epochs(spark.createDataFrame(rows, "frame_id long, c string, frame_timestamp timestamp"), "c", 30).collect()}
+    for c in "ab":
+        epoch, last = 0, None
+        for seq, (i, _, ts) in enumerate(sorted((x for x in rows if x[1] == c), key=lambda x: (x[2], x[0])), 1):
+            epoch += last is None or (ts - last).total_seconds() > 30
+            last = ts
+            assert got[i] == (epoch, seq)
+
+
+def test_find_says_what_it_could_not_do(spark):
+    f = frames(spark, [(i, i * 10, "a", "needle" if i % 3 == 0 else "hay") for i in range(30)]).withColumn("user_id", F.lit(1))
+    whole = find(f, f, ["user_id"], "NEEDLE", idle=60)
+    assert whole.degraded is None and [r.frame_id for r in whole.hits.orderBy("rank").collect()] == list(range(27, -1, -3))
+    assert whole.groups.count() == 1 and "10" in whole.narrative.first()["narrative"]
+    short = find(f, f, ["user_id"], "needle", idle=60, budget=7)
+    assert "truncated at 7 rows" in short.degraded["reason"] and sorted(r.frame_id for r in short.hits.collect()) == [24, 27]
+    assert find(f, f, ["user_id"], "needle", idle=60, budget=7, limit=2).degraded is None
+    assert find(f, f, ["user_id"], "needle", idle=60, mode="semantic").degraded["actual_mode"] == "keyword"
+    assert find(f, f, ["user_id"], "needle", idle=60, mode="hybrid").degraded is None
+    assert find(f, f, ["user_id"], "nothing", idle=60).narrative.first()["hits"] == 0
+
+
+def test_plans_send_around_what_is_small(spark, tmp_path):
+    frames(spark, [(i, i * 10, "a", "x") for i in range(9)]).withColumn("user_id", F.lit(1)).write.parquet(str(tmp_path / "f"))
+    f = spark.read.parquet(str(tmp_path / "f"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    found = find(f, f, ["user_id"], "x", idle=60, normalised=True)
+    plan = found.hits._jdf.queryExecution().toString()
+    assert "EqualTo(user_id,1)" in plan or "In(user_id" in plan
+    assert "SortMergeJoin" not in plan
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from chronolith.session import clear_intermediate, materialize
+
+    df = materialize(spark.range(5).toDF("id"), "test")
+    assert df.count() == 5 and clear_intermediate(spark) and not clear_intermediate(spark)
+
+
+def test_log_tail_and_folders(spark, tmp_path):
+    from chronolith.sources import readers as rd
+
+    (tmp_path / "a.log").write_text("\n".join(["plain", *(f'{{"level": "Warn", "message": "m{i}"}}' for i in range(50))]))
+    got = rd.log_tail(spark, str(tmp_path / "a.log"), 3, "WARN").collect()
+    assert [r.message for r in got] == ["m49", "m48", "m47"]
+    assert rd.folder_bytes(spark, str(tmp_path)).first()["files"] == 1
+    assert rd.folder_bytes(spark, str(tmp_path / "none")).first()["exists"] is False
