@@ -143,6 +143,18 @@ def extraction_ratio(frames: DataFrame, text: str = "extracted_text") -> DataFra
     return out.withColumn("empty_ratio", F.round(ratio(F.col("empty").cast("double"), F.col("total")), 6))
 
 
+def roll_up(frames: DataFrame, sessions: DataFrame) -> DataFrame:
+    """One row on extraction, sessions (is_open) and summaries (summary_status)."""
+    of = lambda *s: F.count_if(F.col("summary_status").isin(*s))
+    told = sessions.agg(F.count("*").alias("sessions"), F.count_if("is_open").alias("open"), of("ready").alias("ready"), of("pending").alias("pending"), of("failed", "degraded").alias("failed"))
+    return extraction_ratio(frames).crossJoin(told)  # a row each
+
+
+def elided(columns: list[str]) -> Column:
+    """The columns as a JSON object without those that are null."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
+
+
 def capture_state(written: Column, running: Column, process_age: Column, frame_age: Column, grace: int = 60, liveness: int = 120) -> Column:
     return (
         F.when(~written & ~running, "process-down")

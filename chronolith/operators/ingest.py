@@ -56,6 +56,25 @@ def checkpoint(results: DataFrame) -> DataFrame:
     )
 
 
+def committed(results: DataFrame, context: str = "context_key") -> DataFrame:
+    """results (frame_timestamp, frame_id, context, failed, extracted_text) with `committed`: whether a result becomes state.
+
+    Results from the first failure on don't, as the checkpoint stops there; nor do those of a context after a failed frame of it that has a text.
+    """
+    place = F.struct("frame_timestamp", "frame_id")
+    ceiling = results.filter("failed").agg(F.min(place).alias("_ceiling"))  # one row
+    blocked = results.filter("failed AND extracted_text <> ''").groupBy(context).agg(F.min(place).alias("_blocked"))
+    out = results.crossJoin(F.broadcast(ceiling)).join(blocked, context, "left")
+    before = lambda c: F.col(c).isNull() | (place < F.col(c))
+    return out.withColumn("committed", ~F.col("failed") & before("_ceiling") & before("_blocked")).drop("_ceiling", "_blocked")
+
+
+def hydrated(rows: DataFrame, open_sessions: DataFrame, checkpoint, context: str = "context_key") -> DataFrame:
+    """The rows that line state is rebuilt from: those of contexts with an open session (started_at), from its start to the checkpoint."""
+    since = open_sessions.groupBy(context).agg(F.min("started_at").alias("_since"))
+    return rows.join(since, context).filter((F.col("frame_timestamp") >= F.col("_since")) & (F.col("frame_timestamp") <= F.lit(checkpoint).cast("timestamp"))).drop("_since")
+
+
 def freshness(lag_minutes: Column, backlog: Column, window: int = 15) -> Column:
     whole = F.floor(lag_minutes)
     return (

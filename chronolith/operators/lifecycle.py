@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import frame_of_capture
+from ..functions.values import iso
 from ..session import materialize, sliced
 
 
@@ -38,6 +39,27 @@ def cascade(sessions: DataFrame, content: DataFrame, vectors: DataFrame, ids: Da
     return sessions_without_frames(sessions, ids), content_without_frames(content, ids), vectors_without_frames(vectors, ids)
 
 
+def cascade_range(sessions: DataFrame, content: DataFrame, vectors: DataFrame, frames: DataFrame, start, end) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What remains once all that belongs to frames of a range, and vectors of that time, have gone."""
+    left = cascade(sessions, content, vectors, frames_in_range(frames, start, end))
+    return left[0], left[1], vectors_outside(left[2], start, end)
+
+
+def without_trees(frames: DataFrame, elements: DataFrame, before) -> DataFrame:
+    """frames older than a time lose their tree where its elements are stored: under the frame they refer to, or their own."""
+    held = elements.select(F.col("frame_id").alias("_held"), F.lit(True).alias("_has")).distinct()
+    own = F.coalesce("elements_ref_frame_id", "frame_id") if "elements_ref_frame_id" in frames.columns else F.col("frame_id")
+    swept = (F.col("frame_timestamp") < F.lit(before).cast("timestamp")) & F.coalesce("_has", F.lit(False))
+    out = frames.join(held, own == F.col("_held"), "left").withColumn("accessibility_tree_json", F.when(~swept, F.col("accessibility_tree_json")))
+    return out.select(frames.columns)
+
+
+def migrated(table: DataFrame, times: list[str]) -> DataFrame:
+    """A table whose times, given as text, are all in UTC with a Z; what is no time stays as it is."""
+    utc = lambda c: F.when(F.col(c).endswith("Z"), F.col(c)).otherwise(F.coalesce(iso(F.try_to_timestamp(c)), F.col(c)))
+    return table.withColumns({c: utc(c) for c in times})
+
+
 def frames_in_range(frames: DataFrame, start, end) -> DataFrame:
     """Ids of frames in the range by whole seconds, ends included."""
     at = F.date_trunc("second", "frame_timestamp")

@@ -59,11 +59,32 @@ def memory_written(memory: DataFrame, scope: str, text: str, append: bool = True
     return memory.withColumn("content", F.when(F.col("scope") == scope, new).otherwise(F.col("content")))
 
 
-def source_stats(rows: DataFrame) -> DataFrame:
-    """Totals of (module, language, lines, chars) by module, by language and over all, in one pass."""
-    return rows.groupingSets([["module"], ["language"], []], "module", "language").agg(
-        F.grouping_id().alias("grouping"), F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum("chars").alias("chars")
-    )
+def source_stats(rows: DataFrame, groups: list[str], sums: list[str]) -> DataFrame:
+    """Files and sums by each of the groups (module, language, directory) and over all, in one pass."""
+    return rows.groupingSets([[g] for g in groups] + [[]], *groups).agg(F.grouping_id().alias("grouping"), F.count("*").alias("files"), *[F.sum(c).alias(c) for c in sums])
+
+
+def largest_sources(rows: DataFrame, limit: int = 10) -> DataFrame:
+    """The files (path, code) with most code."""
+    return rows.orderBy(F.desc("code"), "path").limit(limit)
+
+
+# What can be asked about, and how large it may be.
+TEXT_EXTENSIONS = [".txt", ".md", ".json", ".csv", ".log"]
+MOST_BYTES = 1_048_576
+
+
+def file_error(files: DataFrame, roots: list[str], extensions: list[str] = TEXT_EXTENSIONS, most: int = MOST_BYTES) -> DataFrame:
+    """files (path, kind: file, directory or null where there is none; length, content) with the first thing that speaks against reading them, if any."""
+    root = F.lit(False)
+    for r in roots:
+        root = root | (F.col("path") == r.rstrip("/")) | F.col("path").startswith(r.rstrip("/") + "/")
+    extension = F.lower(F.regexp_extract("path", r"[^/](\.[^./]*)$", 1))
+    error = (
+        F.when(F.col("kind").isNull(), "FILE_NOT_FOUND").when(F.col("kind") == "directory", "PATH_IS_DIRECTORY").when(~root, "PATH_NOT_ALLOWED").when(F.col("length") > most, "FILE_TOO_LARGE")
+        .when(~extension.isin(extensions), "UNSUPPORTED_EXTENSION").when(F.col("content").isNull(), "FILE_READ_FAILED").when(F.contains(F.col("content"), F.lit(b"\0")), "BINARY_CONTENT")
+    )
+    return files.withColumn("error", error)
 
 
 def precision_recall(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import narratives as nv, text as tx, values as vl
-from ..operators import diagnostics as dg, find as fi, ingest as ig, lifecycle as lc, routines as rt, search as se, sessions as ss
+from ..functions import code as cd, narratives as nv, text as tx, values as vl
+from ..operators import diagnostics as dg, find as fi, ingest as ig, lifecycle as lc, privacy as pr, routines as rt, search as se, sessions as ss
 from ..functions import trees as tr
 from ..operators.linedelta import line_delta
 from ..session import shared_dir
@@ -419,6 +419,47 @@ def secure_subtree_rows(spark, d):
     return lc.secure_subtrees(nodes, ["ERROR"]).select("frame_id", "id")
 
 
+STATES_SQL = """s AS (SELECT event_id AS id, ts, event_id % 2 = 0 AS p, CASE WHEN event_id % 3 > 0 THEN ts - INTERVAL 1 HOUR * (event_id % 3 - 1) END AS a, ['Mail', event_type] AS apps FROM events)"""
+
+
+def _states(spark, d) -> DataFrame:
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    started = F.expr("CASE WHEN event_id % 3 > 0 THEN ts - make_interval(0, 0, 0, 0, CAST(event_id % 3 - 1 AS INT)) END")
+    return e.select(F.col("event_id").alias("id"), "ts", F.expr("event_id % 2 = 0").alias("paused"), started.alias("pause_started_at"), F.array(F.lit("Mail"), F.col("event_type")).alias("excluded_apps"), F.array().cast(pr.RANGES).alias("suppressed_ranges"))
+
+
+@query(f"WITH {STATES_SQL} SELECT id, epoch_us(CASE WHEN p AND a IS NOT NULL THEN a ELSE ts END) AS since_us FROM s")
+def privacy_pause(spark, d):
+    return pr.paused(_states(spark, d), F.col("ts")).filter("paused").select("id", us("pause_started_at").alias("since_us"))
+
+
+@query(f"WITH {STATES_SQL} SELECT id, epoch_us(a) AS from_us, epoch_us(greatest(a, ts - INTERVAL 1 MILLISECOND)) AS to_us FROM s WHERE p AND a IS NOT NULL")
+def privacy_resume(spark, d):
+    r = pr.resumed(_states(spark, d), F.col("ts")).filter("NOT paused").select("id", F.explode("suppressed_ranges").alias("r"))
+    return r.select("id", us("r.from").alias("from_us"), us("r.to").alias("to_us"))
+
+
+@query(f"""WITH {STATES_SQL} SELECT id, array_to_string(CASE WHEN id % 4 = 0 OR lower(apps[2]) = 'click' THEN apps ELSE list_append(apps, 'Click') END, ',') AS added, array_to_string(list_filter(apps, lambda x: lower(x) <> 'error'), ',') AS removed FROM s""")
+def privacy_apps(spark, d):
+    s = _states(spark, d)
+    app = F.when(F.col("id") % 4 == 0, "  ").otherwise(" Click ")
+    more = pr.excluded(s, app).select("id", F.array_join("excluded_apps", ",").alias("added"))
+    return more.join(pr.included(s, F.lit("ERROR")).select("id", F.array_join("excluded_apps", ",").alias("removed")), "id")
+
+
+@query("""WITH r AS (SELECT event_id AS id, ts, event_type AS c, event_id % 97 = 96 AS failed, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END AS t FROM events), m AS (SELECT min({'t': ts, 'i': id}) AS m FROM r WHERE failed),
+b AS (SELECT c, min({'t': ts, 'i': id}) AS b FROM r WHERE failed AND t <> '' GROUP BY 1) SELECT r.id AS frame_id, NOT failed AND (m.m IS NULL OR {'t': ts, 'i': r.id} < m.m) AND (b.b IS NULL OR {'t': ts, 'i': r.id} < b.b) AS committed FROM r, m LEFT JOIN b ON r.c = b.c""")
+def stream_commit(spark, d):
+    r = activity(spark, d).withColumn("failed", F.col("frame_id") % 97 == 96).withColumn("extracted_text", F.when(F.col("frame_id") % 2 == 0, "x").otherwise(""))
+    return ig.committed(r, "app_name").select("frame_id", "committed")
+
+
+@query(f"""WITH {NUMBERED_SQL}, o AS (SELECT user_id, min(started_at) AS since FROM sessions WHERE NOT (ended_at < TIMESTAMP '2024-01-29 20:00:00' - INTERVAL 14400 SECOND) GROUP BY 1) SELECT frame_id FROM owned JOIN o USING (user_id) WHERE ts >= since AND ts <= TIMESTAMP '2024-01-29 22:00:00'""")
+def stream_hydration(spark, d):
+    still = ss.idle_flushed(sessions(spark, d), F.lit("2024-01-29 20:00:00").cast("timestamp"), IDLE).filter("is_open")
+    return ig.hydrated(activity(spark, d), still, "2024-01-29 22:00:00", "user_id").select("frame_id")
+
+
 # --- diagnostics ----------------------------------------------------------------------------------------------------
 
 SAMPLE_SQL = f"{FRAMES_SQL}, sample AS (SELECT * FROM frames WHERE length(extracted_text) >= 24 ORDER BY frame_timestamp DESC, frame_id DESC LIMIT 1000)"
@@ -679,6 +720,38 @@ def sparse_update(spark, d):
     return ig.updated(docs, docs.filter("doc_id % 5 = 0").select("doc_id", F.lit("xx").alias("lang")), "doc_id")
 
 
+@query("""SELECT event_id AS frame_id, CASE WHEN ts < TIMESTAMP '2024-01-15' AND coalesce(CASE WHEN event_id % 3 = 0 THEN event_id * 2 END, event_id) IN (SELECT l_orderkey FROM lineitem) THEN NULL ELSE '{}' END AS tree FROM events""")
+def sweep_trees(spark, d):
+    f = activity(spark, d).withColumn("elements_ref_frame_id", F.when(F.col("frame_id") % 3 == 0, F.col("frame_id") * 2)).withColumn("accessibility_tree_json", F.lit("{}"))
+    return lc.without_trees(f, _elements(spark, d), "2024-01-15 00:00:00").select("frame_id", F.col("accessibility_tree_json").alias("tree"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'no time' ELSE strftime(date_trunc('second', ts) - INTERVAL 2 HOUR * CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END, '%Y-%m-%dT%H:%M:%S.000Z') END AS t FROM events""")
+def migrate_times(spark, d):
+    text = F.when(F.col("event_id") % 3 == 0, "no time").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.000"), F.when(F.col("event_id") % 3 == 1, "+02:00").otherwise("Z")))
+    return lc.migrated(table(spark, d, "events").select("event_id", text.alias("t")), ["t"])
+
+
+@query("""SELECT vec_id FROM embeddings JOIN events ON vec_id = event_id WHERE NOT date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-19 12:00:00'""")
+def delete_cascade_range(spark, d):
+    v = vectors(spark, d).select("vec_id", "id", F.lit(None).cast("long").alias("meta_frame_id"), F.lit("").alias("capture_id"), F.lit("").alias("frame_timestamp"), F.date_trunc("second", "frame_timestamp").alias("timestamp"))
+    left = lc.cascade_range(sessions(spark, d), activity(spark, d), v, activity(spark, d), "2024-01-08 00:00:00", "2024-01-19 12:00:00")
+    return left[2].select("vec_id")
+
+
+@query(f"""WITH {NUMBERED_SQL}, s AS (SELECT NOT (ended_at < TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 14400 SECOND) AS is_open, CASE frames % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'pending' WHEN 2 THEN 'failed' ELSE 'degraded' END AS st FROM sessions)
+SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM documents WHERE coalesce(text, '') = '') AS empty, count(*) AS sessions, count(*) FILTER (is_open) AS open, count(*) FILTER (st IN ('failed', 'degraded')) AS failed FROM s""")
+def status_roll_up(spark, d):
+    s = ss.idle_flushed(sessions(spark, d), F.lit("2024-01-30 20:00:00").cast("timestamp"), IDLE)
+    s = s.withColumn("summary_status", F.expr("CASE frames % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'pending' WHEN 2 THEN 'failed' ELSE 'degraded' END"))
+    return dg.roll_up(table(spark, d, "documents").withColumnRenamed("text", "extracted_text"), s).select("total", "empty", "sessions", "open", "failed")
+
+
+@query("""SELECT doc_id, '{"doc_id":' || doc_id || CASE WHEN doc_id % 3 > 0 THEN ',"lang":"' || lang || '"' ELSE '' END || '}' AS shown FROM documents""")
+def elided_fields(spark, d):
+    return table(spark, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang"))).select("doc_id", dg.elided(["doc_id", "lang"]).alias("shown"))
+
+
 # --- text, routines, evaluation -----------------------------------------------------------------------------------------
 
 _S = "t"
@@ -737,7 +810,41 @@ def activity_overview(spark, d):
 @query("""SELECT source AS module, lang AS language, CAST(GROUPING(source) * 2 + GROUPING(lang) AS BIGINT) AS grouping, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY GROUPING SETS ((source), (lang), ())""")
 def source_stats_grouping_sets(spark, d):
     r = table(spark, d, "documents").select(F.col("source").alias("module"), F.col("lang").alias("language"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines"), F.length("text").cast("long").alias("chars"))
-    return rt.source_stats(r)
+    return rt.source_stats(r, ["module", "language"], ["lines", "chars"])
+
+
+#: A made source file for each document: statements with comments, a block comment with a blank line, hash lines, a template literal with one.
+FILE = "repeat('x = 1; // c\n', doc_id % 5) || '/* a\n\nb */\n' || repeat('# no\n', doc_id % 3) || '`t\n\n u`;\n'"
+KINDS_SQL = """k AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 2 = 1 THEN 'sh' ELSE 'ts' END AS dir, doc_id % 5 + doc_id % 3 + 6 AS total,
+  CASE WHEN doc_id % 2 = 1 THEN doc_id % 5 + 4 ELSE doc_id % 5 + doc_id % 3 + 2 END AS code, CASE WHEN doc_id % 2 = 1 THEN doc_id % 3 ELSE 3 END AS comment, CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 1 END AS blank FROM documents)"""
+
+
+def _kinds(spark, d) -> DataFrame:
+    odd = F.col("doc_id") % 2 == 1
+    kinds = cd.line_kinds(F.expr(FILE), F.when(odd, ".sh").otherwise(".ts"))
+    files = table(spark, d, "documents").select(F.col("source").alias("module"), F.col("lang").alias("language"), F.when(odd, "sh").otherwise("ts").alias("directory"), F.col("doc_id").alias("path"), kinds.alias("k"))
+    return files.select("module", "language", "directory", "path", "k.*")
+
+
+@query(f"""WITH {KINDS_SQL} SELECT source AS module, lang AS language, dir AS directory, CAST(GROUPING(source) * 4 + GROUPING(lang) * 2 + GROUPING(dir) AS BIGINT) AS grouping, count(*) AS files,
+  CAST(sum(total) AS BIGINT) AS total, CAST(sum(code) AS BIGINT) AS code, CAST(sum(comment) AS BIGINT) AS comment, CAST(sum(blank) AS BIGINT) AS blank FROM k GROUP BY GROUPING SETS ((source), (lang), (dir), ())""")
+def source_line_kinds(spark, d):
+    return rt.source_stats(_kinds(spark, d), ["module", "language", "directory"], ["total", "code", "comment", "blank"])
+
+
+@query(f"WITH {KINDS_SQL} SELECT doc_id AS path, code FROM k ORDER BY code DESC, doc_id LIMIT 10")
+def largest_sources(spark, d):
+    return rt.largest_sources(_kinds(spark, d)).select("path", "code")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'FILE_NOT_FOUND' WHEN doc_id % 13 = 0 THEN 'PATH_IS_DIRECTORY' WHEN doc_id % 7 = 0 THEN 'PATH_NOT_ALLOWED' WHEN length(text) > 4000 THEN 'FILE_TOO_LARGE' WHEN doc_id % 5 = 0 THEN 'UNSUPPORTED_EXTENSION' WHEN text IS NULL THEN 'FILE_READ_FAILED'
+  WHEN doc_id % 3 = 0 THEN 'BINARY_CONTENT' END AS error FROM documents""")
+def file_validation(spark, d):
+    i = F.col("doc_id")
+    path = F.concat(F.when(i % 7 == 0, "/databank/").otherwise("/data/"), i.cast("string"), F.when(i % 5 == 0, ".exe").otherwise(".TXT"))
+    content = F.when(i % 3 == 0, F.encode(F.concat("text", F.lit("a\0b")), "utf-8")).otherwise(F.encode("text", "utf-8"))
+    files = table(spark, d, "documents").select("doc_id", path.alias("path"), F.when(i % 11 == 0, None).when(i % 13 == 0, "directory").otherwise("file").alias("kind"), F.length("text").alias("length"), content.alias("content"))
+    return rt.file_error(files, ["/data/"], most=4000).select("doc_id", "error")
 
 
 @query("""WITH p AS (SELECT DISTINCT event_id FROM events WHERE event_id % 2 = 0), t AS (SELECT DISTINCT event_id FROM events WHERE event_id % 3 = 0), b AS (SELECT count(*) FILTER (p.event_id IS NOT NULL AND t.event_id IS NOT NULL) AS hit, count(p.event_id) AS predicted, count(t.event_id) AS truth FROM p FULL JOIN t ON p.event_id = t.event_id)
