@@ -111,7 +111,8 @@ class Entries:
                 entries.append(self.name(self.sum[of] - self.value[at], self.place[of]))
             worth = np.bincount(self.item, np.minimum(self.many, 2), minlength=len(self.set))
             for i in np.flatnonzero(few & (worth <= self.apart)):
-                own = np.concatenate([self.token[self.cut[s] : self.cut[s] + self.many[s]] for s in np.flatnonzero(self.item == i)])
+                first_of, past = np.searchsorted(self.item, [i, i + 1])  # the segments of an item lie together, as do their tokens
+                own = self.token[self.cut[first_of] : self.cut[past - 1] + self.many[past - 1]]
                 least = np.sort(own)[: self.apart[i] + 1]
                 sets.append(np.full(len(least), self.set[i]))
                 entries.append(mix(least ^ np.uint64(self.band[i] + (1 << 50)), 7))

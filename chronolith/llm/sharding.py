@@ -120,12 +120,14 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     docs = materialize(docs, "shard-docs")  # written once: the numbers stay
     keys = docs.filter("key IS NOT NULL").groupBy("key", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
     keys = materialize(keys, "shard-keys")
-    linked = keys.groupBy("key").agg(F.sum("n").alias("copies")).filter("copies > 1").select("key")
+    # written, so that joins of documents with it are free to split the rows of one key
+    linked = materialize(keys.groupBy("key").agg(F.sum("n").alias("copies")).filter("copies > 1").select("key"), "linked-keys")
     total = docs.count()
     low, more = divmod(total, shards)
     cells = propagate(keys.join(linked, "key", "left_semi"), shards, low + (more > 0))
     # a document of a linked key belongs to the cell that its rank in the key falls into
     bounds = cells.withColumn("hi", F.sum("n").over(W.partitionBy("key").orderBy("shard"))).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("hi", "shard"))).alias("cells"))
+    bounds = materialize(bounds, "bounds")  # a row a key, of as many cells as there are shards at most
     in_key = ranked(docs.filter("key IS NOT NULL").join(linked, "key", "left_semi"), "key", [F.col("id"), F.col("row")], "in-key")
     placed = in_key.join(bounds, "key").withColumn("home", F.filter("cells", lambda c: c["hi"] > F.col("rank"))[0]["shard"]).drop("rank", "cells")
     alone = docs.join(linked, "key", "left_anti").withColumn("home", F.lit(shards))

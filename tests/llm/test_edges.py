@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import collections
 import datetime
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -113,9 +115,9 @@ def feistel(a, b, spans, label, key="k"):
     return half
 
 
-def digits(d, label):
+def digits(d, label, key="k"):
     n, m = len(d) // 2, len(d) - len(d) // 2
-    a, b = feistel(int(d[:n]), int(d[n:]), (10**n, 10**m), label)
+    a, b = feistel(int(d[:n]), int(d[n:]), (10**n, 10**m), label, key)
     return f"{a:0{n}d}{b:0{m}d}"
 
 
@@ -341,3 +343,61 @@ def test_pipeline_with_odd_rows(spark, tmp_path):
     docs = table(spark, str(tmp_path), rows, SCHEMA + ", row string")
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert len(out) and (out.groupby("sequence_id")["length"].sum() <= 1024).all() and docs.count() == len(rows)
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    """Each stage on what the one before kept: lines and documents by the rules, one of each brute-force group, Python pseudonyms, whole pieces."""
+    import corpus_pipeline as cp
+    from test_llm import brute, prose
+
+    r = random.Random(12)
+    rows, base = [], [prose(r, 40) + "." for _ in range(8)]
+    for i in range(90):
+        text = r.choice(base).split() if i % 2 else (prose(r, 40) + ".").split()
+        for _ in range(r.randrange(3)):
+            text[r.randrange(len(text) - 1)] = f"y{r.randrange(30)}"
+        lines = [" ".join(text), r.choice(["", "Home | About | Contact", "Accept all cookies to read more.", "no end of a sentence here"]), f"Call {r.choice(['415-555-1234', '(212) 555-7777'])} today please."]
+        rows.append((i, "\n".join(lines), "en", r.choice(["a", "b", None]), 1))
+    path = str(tmp_path)
+    at = table(spark, path, rows, SCHEMA)
+    out = {}
+    for name, stage in cp.STAGES:
+        stage(spark, at, path).write.parquet(f"{path}/{name}")
+        at = out[name] = spark.read.parquet(f"{path}/{name}")
+
+    def cleaned(text):
+        keep = []
+        for line in dict.fromkeys(x for x in text.split("\n") if x.strip()):
+            parts, bars = line.split(" "), len(re.findall(quality_rules.SEPARATOR, line))
+            end = re.search(quality_rules.SENTENCE_END.replace(r"\x{0E00}-\x{0EFF}", "").replace(r"\z", r"\Z"), line)
+            if end and not (bars >= 2 and len(parts) - bars <= 4 * (bars + 1)) and not (len(parts) <= 20 and re.search(quality_rules.BOILERPLATE, line)):
+                keep.append(line)
+        return "\n".join(keep)
+
+    assert sorted(x["text"] for x in out["quality"].collect()) == sorted(cleaned(x[1]) for x in rows)
+    numbered = [(x["row"], x["text"]) for x in cp._numbered(out["quality"]).collect()]
+    firsts = {int(re.match(r"\((\d+), \d+, (\d+)\)", x)[1]) for x in brute(numbered) if re.match(r"\((\d+), \d+, \1\)", x)}
+    kept = sorted(x["text"] for x in out["near_duplicates"].collect())
+    assert kept == sorted(t for row, t in numbered if row in firsts) and len(kept) < len(rows)
+
+    def hidden(text):
+        return re.sub(r"\(\d{3}\) \d{3}-\d{4}|\d{3}-\d{3}-\d{4}", lambda m: python_phone(m[0]), text)
+
+    def python_phone(value):
+        return refill(value, digits(re.sub(r"\D", "", value), "phone", pii.KEY))
+
+    assert sorted(x["text"] for x in out["private_data"].collect()) == sorted(map(hidden, kept))
+    mixed = collections.Counter(x["text"] for x in out["mix"].collect())
+    assert set(mixed) <= set(map(hidden, kept)) and max(mixed.values()) <= 2 * max(collections.Counter(map(hidden, kept)).values())
+    import public_tokenizers
+
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = collections.Counter()
+    for text, n in mixed.items():
+        ids = np.asarray([*encode(text), 2], "<u4")
+        want[(len(ids), zlib.crc32(ids.tobytes()))] += n
+    packed = out["pack"].toPandas()
+    assert collections.Counter(zip(packed["length"].tolist(), packed["ids_crc32"].tolist(), strict=True)) == want
+    for _, g in packed.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 1024
