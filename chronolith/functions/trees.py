@@ -236,6 +236,14 @@ def element_rows(frames: DataFrame, tree: str = "accessibility_tree_json") -> Da
     return seen.withColumn("parent_order", F.max(F.when(F.col("_l.own"), F.col("sort_order"))).over(before)).filter("NOT _l.own").drop("_l")
 
 
+def frame_trees(frames: DataFrame, elements: DataFrame) -> DataFrame:
+    """(frame_id, accessibility_tree_json) of frames: rebuilt from the elements of the frame they refer to, or else their own; frames without elements keep what they have."""
+    owner = F.coalesce("elements_ref_frame_id", "frame_id")
+    trees = tree_of_elements(elements).select(F.col("frame_id").alias("_owner"), F.col("accessibility_tree_json").alias("_tree"))
+    out = frames.join(trees, owner == F.col("_owner"), "left")
+    return out.select("frame_id", F.coalesce("_tree", "accessibility_tree_json").alias("accessibility_tree_json"))
+
+
 def tree_of_elements(elements: DataFrame) -> DataFrame:
     """(frame_id, accessibility_tree_json) as flat arrays from rows (frame_id, id, role, text, depth, sort_order), in order."""
     node = F.struct("sort_order", "id", "role", "text", "depth")

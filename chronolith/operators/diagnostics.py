@@ -55,7 +55,7 @@ def element_summary(rows: DataFrame) -> DataFrame:
 
 
 def element_groups(rows: DataFrame, groups: int = GROUPS) -> DataFrame:
-    found = rows.groupBy("app_name", "window_name", "source", "role").agg(F.count("*").alias("occurrences"), F.sum("bytes").alias("bytes")).filter("occurrences > 1")
+    found = rows.groupBy("app_name", "window_name", "source", "role").agg(F.count("*").alias("occurrences"), F.sum("bytes").alias("bytes"), F.max(preview(F.col("text"))).alias("preview")).filter("occurrences > 1")
     found = found.withColumn("redundant_bytes", F.floor(F.col("bytes") * (F.col("occurrences") - 1) / F.col("occurrences") + 0.5).cast("long"))
     return found.orderBy(F.desc("bytes"), F.desc("occurrences"), "app_name", "window_name", "source", "role").limit(groups)
 
@@ -103,6 +103,24 @@ def reuse_signal(frames: DataFrame, column: str, text: str, limit: int = GROUPS)
     return found.agg(F.count("*").alias("matched_rows"), F.sum(F.octet_length(text)).alias("bytes")).orderBy(F.desc("matched_rows"), "value").limit(limit)
 
 
+def reuse_summary(signals: DataFrame) -> DataFrame:
+    """What the values shown match together."""
+    return signals.agg(F.coalesce(F.sum("matched_rows"), F.lit(0)).alias("matched_rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def storage_report(frames: DataFrame, elements: DataFrame, fields: list[str], text: str = "extracted_text", since=None) -> dict[str, DataFrame]:
+    """All tables of a deep storage report by name; each is its own lazy query over frames and elements (frame_id, source, role, text)."""
+    rows = element_rows(elements, frames)
+    sample = duplication_sample(frames, text, since)
+    groups = duplicate_groups(sample, text)
+    return {
+        "duplication": duplication_by_field(frames, dict.fromkeys(fields, SAMPLE), since), "duplicate_groups": groups, "redundancy": redundancy(groups),
+        "element_summary": element_summary(rows), "element_groups": element_groups(rows), "fields": hotspot_fields(frames, fields),
+        "apps": hotspot_apps([rows, frames.withColumn("bytes", F.octet_length(text))]), "roles": hotspot_roles(rows),
+        "growth_samples": growth_samples(frames, text), "growth_slices": growth_slices(frames, text), "growth": growth_summary(frames, text),
+    }
+
+
 def coverage(columns: list[str], optional: list[str]) -> str:
     """full, partial or unsupported, by how many of the optional columns a table has."""
     have = sum(c in columns for c in optional)

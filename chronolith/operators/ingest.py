@@ -21,6 +21,27 @@ def merged_sources(accessibility: DataFrame, ocr: DataFrame) -> DataFrame:
     return both.withColumn("_k", key).withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_k", "_r", "_o")
 
 
+def capture_page(accessibility: DataFrame | None, ocr: DataFrame | None, start=None, end=None, app: str | None = None, limit: int = 100, offset: int = 0) -> tuple[DataFrame, bool]:
+    """A page of merged captures in order of time, and whether one of the two sources was missing. Bounds (both included) and app reach both scans."""
+    if accessibility is None and ocr is None:
+        raise ValueError("neither source of captures can be read")
+
+    def of(side: DataFrame) -> DataFrame:
+        side = side if start is None else side.filter(F.col("ts") >= F.lit(start).cast("timestamp"))
+        side = side if end is None else side.filter(F.col("ts") <= F.lit(end).cast("timestamp"))
+        return side if app is None else side.filter(F.col("app_name") == app)
+
+    sides = [of(x) if x is not None else None for x in (accessibility, ocr)]
+    sides = [x if x is not None else next(y for y in sides if y is not None).filter(F.lit(False)) for x in sides]
+    return in_record_order(merged_sources(*sides), "ts").offset(offset).limit(limit), accessibility is None or ocr is None
+
+
+def in_record_order(records: DataFrame, ts: str = "timestamp", key: str = "id") -> DataFrame:
+    """Records by time, then id; times that can't be read come last, by their text."""
+    at = F.col(ts) if records.schema[ts].dataType.simpleString() == "timestamp" else F.try_to_timestamp(F.col(ts))
+    return records.orderBy(F.asc_nulls_last(at), F.col(ts).cast("string"), F.col(key))
+
+
 def normalised_records(raw: DataFrame, page_offset: int = 0) -> DataFrame:
     """Records with a time and a text or a usable tree; ids that are missing are made from frame and place."""
     usable = F.col("accessibility_tree_json").rlike(r'(?s)^\s*[\[{].*"(role|text|value|title|description)"')

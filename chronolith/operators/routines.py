@@ -95,6 +95,12 @@ def precision_recall(predicted: DataFrame, truth: DataFrame, keys: list[str]) ->
     return both.select("hit", "predicted", "truth", F.round(ratio(hit, F.col("predicted")), 6).alias("precision"), F.round(ratio(hit, F.col("truth")), 6).alias("recall"))
 
 
+def count_delta(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """How far the number of predicted rows is from the true one, as a part of it."""
+    both = predicted.agg(F.count("*").alias("predicted")).crossJoin(truth.agg(F.count("*").alias("truth")))  # a row each
+    return both.withColumn("delta", F.round(ratio(F.abs(F.col("predicted") - F.col("truth")).cast("double"), F.col("truth")), 6))
+
+
 def session_iou(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """For each true session (session_id, frame_id rows) its best intersection over union with a predicted one. Sizes are counted, pairs are those that share frames."""
     p = predicted.select(F.col("session_id").alias("p"), "frame_id").distinct()

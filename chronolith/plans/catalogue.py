@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from ..functions import code as cd, narratives as nv, text as tx, values as vl
 from ..operators import diagnostics as dg, find as fi, ingest as ig, lifecycle as lc, privacy as pr, routines as rt, search as se, sessions as ss
@@ -513,7 +514,7 @@ def element_dup_summary(spark, d):
     return dg.element_summary(_element_rows(spark, d))
 
 
-@query(f"""WITH {ELEMENTS_SQL}, g AS (SELECT app_name, window_name, source, role, count(*) AS occurrences, CAST(sum(bytes) AS BIGINT) AS bytes FROM rows GROUP BY ALL HAVING count(*) > 1)
+@query(f"""WITH {ELEMENTS_SQL}, g AS (SELECT app_name, window_name, source, role, count(*) AS occurrences, CAST(sum(bytes) AS BIGINT) AS bytes, max(substr(text, 1, 120)) AS preview FROM rows GROUP BY ALL HAVING count(*) > 1)
 SELECT *, CAST(floor(bytes * (occurrences - 1)::DOUBLE / occurrences + 0.5) AS BIGINT) AS redundant_bytes FROM g ORDER BY bytes DESC, occurrences DESC, app_name, window_name, source, role LIMIT 5""")
 def element_dup_groups(spark, d):
     return dg.element_groups(_element_rows(spark, d))
@@ -952,6 +953,52 @@ def time_functions(spark, d):
     return e.select("event_id", us(vl.privacy_range_start(word, F.col("ts"))).alias("start_us"), us(vl.utc_timestamp(text)).alias("utc_us"))
 
 
+@query(f"WITH {FRAMES_SQL}, g AS (SELECT lang, count(*) AS n, sum(strlen(extracted_text)) AS b FROM frames GROUP BY 1 ORDER BY n DESC, lang LIMIT 2) SELECT CAST(sum(n) AS BIGINT) AS matched_rows, CAST(sum(b) AS BIGINT) AS bytes FROM g")
+def capture_reuse_summary(spark, d):
+    return dg.reuse_summary(dg.reuse_signal(frames(spark, d), "lang", "extracted_text", 2))
+
+
+@query("""WITH a AS (SELECT 'a' || event_id AS id, CASE WHEN event_id % 9 <> 0 THEN event_id // 2 END AS frame_id, event_id AS seq, ts FROM events WHERE event_id % 3 = 0 AND event_type = 'view'),
+o AS (SELECT 'o' || event_id AS id, CASE WHEN event_id % 9 <> 0 THEN event_id // 2 END AS frame_id, event_id AS seq, ts FROM events WHERE event_id % 2 = 0 AND event_type = 'view'),
+b AS (SELECT *, 'accessibility' AS source, -seq AS o FROM a UNION ALL SELECT *, 'ocr', seq FROM o)
+SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY coalesce('frame:' || frame_id, 'id:' || id) ORDER BY source, o, id) AS r FROM b WHERE ts >= TIMESTAMP '2024-01-05') WHERE r = 1 ORDER BY ts, id LIMIT 40 OFFSET 5""")
+def capture_page(spark, d):
+    i = F.col("frame_id")
+    e = activity(spark, d).select(F.when(i % 9 != 0, F.floor(i / 2)).alias("frame_id"), i.alias("seq"), F.col("frame_timestamp").alias("ts"), "app_name")
+    name = lambda p: e.withColumn("id", F.concat(F.lit(p), F.col("seq").cast("string")))
+    return ig.capture_page(name("a").filter("seq % 3 = 0"), name("o").filter("seq % 2 = 0"), "2024-01-05 00:00:00", app="view", limit=40, offset=5)[0].select("id", "source")
+
+
+@query("""WITH t AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'x' || event_id ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS t, CASE WHEN event_id % 4 > 0 THEN date_trunc('second', ts) END AS tm FROM events)
+SELECT id, CAST(row_number() OVER (ORDER BY tm NULLS LAST, t, id) AS INTEGER) AS place FROM t ORDER BY place LIMIT 3000""")
+def record_order(spark, d):
+    text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    first = ig.in_record_order(table(spark, d, "events").select(F.col("event_id").alias("id"), text.alias("timestamp"))).limit(3000)
+    return first.select("id", F.row_number().over(W.orderBy(F.asc_nulls_last(F.try_to_timestamp("timestamp")), "timestamp", "id")).alias("place"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS f, l_linenumber AS n, l_linestatus AS role, l_returnflag AS text FROM lineitem), t AS (SELECT f, count(*) AS n FROM e GROUP BY 1)
+SELECT event_id AS frame_id, coalesce(t.n, 0) AS nodes FROM events LEFT JOIN t ON t.f = coalesce(CASE WHEN event_id % 3 = 0 THEN event_id * 2 END, event_id)""")
+def frame_trees(spark, d):
+    f = activity(spark, d).select("frame_id", F.when(F.col("frame_id") % 3 == 0, F.col("frame_id") * 2).alias("elements_ref_frame_id"), F.lit("[]").alias("accessibility_tree_json"))
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("id"), F.col("l_linestatus").alias("role"), F.col("l_returnflag").alias("text"), F.lit(0).alias("depth"), F.col("l_linenumber").alias("sort_order"))
+    return tr.frame_trees(f, e).select("frame_id", F.coalesce(F.json_array_length("accessibility_tree_json"), F.lit(0)).cast("long").alias("nodes"))
+
+
+@query("""WITH p AS (SELECT count(*) AS n FROM events WHERE event_type = 'click'), t AS (SELECT count(*) AS n FROM events WHERE event_type = 'view') SELECT p.n AS predicted, t.n AS truth, round(abs(p.n - t.n)::DOUBLE / t.n, 6) AS delta FROM p, t""")
+def eval_count_delta(spark, d):
+    a = activity(spark, d)
+    return rt.count_delta(a.filter("app_name = 'click'"), a.filter("app_name = 'view'"))
+
+
+@query(f"""WITH t AS (SELECT event_id, event_type AS app, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS tm, event_id % 3 > 0 AS c, event_id % 5 > 0 AS d FROM events)
+SELECT event_id, CASE WHEN c THEN '帧 ' || event_id || '：' || app || ' | w（' || tm || '），抽取规则 generic。' WHEN d THEN '原始 AX 树不可访问；仅返回派生抽取记录（抽取规则 generic）。' ELSE '未找到 frame ' || event_id || '（capture 与派生数据库均无记录）。' END AS narrative FROM t""")
+def inspect_frame(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    i = F.col("event_id")
+    return e.select("event_id", nv.frame(i, F.col("event_type"), F.lit("w"), F.col("ts"), F.lit("generic"), i % 3 > 0, i % 5 > 0).alias("narrative"))
+
+
 # --- trees ---------------------------------------------------------------------------------------------------------------
 
 #: Lines of a document that read alike everywhere, and its tree as a flat array: window, heading, text area with the lines, a secure field with a child, a group.

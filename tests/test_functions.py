@@ -117,3 +117,15 @@ def test_readers(spark, tmp_path):
     assert got["files"] == 2 and got["bytes"] > 0
     frames = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 0, 0)), (2, dt.datetime(2024, 1, 1, 1, 0))], "frame_id long, frame_timestamp timestamp")
     assert readers.recent(frames, 30, "2024-01-01 01:10:00").count() == 1
+
+
+def test_line_kinds_of_source_files():
+    from chronolith.functions.code import kinds
+
+    cases = {
+        "a = 1 // b\n// c\n\n": (3, 1, 1, 1), "/* a\n\nb */ c\n": (3, 1, 2, 0), "x = '// no' + \"/* no */\"\n": (1, 1, 0, 0), "`a\n\n// in` // out\n": (3, 2, 0, 1),
+        "": (0, 0, 0, 0), "\n": (1, 0, 0, 1), "a = 'open\n// c": (2, 1, 1, 0), "/* never\nclosed": (2, 0, 2, 0), "a\r\n\r\nb": (3, 2, 0, 1), "x = `\\`` // c\n": (1, 1, 0, 0),
+    }
+    for text, want in cases.items():
+        assert kinds(text, ".ts") == want, text
+    assert kinds("#!/bin/sh\n# c\n\nls # d\n", ".sh") == (4, 2, 1, 1)
