@@ -53,29 +53,32 @@ class MultiIndex:
     """Tables of a part of the codes (rows of 64-bit words), one for each segment: the values that occur, and the codes that have them."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.bits = codes, codes.shape[1] * WORD
+        self.codes, bits = codes, codes.shape[1] * WORD
+        # bits that all codes agree in (padding, say) add the same to each distance: they are no part of a segment
+        self.varying = np.bitwise_or.reduce(codes, axis=0) ^ np.bitwise_and.reduce(codes, axis=0)
+        places = [i for i in range(bits) if int(self.varying[i // WORD]) >> (i % WORD) & 1] or [0]
         length = min(round(math.log2(max(len(codes), 2))) + 4, 20)
-        m = max(1, round(self.bits / length))
-        self.bounds = [(j * self.bits // m, (j + 1) * self.bits // m) for j in range(m)]
+        m = max(1, round(len(places) / length))
+        self.segments = [places[j * len(places) // m : (j + 1) * len(places) // m] for j in range(m)]
         self.tables = []
-        for lo, hi in self.bounds:
-            value = self._segment(codes, lo, hi)
+        for segment in self.segments:
+            value = self._value(codes, segment)
             order = np.argsort(value, kind="stable")
             known, first = np.unique(value[order], return_index=True)
             self.tables.append((order, known, first, np.diff(np.append(first, len(order)))))
 
     @staticmethod
-    def _segment(codes: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        word, shift = divmod(lo, WORD)
-        value = codes[:, word] >> np.uint64(shift)
-        if shift and hi > (word + 1) * WORD:
-            value = value | (codes[:, word + 1] << np.uint64(WORD - shift))
-        return (value & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
+    def _value(codes: np.ndarray, places: list[int]) -> np.ndarray:
+        """The bits at these places as one number."""
+        out = np.zeros(len(codes), np.int64)
+        for i, at in enumerate(places):
+            out |= ((codes[:, at // WORD] >> np.uint64(at % WORD)) & np.uint64(1)).astype(np.int64) << i
+        return out
 
     def _met(self, value: int, j: int, radius: int) -> np.ndarray:
         """Places of the codes whose segment j is at exactly this distance from the value."""
         order, known, first, many = self.tables[j]
-        length = self.bounds[j][1] - self.bounds[j][0]
+        length = len(self.segments[j])
         if math.comb(length, radius) < len(known):
             wanted = masks(length, radius) ^ value
             at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
@@ -89,11 +92,12 @@ class MultiIndex:
 
     def nearest(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(places, distances) of the k nearest codes and all that tie with the kth, and how many codes were verified."""
-        m = len(self.bounds)
-        values = [int(self._segment(query[None], lo, hi)[0]) for lo, hi in self.bounds]
+        m, most = len(self.segments), self.codes.shape[1] * WORD
+        values = [int(self._value(query[None], places)[0]) for places in self.segments]
+        beside = int(np.bitwise_count((query ^ self.codes[0]) & ~self.varying).sum())  # what bits outside the segments add
         fresh = np.ones(len(self.codes), bool)
-        places, distances, kth = [], [], self.bits
-        for step in range(m * (max(hi - lo for lo, hi in self.bounds) + 1)):
+        places, distances, kth = [], [], most
+        for step in range(m * (max(map(len, self.segments)) + 1)):
             radius, j = divmod(step, m)
             met = self._met(values[j], j, radius)
             met = met[fresh[met]]
@@ -102,8 +106,8 @@ class MultiIndex:
                 places.append(met)
                 distances.append(np.bitwise_count(self.codes[met] ^ query).sum(axis=1).astype(np.int64))
                 have = np.concatenate(distances)
-                kth = np.partition(have, k - 1)[k - 1] if len(have) >= k else self.bits
-            if kth <= step:
+                kth = np.partition(have, k - 1)[k - 1] if len(have) >= k else most
+            if kth - beside <= step:
                 break
         at, distance = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, distances))
         best = distance <= kth
