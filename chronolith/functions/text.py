@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
@@ -138,24 +139,32 @@ def frame_id(text: Column) -> Column:
     return F.when(text.rlike(r"^-?\d+$"), text.try_cast("bigint"))
 
 
-_CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
-_RUN = re.compile(rf"[a-z0-9_]+|[{_CJK}]+|[^\W{_CJK}a-z0-9_]+")
+_CJK = r"\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Hangul}"
+_WORD, _CJK_RUN, _ASCII_RUN, _HAN = (regex.compile(p) for p in (r"[\p{L}\p{M}\p{N}_]+", f"[{_CJK}]+", "[a-z0-9_]+", r"\p{Script=Han}"))
+SHORTEST, LONGEST_GRAM = 3, 4
+# How questions begin.
+_ASKING = regex.compile(r"^(?:請問|请问)\s*(?:哪里提到|哪裡提到)?\s*|^(?:哪里提到|哪裡提到)\s*")
 
 
-def token_list(text: str) -> list[str]:
-    """Distinct tokens: camel case parted, ASCII words of three characters or more, CJK runs with their 1- to 4-grams, other words."""
+def _grams(run: str, least: int) -> list[str]:
+    """A CJK run and its parts of `least` to four characters."""
+    return [run] + [run[i : i + n] for n in range(least, min(LONGEST_GRAM, len(run)) + 1) for i in range(len(run) - n + 1)]
+
+
+def token_list(text: str, question: bool = False) -> list[str]:
+    """Distinct tokens: camel case parted, words of three characters or more, CJK runs with their parts. Runs with Han characters have single ones among their parts, but in questions."""
+    parted = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text).lower()
     out: dict[str, None] = {}
-    for run in _RUN.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text).lower()):
-        if run.isascii():
-            if len(run) >= 3:
-                out[run] = None
-        elif re.match(f"[{_CJK}]", run):
-            out[run] = None
-            for n in range(1, 5):
-                for i in range(len(run) - n + 1):
-                    out[run[i : i + n]] = None
-        else:
-            out[run] = None
+    for word in _WORD.findall(_ASKING.sub("", parted) if question else parted):
+        runs = _CJK_RUN.findall(word)
+        if not runs:
+            letters = word if word.isascii() else [c for c in unicodedata.normalize("NFC", word) if not unicodedata.category(c).startswith("M")]
+            out |= {word: None} if len(letters) >= SHORTEST else {}
+            continue
+        out[word] = None
+        out |= dict.fromkeys(x for x in _ASCII_RUN.findall(word) if len(x) >= SHORTEST)
+        for run in runs:
+            out |= dict.fromkeys(_grams(run, 1 if _HAN.search(run) and not question else 2))
     return list(out)
 
 

@@ -59,9 +59,11 @@ def outside_pause(frames: DataFrame, paused: bool, since) -> DataFrame:
     return frames if not paused or since is None else frames.filter(F.col("frame_timestamp") < F.lit(since).cast("timestamp"))
 
 
-def newer_than(frames: DataFrame, ts, frame: int) -> DataFrame:
-    """Frames after a checkpoint in the order of (timestamp, id)."""
+def newer_than(frames: DataFrame, ts, frame: int, resumed: bool = False) -> DataFrame:
+    """Frames after a checkpoint in the order of (timestamp, id); of the next pages of a backlog, whose order is the provider's, all but the checkpoint's own frame."""
     at = F.lit(ts).cast("timestamp")
+    if resumed:
+        return frames.filter((F.col("frame_timestamp") != at) | (F.col("frame_id") != frame))
     return frames.filter((F.col("frame_timestamp") > at) | ((F.col("frame_timestamp") == at) & (F.col("frame_id") > frame)))
 
 

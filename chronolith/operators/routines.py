@@ -40,7 +40,7 @@ def file_lines(files: DataFrame) -> DataFrame:
 
 def evidence_lines(file_rows: DataFrame, question: str, limit: int = 5, ascii_only: bool = False) -> DataFrame:
     """The lines that share most distinct tokens with a question, by score then place."""
-    asked = sorted(set(token_list(question)))
+    asked = token_list(question, question=True)
     own = ascii_tokens(F.col("line")) if ascii_only else tokens(F.col("line"))
     scored = file_rows.withColumn("score", F.size(F.array_intersect(own, F.array(*[F.lit(t) for t in asked]).cast("array<string>"))))
     return scored.filter("score > 0").orderBy(F.desc("score"), "key", "line_number").limit(limit)
@@ -70,7 +70,7 @@ def largest_sources(rows: DataFrame, limit: int = 10) -> DataFrame:
 
 
 # What can be asked about, and how large it may be.
-TEXT_EXTENSIONS = [".txt", ".md", ".json", ".csv", ".log"]
+TEXT_EXTENSIONS = ".ts .tsx .js .jsx .json .yaml .yml .md .txt .mjs .cjs .css .html .xml".split()
 MOST_BYTES = 1_048_576
 
 
