@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CAPTURE = "id string, text string, timestamp string, appName string, windowName string, frameId long, sourceTypes array<string>, role string, parentId string, path string, accessibilityTreeJson string"
 ROUTINE = "name string, schedule string, enabled boolean, prompt string, recentActivityMinutes int, createdAt timestamp, updatedAt timestamp"
+VECTOR = "id string, text string, timestamp string, appName string, windowName string, sourceTypes array<string>, embedding array<double>, metadata struct<sourceTypes:array<string>,frameId:long,frameTimestamp:string>"
 PRIVACY = "paused boolean, excludedApps array<string>, pauseStartedAt timestamp, suppressedRanges array<struct<`from`:timestamp,`to`:timestamp,reason:string,failedFrameIds:array<long>,createdAt:timestamp,resolvedAt:timestamp>>"
 
 
@@ -26,6 +27,28 @@ def routines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ROUTINE).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def vectors_file(spark: SparkSession, path: str) -> DataFrame:
+    """Vector records of a JSON file {"records": [...]}; none where there is no file, an error where it isn't of that form."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], VECTOR)
+    read = spark.read.schema(f"records array<struct<{VECTOR}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    listed = F.when(F.col("records").isNull(), F.raise_error(F.lit("no records in a vector file"))).otherwise(F.col("records"))
+    records = read.select(F.explode(listed).alias("r")).select("r.*")
+    whole = F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("timestamp").isNotNull()
+    return records.withColumn("id", F.when(whole, F.col("id")).otherwise(F.raise_error(F.lit("a vector record without id, text or time"))))
+
+
+def checkpoint_file(spark: SparkSession, path: str) -> DataFrame:
+    """The row (timestamp, cursor) of a checkpoint file; none where there is no file."""
+    schema = "timestamp string, cursor string"
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def suppressed_ranges(spark: SparkSession, path: str) -> DataFrame:
     """Unresolved suppressed ranges (from, to, reason) of a privacy file."""
     state = spark.read.schema(PRIVACY).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -55,8 +78,7 @@ def log_tail(spark: SparkSession, path: str, limit: int = 200, level: str | None
 
 def folder_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(exists, files, bytes) below a folder; contents are not read."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return spark.createDataFrame([(False, 0, 0)], "exists boolean, files long, bytes long")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     return files.agg(F.lit(True).alias("exists"), F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

@@ -194,3 +194,20 @@ def test_log_tail_and_folders(spark, tmp_path):
     assert [r.message for r in got] == ["m49", "m48", "m47"]
     assert rd.folder_bytes(spark, str(tmp_path)).first()["files"] == 1
     assert rd.folder_bytes(spark, str(tmp_path / "none")).first()["exists"] is False
+
+
+def test_vector_and_checkpoint_files(spark, tmp_path):
+    import pytest
+
+    from chronolith.sources import readers as rd
+
+    path = tmp_path / "v.json"
+    assert rd.vectors_file(spark, str(path)).count() == 0 and rd.checkpoint_file(spark, str(path)).count() == 0
+    path.write_text('{"records": [{"id": "extracted:1", "text": "t", "timestamp": "2024-01-01T00:00:00Z", "embedding": [1, 0.5], "metadata": {"sourceTypes": ["ocr"]}}]}')
+    got = rd.vectors_file(spark, str(path)).first()
+    assert got["embedding"] == [1.0, 0.5] and got["metadata"]["sourceTypes"] == ["ocr"]
+    path.write_text('{"records": [{"id": "x", "text": "t"}]}')
+    with pytest.raises(Exception, match="without id"):
+        rd.vectors_file(spark, str(path)).collect()
+    (tmp_path / "c.json").write_text('{\n "timestamp": "2024-01-01T00:00:00Z",\n "cursor": "a"\n}')
+    assert rd.checkpoint_file(spark, str(tmp_path / "c.json")).first()["cursor"] == "a"
