@@ -207,6 +207,19 @@ def test_one_number_has_one_pseudonym(spark):
     assert other not in {x["text"] for x in out}
 
 
+# --- 6 lines of any script
+
+
+def test_lines_of_any_script_and_menus_of_any_language(spark):
+    from chronolith.llm.quality_rules import line_fails
+
+    good = ["هل هذا سطر؟", "यह एक वाक्य है।", "นี่คือประโยคภาษาไทย", "Ein Satz mit einer Fussnote.[1]", "A sentence with a mark.²", "これは文です。」", "Այս նախադասություն է։", 'He said "yes."', "Look at one/two or three / four kinds of things in this long sentence here / there, and go on."]
+    bad = ["no end here", "Startseite › Produkte › Kontakt.", "Inicio | Noticias | Contacto.", "a » b » c.", "© 2024 Somebody.", "Alle Rechte vorbehalten.", "Nous utilisons des cookies.", "Lire la suite.", "Todos los derechos reservados.", "WOW! NOW! HERE!"]
+    rows = spark.createDataFrame([(x,) for x in good + bad], "line string")
+    got = {r["line"]: r["f"] for r in rows.select("line", line_fails(F.col("line")).alias("f")).collect()}
+    assert [x for x in good if got[x]] == [] and [x for x in bad if not got[x]] == []
+
+
 # --- 3 licenses against all shingles
 
 
