@@ -32,7 +32,10 @@ BOILERPLATE = (
     r"|pol[íÍ]tica de privacidad|todos los derechos reservados|aviso legal|iniciar sesi[óÓ]n|suscr[íÍ]bete|haz clic|leer m[áÁ]s)"
 )
 TERMINAL = ".!?…‥。！？｡．:;：；؟؛۔।॥։።፧፨។៕။᠃᠉‼⁇⁈⁉"
-SENTENCE_END = rf"""[{TERMINAL}\x{{0E00}}-\x{{0EFF}}]["'”’»›)\]」』）]*(\[[0-9]{{1,3}}\]|[⁰¹²³⁴⁵⁶⁷⁸⁹])*[\x20\x09-\x0D]*\z"""
+SPACES = " \t\n\v\f\r"
+#: What may follow the terminal mark of a sentence; a footnote mark before that.
+CLOSERS = "\"'”’»›)]」』）⁰¹²³⁴⁵⁶⁷⁸⁹" + SPACES
+FOOTNOTE = r"(\[[0-9]{1,3}\])+\z"
 SEPARATOR = " [|»›·•→/>] "
 HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
@@ -61,10 +64,18 @@ def repeated_words(w: Column, window: int = WINDOW) -> Column:
     return let(hashes, covered)
 
 
+def ends_a_sentence(line: Column) -> Column:
+    """Whether a line's last character, without spaces, footnote marks, quotes and brackets, is a terminal mark, or a Thai or Lao one. No pattern runs over the line."""
+    body = F.rtrim(line, F.lit(SPACES))
+    body = F.when(body.endswith("]"), F.regexp_replace(body, FOOTNOTE, "")).otherwise(body)
+    last = F.right(F.rtrim(body, F.lit(CLOSERS)), F.lit(1))
+    return let(last, lambda c: (c != "") & ((F.instr(F.lit(TERMINAL), c) > 0) | c.between("\u0e00", "\u0eff")))
+
+
 def line_fails(line: Column) -> Column:
     def judged(n: Column) -> Column:
         return (
-            ~line.rlike(SENTENCE_END)
+            ~ends_a_sentence(line)
             | (count_of(line, "!") * 10 > n * 3)
             | (count_of(line, SYMBOL) * 10 > n * 3)
             | let(count_of(line, SEPARATOR), lambda k: (k >= 2) & (n - k <= (k + 1) * 4))
@@ -124,7 +135,10 @@ def op6_line_cleaning(spark, sf_dir: str) -> DataFrame:
     )
 
 
-_END, _PLATE = (p.replace("'", "''") for p in (SENTENCE_END, BOILERPLATE))
+_PLATE, _CLOSERS = (p.replace("'", "''") for p in (BOILERPLATE, CLOSERS))
+_BODY = f"rtrim(x, '{SPACES}')"
+_LAST = f"right(rtrim(CASE WHEN ends_with({_BODY}, ']') THEN regexp_replace({_BODY}, '{FOOTNOTE}', '') ELSE {_BODY} END, '{_CLOSERS}'), 1)"
+_END = f"({_LAST} <> '' AND (contains('{TERMINAL}', {_LAST}) OR {_LAST} BETWEEN chr(3584) AND chr(3839)))"
 
 SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
@@ -135,7 +149,7 @@ cov AS (SELECT rid, CAST(sum(least(8, coalesce(nx - i, 8))) AS BIGINT) AS n FROM
 ln AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 dl AS (SELECT rid, l, list_distinct(l) AS u FROM ln),
 j AS (SELECT rid, len(l) - len(u) AS n_dup_lines, coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) AS line_chars,
-  coalesce(list_sum(list_transform(list_filter(u, lambda x: regexp_matches(x, '{_END}')
+  coalesce(list_sum(list_transform(list_filter(u, lambda x: {_END}
     AND (length(x) - length(replace(x, '!', ''))) * 10 <= 3 * len(string_split(x, ' '))
     AND len(regexp_extract_all(x, '[#*$%&|<>]')) * 10 <= 3 * len(string_split(x, ' '))
     AND NOT (len(regexp_extract_all(x, '{SEPARATOR}')) >= 2 AND len(string_split(x, ' ')) - len(regexp_extract_all(x, '{SEPARATOR}')) <= 4 * (len(regexp_extract_all(x, '{SEPARATOR}')) + 1))
