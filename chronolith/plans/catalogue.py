@@ -102,13 +102,13 @@ def find_narrative(spark, d):
     return nv.of_hits(_owned(spark, d, se.held(_hits(spark, d))))
 
 
-@query(f"""WITH {FRAMES_SQL}, {NUMBERED_SQL}, ranges(f, t) AS (VALUES (TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-14 06:00:00')),
+@query(f"""WITH {FRAMES_SQL}, {NUMBERED_SQL}, ranges(f, t) AS (VALUES (TIMESTAMP '2024-01-01 04:00:00', TIMESTAMP '2024-01-01 06:00:00')),
 hits AS (SELECT frame_id, app_name, frame_timestamp, CAST(row_number() OVER (ORDER BY frame_timestamp DESC, frame_id DESC) - 1 AS BIGINT) AS rank FROM frames
-  WHERE lower(extracted_text) LIKE '%tion%' AND extracted_text <> '' AND frame_timestamp BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' ORDER BY rank LIMIT 40)
+  WHERE lower(extracted_text) LIKE '%tion%' AND extracted_text <> '' AND frame_timestamp BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-20' ORDER BY rank LIMIT 40)
 SELECT rank, frame_id, h.app_name, session_id FROM hits h LEFT JOIN owned USING (frame_id) WHERE NOT EXISTS (SELECT 1 FROM ranges WHERE frame_timestamp BETWEEN f AND t)""")
 def find_composed(spark, d):
-    ranges = rows(spark, [("2024-01-10 00:00:00", "2024-01-14 06:00:00")], "f string, t string").select(F.col("f").cast("timestamp").alias("from"), F.col("t").cast("timestamp").alias("to"))
-    found = fi.find(frames(spark, d), activity(spark, d), USER, "TION", idle=IDLE, start="2024-01-03 00:00:00", end="2024-01-20 00:00:00", limit=40, suppressed=ranges)
+    ranges = rows(spark, [("2024-01-01 04:00:00", "2024-01-01 06:00:00")], "f string, t string").select(F.col("f").cast("timestamp").alias("from"), F.col("t").cast("timestamp").alias("to"))
+    found = fi.find(frames(spark, d), activity(spark, d), USER, "TION", idle=IDLE, start="2024-01-01 01:00:00", end="2024-01-20 00:00:00", limit=40, suppressed=ranges)
     return found.hits.select("rank", "frame_id", "app_name", "session_id")
 
 
@@ -606,10 +606,10 @@ def disk_budget(spark, d):
 
 
 @query(f"""WITH {FRAMES_SQL}, x AS (SELECT 'extracted_text' AS field, extracted_text AS v, frame_timestamp, frame_id FROM frames UNION ALL SELECT 'window_name', window_name, frame_timestamp, frame_id FROM frames),
-r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY frame_timestamp DESC, frame_id DESC) AS r FROM x WHERE length(v) >= 4 AND frame_timestamp >= TIMESTAMP '2024-01-05')
-SELECT field, count(*) AS total_rows, count(DISTINCT v) AS distinct_texts, CAST(sum(length(v)) AS BIGINT) AS total_chars FROM r WHERE r <= CASE field WHEN 'window_name' THEN 50 ELSE 400 END GROUP BY 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY frame_timestamp DESC, frame_id DESC) AS r FROM x WHERE length(v) >= 4 AND frame_timestamp >= TIMESTAMP '2024-01-01 02:00:00')
+SELECT f.field, count(v) AS total_rows, count(DISTINCT v) AS distinct_texts, CAST(coalesce(sum(length(v)), 0) AS BIGINT) AS total_chars FROM (VALUES ('extracted_text', 400), ('window_name', 50)) f(field, n) LEFT JOIN r ON r.field = f.field AND r.r <= f.n GROUP BY 1""")
 def dup_summary_fields(spark, d):
-    return dg.duplication_by_field(frames(spark, d), {"extracted_text": 400, "window_name": 50}, "2024-01-05 00:00:00", min_text=4)
+    return dg.duplication_by_field(frames(spark, d), {"extracted_text": 400, "window_name": 50}, "2024-01-01 02:00:00", min_text=4)
 
 
 @query("SELECT event_id AS frame_id FROM events WHERE coalesce(CASE WHEN event_id % 3 = 0 THEN event_id * 2 END, event_id) IN (SELECT l_orderkey FROM lineitem)")
@@ -733,10 +733,10 @@ def migrate_times(spark, d):
     return lc.migrated(table(spark, d, "events").select("event_id", text.alias("t")), ["t"])
 
 
-@query("""SELECT vec_id FROM embeddings JOIN events ON vec_id = event_id WHERE NOT date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-19 12:00:00'""")
+@query("""SELECT vec_id FROM embeddings JOIN events ON vec_id = event_id WHERE NOT date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-01 12:00:00'""")
 def delete_cascade_range(spark, d):
     v = vectors(spark, d).select("vec_id", "id", F.lit(None).cast("long").alias("meta_frame_id"), F.lit("").alias("capture_id"), F.lit("").alias("frame_timestamp"), F.date_trunc("second", "frame_timestamp").alias("timestamp"))
-    left = lc.cascade_range(sessions(spark, d), activity(spark, d), v, activity(spark, d), "2024-01-08 00:00:00", "2024-01-19 12:00:00")
+    left = lc.cascade_range(sessions(spark, d), activity(spark, d), v, activity(spark, d), "2024-01-01 01:00:00", "2024-01-01 12:00:00")
     return left[2].select("vec_id")
 
 
@@ -882,9 +882,9 @@ def derived_window(spark, d):
     return rd.between(activity(spark, d), "2024-01-08 00:00:00", "2024-01-09 12:00:00").select("frame_id")
 
 
-@query("SELECT vec_id, event_type AS app_name FROM embeddings JOIN events ON vec_id = event_id WHERE ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-09 12:00:00'")
+@query("SELECT vec_id, event_type AS app_name FROM embeddings JOIN events ON vec_id = event_id WHERE ts BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-01 12:00:00'")
 def vector_window(spark, d):
-    return rd.between(vectors(spark, d), "2024-01-08 00:00:00", "2024-01-09 12:00:00").select("vec_id", "app_name")
+    return rd.between(vectors(spark, d), "2024-01-01 01:00:00", "2024-01-01 12:00:00").select("vec_id", "app_name")
 
 
 @query("SELECT event_id AS frame_id FROM events WHERE event_id IN (SELECT l_orderkey FROM lineitem)")
@@ -904,11 +904,11 @@ def normalised_records(spark, d):
     return ig.normalised_records(raw, 100).select("frame_id", "id")
 
 
-@query("SELECT vec_id FROM embeddings JOIN events ON vec_id = event_id WHERE NOT CASE WHEN vec_id % 3 = 2 THEN date_trunc('second', ts) ELSE ts END BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-19 12:00:00'")
+@query("SELECT vec_id FROM embeddings JOIN events ON vec_id = event_id WHERE NOT CASE WHEN vec_id % 3 = 2 THEN date_trunc('second', ts) ELSE ts END BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-01 12:00:00'")
 def vectors_outside_range(spark, d):
     v = vectors(spark, d).withColumnRenamed("frame_timestamp", "timestamp")
     text = F.when(F.col("vec_id") % 3 == 0, "").when(F.col("vec_id") % 3 == 1, "no time").otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
-    return lc.vectors_outside(v.withColumn("frame_timestamp", text), "2024-01-08 00:00:00", "2024-01-19 12:00:00").select("vec_id")
+    return lc.vectors_outside(v.withColumn("frame_timestamp", text), "2024-01-01 01:00:00", "2024-01-01 12:00:00").select("vec_id")
 
 
 @query("SELECT event_id AS run_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 25")
