@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, hamming_search, html_extract, jaccard_join, license_scan, mixing, packing, periodic_runs, pii, quality_rules, sharding
+from . import compression_quality, hamming_search, html_extract, jaccard_join, license_scan, mixing, packing, periodic_runs, pii, quality_rules, sharding, vector_dedup
 
 QUERIES = {
     "op1_cube_mix": mixing.op1_cube_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_multi_index_hashing": hamming_search.op9_multi_index_hashing,
     "op10_partition_jaccard": jaccard_join.op10_partition_jaccard,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_pstable_dedup": vector_dedup.op12_pstable_dedup,
 }
 
 SQL = {
