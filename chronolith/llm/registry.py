@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, hamming_search, html_extract, jaccard_join, license_scan, mixing, packing, periodic_runs, pii, quality_rules, sharding, vector_dedup
+from . import compression_quality, hamming_search, hard_negatives, html_extract, jaccard_join, license_scan, mixing, packing, periodic_runs, pii, quality_rules, sharding, vector_dedup
 
 QUERIES = {
     "op1_cube_mix": mixing.op1_cube_mix,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_partition_jaccard": jaccard_join.op10_partition_jaccard,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_pstable_dedup": vector_dedup.op12_pstable_dedup,
+    "op13_vantage_negatives": hard_negatives.op13_vantage_negatives,
 }
 
 SQL = {
     "op6_line_cleaning": quality_rules.SQL,
     "op9_multi_index_hashing": hamming_search.SQL,
+    "op13_vantage_negatives": hard_negatives.SQL,
 }
