@@ -12,9 +12,9 @@ from ..functions import code as cd, narratives as nv, text as tx, values as vl
 from ..operators import diagnostics as dg, find as fi, ingest as ig, lifecycle as lc, privacy as pr, routines as rt, search as se, sessions as ss
 from ..functions import trees as tr
 from ..operators.linedelta import line_delta
-from ..session import shared_dir
+from ..session import intermediate_dir
 from ..sources import readers as rd
-from ..streaming import streams as st
+from ..streaming import commits as cm, release as rl, streams as st
 from .views import FRAMES_SQL, IDLE, NUMBERED_SQL, USER, activity, frames, rows, table, vectors
 
 QUERIES: dict = {}
@@ -1054,25 +1054,80 @@ def extraction_fallback(spark, d):
 # --- streams -------------------------------------------------------------------------------------------------------------
 
 
+def _folder(spark) -> str:
+    """A new folder for a query's checkpoint and output, among the application's intermediate tables."""
+    return f"{intermediate_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
 def _stream(spark, d, name: str) -> DataFrame:
     """A table as a stream of its files, so many bytes a micro-batch."""
     schema = table(spark, d, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxBytesPerTrigger", str(128 << 20)).parquet(d)
 
 
+def _stream_frames(spark, d) -> DataFrame:
+    """Frames as a stream of events, whose texts are looked up."""
+    events = _stream(spark, d, "events").select(F.col("event_id").alias("frame_id"), F.col("ts").cast("timestamp").alias("frame_timestamp"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("frame_id"), "lang", F.col("text").alias("extracted_text"))
+    return events.join(docs, "frame_id")
+
+
 @query(SQL["session_window_equiv"])
 def stream_sessions_equals_batch(spark, d):
     events = _stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("frame_timestamp"))
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    out = st.run_available(st.stream_sessions(events, USER, IDLE), path, "complete")
+    out = st.run_available(st.stream_sessions(events, USER, IDLE), _folder(spark), "complete")
     return out.select("user_id", us("started_at").alias("started_us"), "frames")
 
 
 @query(SQL["line_delta_batch"].replace("p.frame_id, p.lang, CAST(p.epoch AS BIGINT) AS epoch, ", "p.frame_id, p.lang AS context, CAST(p.epoch AS BIGINT) AS epoch, ").replace(", sha256(k.t) AS delta_hash", ""))
 def stream_line_delta_equals_batch(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
-    events = _stream(spark, d, "events").select(F.col("event_id").alias("frame_id"), F.col("ts").cast("timestamp").alias("frame_timestamp"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("frame_id"), "lang", F.col("text").alias("extracted_text"))
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    out = st.run_available(st.stream_line_delta(events.join(docs, "frame_id"), "lang", IDLE), path)
+    out = st.run_available(st.stream_line_delta(_stream_frames(spark, d), "lang", IDLE), _folder(spark))
     return out.select("frame_id", "context", "epoch", "kept_lines", "delta_text")
+
+
+# a frame in seven fails the first time it is tried, and the first one after some time always: what comes before that is accepted in the end
+STUCK = "2024-01-02 12:00:00"
+
+
+@query(SQL["stream_line_delta_equals_batch"].replace("FROM p LEFT JOIN k USING (frame_id)", f"FROM p LEFT JOIN k USING (frame_id) WHERE {{'t': p.frame_timestamp, 'i': p.frame_id}} < (SELECT min({{'t': frame_timestamp, 'i': frame_id}}) FROM frames WHERE frame_timestamp >= TIMESTAMP '{STUCK}')"))
+def stream_transaction(spark, d):
+    stuck = table(spark, d, "events").join(table(spark, d, "documents").select(F.col("doc_id").alias("event_id")), "event_id").filter(F.col("ts") >= F.lit(STUCK).cast("timestamp_ntz"))
+    first = stuck.agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("stuck"))
+
+    def attempt(previews: DataFrame) -> DataFrame:
+        again = (F.pmod("frame_id", F.lit(7)) == 3) & (F.col("attempt") < 2)
+        return previews.crossJoin(F.broadcast(first)).withColumn("failed", again | F.coalesce(F.col("frame_id") == F.col("stuck"), F.lit(False)))  # one row
+
+    out = cm.Transactions(_folder(spark), IDLE, attempt, "lang").run(_stream_frames(spark, d))
+    return out.select("frame_id", "context", "epoch", "kept_lines", "delta_text")
+
+
+HOLD = 3 * 86_400
+
+
+# errors block a user, sign-ups unblock it, and of purchases nobody can tell: they block too
+@query(f"""WITH e AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key, ts, event_type AS t FROM events WHERE user_id IS NOT NULL), c AS (SELECT *, t <> 'signup' AS blocked FROM e WHERE t IN ('error', 'signup', 'purchase')), last AS (SELECT max(ts) AS ts FROM events),
+f AS (SELECT e.id, e.key, e.ts, coalesce((SELECT max_by(blocked, {{'t': c.ts, 'i': c.id}}) FROM c WHERE c.key = e.key AND {{'t': c.ts, 'i': c.id}} < {{'t': e.ts, 'i': e.id}}), false) AS blocked,
+  (SELECT min({{'t': c.ts, 'i': c.id}}) FROM c WHERE NOT c.blocked AND c.key = e.key AND {{'t': c.ts, 'i': c.id}} > {{'t': e.ts, 'i': e.id}}) AS free FROM e WHERE t IN ('click', 'view')),
+s AS (SELECT *, CASE WHEN NOT blocked THEN 'passed' WHEN free.t <= ts + INTERVAL {HOLD} SECOND THEN 'released' WHEN free IS NOT NULL OR ts + INTERVAL {HOLD} SECOND < (SELECT ts FROM last) THEN 'dropped' END AS status FROM f),
+r AS (SELECT *, CASE status WHEN 'passed' THEN {{'t': ts, 'i': id}} WHEN 'released' THEN free END AS w FROM s WHERE status IS NOT NULL)
+SELECT key, id AS frame_id, status, epoch_us(w.t) AS released_us, CASE WHEN w IS NOT NULL THEN row_number() OVER (PARTITION BY key, w IS NULL ORDER BY w, ts, id) - 1 END AS place FROM r""")
+def stream_release(spark, d):
+    events = _stream(spark, d, "events").filter("user_id IS NOT NULL").select("user_id", F.col("event_id").alias("frame_id"), F.col("ts").cast("timestamp").alias("frame_timestamp"), "event_type")
+    controls = events.filter("event_type IN ('error', 'signup', 'purchase')").withColumn("blocked", F.expr("CASE event_type WHEN 'error' THEN true WHEN 'signup' THEN false END"))
+    out = st.run_available(rl.stream_released(events.filter("event_type IN ('click', 'view')"), controls, "user_id", HOLD), _folder(spark))
+    return out.select("key", "frame_id", "status", "released_us", "place")
+
+
+CUT = "2024-01-02 06:00:00"
+
+
+# a new stream goes on from the open sessions at a time: what it keeps of later frames is what an uninterrupted one keeps
+@query(SQL["stream_line_delta_equals_batch"].replace("CAST(p.epoch AS BIGINT) AS epoch, ", "").replace("FROM p LEFT JOIN k USING (frame_id)", f"FROM p LEFT JOIN k USING (frame_id) WHERE p.frame_timestamp > TIMESTAMP '{CUT}'"))
+def stream_hydrated_delta(spark, d):
+    before = frames(spark, d).filter(F.col("frame_timestamp") <= F.lit(CUT).cast("timestamp"))
+    open_ = ss.idle_flushed(ss.sessions_of(ss.sessionized(before, ["lang"], IDLE), ["lang"]), F.lit(CUT).cast("timestamp"), IDLE).filter("is_open")
+    known = ig.hydrated(before, open_, CUT, "lang")
+    later = _stream_frames(spark, d).filter(F.col("frame_timestamp") > F.lit(CUT).cast("timestamp"))
+    out = st.run_available(st.stream_line_delta(later, "lang", IDLE, known), _folder(spark))
+    return out.select("frame_id", "context", "kept_lines", "delta_text")

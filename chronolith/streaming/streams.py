@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import MapState, ValueState
 
 from ..functions.text import lines, text_hash
 
@@ -19,52 +20,105 @@ def stream_sessions(frames: DataFrame, keys: list[str], idle: int, watermark: st
     return out.select(*keys, F.col("session_window.start").alias("started_at"), "ended_at", "frames")
 
 
+class Shown:
+    """What one context has shown since its epoch began, over what its state knows. It becomes state on `save` only."""
+
+    def __init__(self, last: ValueState, seen: MapState, idle_us: int):
+        self.state, self.seen, self.idle_us = last, seen, idle_us
+        self.last, self.epoch = last.get() if last.exists() else (None, 0)
+        self.fresh: set[str] = set()
+        self.cleared = False
+
+    def add(self, us: int, texts: list[str], hashes: list[str]) -> list[str]:
+        """The lines of a frame that its epoch hasn't shown before. A pause or a step back in time begins a new epoch."""
+        if self.last is None or us < self.last or us - self.last > self.idle_us:
+            self.epoch, self.cleared = self.epoch + 1, True
+            self.fresh.clear()
+        known = {h: h in self.fresh or not self.cleared and self.seen.containsKey((h,)) for h in set(hashes)}
+        self.fresh |= {h for h, was in known.items() if not was}
+        self.last = us
+        return [text for text, h in zip(texts, hashes, strict=True) if not known[h]]
+
+    def save(self) -> None:
+        if self.last is None:
+            return
+        if self.cleared:
+            self.seen.clear()
+        for h in self.fresh:
+            self.seen.updateValue((h,), (self.epoch,))
+        self.state.update((int(self.last), int(self.epoch)))
+        self.fresh, self.cleared = set(), False
+
+
+LAST, HASH, EPOCH = "us long, epoch long", "hash string", "epoch long"
+DELTA = "frame_id long, context string, epoch long, kept_lines long, delta_text string"
+
+
 class LineDelta(StatefulProcessor):
-    """Per context: when it was last seen, and the hashes of the lines of its epoch. A pause or a step back in time begins a new epoch."""
+    """Per context: when it was last seen, and the hashes of the lines of its epoch."""
 
     def __init__(self, idle_us: int):
         self.idle_us = idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("us", LongType()), StructField("epoch", LongType())]))
-        self.seen = handle.getMapState("seen", StructType([StructField("hash", StringType())]), StructType([StructField("epoch", LongType())]))
+        self.last, self.seen = handle.getValueState("last", LAST), handle.getMapState("seen", HASH, EPOCH)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """The context goes on from frames (ts_us, hashes) of its open epoch, given in any order and number of parts."""
+        last, epoch = self.last.get() if self.last.exists() else (0, 1)
+        for hashes in initialState["hashes"]:
+            for h in hashes:
+                self.seen.updateValue((h,), (epoch,))
+        self.last.update((max(int(last), int(initialState["ts_us"].max())), int(epoch)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts_us", "frame_id"])  # one context of one micro-batch, which the source's rate limit bounds
-        last, epoch = self.last.get() if self.last.exists() else (None, 0)
-        out = []
+        shown, out = Shown(self.last, self.seen, self.idle_us), []
         for frame, us, texts, hashes in zip(batch["frame_id"], batch["ts_us"], batch["lines"], batch["hashes"], strict=True):
-            if last is None or us < last or us - last > self.idle_us:
-                epoch += 1
-                self.seen.clear()
-            last, known, kept = us, {}, []
-            for text, h in zip(texts, hashes, strict=True):
-                if h not in known:
-                    known[h] = self.seen.containsKey((h,))
-                if not known[h]:
-                    kept.append(text)
-            for h, was in known.items():
-                if not was:
-                    self.seen.updateValue((h,), (epoch,))
-            out.append((frame, key[0], epoch, len(kept), "\n".join(kept)))
-        self.last.update((int(last), int(epoch)))
+            kept = shown.add(us, texts, hashes)
+            out.append((frame, key[0], shown.epoch, len(kept), "\n".join(kept)))
+        shown.save()
         yield pd.DataFrame(out, columns=["frame_id", "context", "epoch", "kept_lines", "delta_text"])
 
     def close(self) -> None:
         pass
 
 
-def stream_line_delta(frames: DataFrame, context: str, idle: int) -> DataFrame:
-    """(frame_id, context, epoch, kept_lines, delta_text) of a stream of frames; state is keyed by context. Needs the RocksDB state store, and a
-    source with a rate limit (``maxBytesPerTrigger``): a task holds what a context adds in one micro-batch."""
+def lined(frames: DataFrame, context: str) -> DataFrame:
+    """(context, frame_id, ts_us, lines, hashes) of frames."""
     kept = F.filter(F.transform(lines(F.col("extracted_text")), lambda x: F.trim(x)), lambda x: x != "")
     rows = frames.select(F.col(context).alias("context"), "frame_id", F.unix_micros("frame_timestamp").alias("ts_us"), kept.alias("lines"))
-    rows = rows.withColumn("hashes", F.transform("lines", lambda x: text_hash(x)))
-    return rows.groupBy("context").transformWithStateInPandas(
-        statefulProcessor=LineDelta(idle * 1_000_000), outputStructType="frame_id long, context string, epoch long, kept_lines long, delta_text string", outputMode="Append", timeMode="None"
+    return rows.withColumn("hashes", F.transform("lines", lambda x: text_hash(x)))
+
+
+def stream_line_delta(frames: DataFrame, context: str, idle: int, known: DataFrame | None = None) -> DataFrame:
+    """(frame_id, context, epoch, kept_lines, delta_text) of a stream of frames; state is keyed by context. Needs the RocksDB state store (`rocksdb`), and a
+    source with a rate limit (``maxBytesPerTrigger``): a task holds what a context adds in one micro-batch.
+
+    A new query may go on where another one ended: known has the frames of the open sessions up to there (`ingest.hydrated`), which become
+    the state of their contexts. It counts when the query has no checkpoint yet; epochs are numbered from that of the open session, 1.
+    """
+    start = None if known is None else lined(known, context).select("context", "ts_us", "hashes").groupBy("context")
+    return lined(frames, context).groupBy("context").transformWithStateInPandas(
+        statefulProcessor=LineDelta(idle * 1_000_000), outputStructType=DELTA, outputMode="Append", timeMode="None", initialState=start
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which arbitrary state needs; the session's setting is as before afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return what it wrote. Each micro-batch has a folder of its own, so a replayed batch replaces itself."""
 
@@ -72,9 +126,7 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
         name = f"batch={0 if mode == 'complete' else number}"  # a complete result replaces the one before
         batch.write.mode("overwrite").parquet(f"{path}/out/{name}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    with rocksdb(stream.sparkSession):
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{path}/out")
-
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
