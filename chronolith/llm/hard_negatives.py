@@ -3,7 +3,7 @@
 Vectors of integers get one more component, the square root of M^2 - |x|^2, where M is the largest length of all: then all are M long, and the squared distance of an
 anchor (with a zero there) is |a|^2 + M^2 - 2 * score, score being the inner product. Higher scores are nearer, and a window of scores is an annulus of distances.
 
-A node of the tree has a vantage point and two halves, nearer and farther rows, with the least and the greatest distance of each from that point. By the triangle inequality these bound
+The first levels part the rows by label. Below, a node of the tree has a vantage point and two halves, nearer and farther rows, with the least and the greatest distance of each from that point. By the triangle inequality these bound
 the distances from an anchor. Nodes are visited nearest first; those outside the annuli still open, or with no row of the labels wanted, are left out. A search ends
 once the kth row of each window is nearer than the nearest node left. Scores are exact integers; floating-point bounds are widened by more than their error.
 
@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 
 from ..session import materialize
 
-LEAF = 256
+LEAF = 1024
 #: Entries of a part of at most this many bytes; anchors of a block: at least the first, at most the second, in between a 16th of all.
 PART_BYTES, ANCHORS = 1 << 25, (1 << 8, 1 << 14)
 
@@ -41,25 +41,30 @@ class VantageTree:
     def __init__(self, x: np.ndarray, label: np.ndarray, least: np.ndarray, longest: float):
         extra = np.sqrt(np.maximum(longest * longest - (x * x).sum(axis=1), 0))
         far = lambda rows, v: np.sqrt(((x[rows] - x[v]) ** 2).sum(axis=1) + (extra[rows] - extra[v]) ** 2)
-        #: [nearer child, farther child, vantage point (vector and last component), (least, greatest) distance of each half, first row, past the last, least and greatest label]
+        #: [nearer child, farther child, vantage point (vector and last component; None: parted by label), (least, greatest) distance of each half, first row, past the last, least and greatest label]
         self.nodes: list[list] = []
-        order, stack = np.arange(len(x)), [(0, len(x), -1, 0)]
+        order, stack = np.argsort(label, kind="stable"), [(0, len(x), -1, 0)]
         while stack:
             lo, hi, parent, half = stack.pop()
-            rows = order[lo:hi]
+            rows, number = order[lo:hi], len(self.nodes)
             if parent >= 0:
-                self.nodes[parent][half] = len(self.nodes)
-            node = [-1, -1, None, None, lo, hi, int(label[rows].min()), int(label[rows].max())]
+                self.nodes[parent][half] = number
+            own = label[rows]
+            node = [-1, -1, None, ((0.0, math.inf),) * 2, lo, hi, int(own.min()), int(own.max())]
             self.nodes.append(node)
-            if hi - lo <= LEAF:
+            if hi - lo <= LEAF and (node[6] == node[7] or hi - lo <= LEAF // 8):
                 continue
-            vantage = rows[far(rows, rows[0]).argmax()]  # at the rim, where distances spread
-            away = far(rows, vantage)
-            by = np.argsort(away, kind="stable")
-            order[lo:hi], away = rows[by], away[by]
-            mid = (hi - lo) // 2  # halves of rows, not of distances: equal rows make no deep tree
-            node[2:4] = (x[vantage], extra[vantage]), ((away[0], away[mid - 1]), (away[mid], away[-1]))
-            stack += [(lo + mid, hi, len(self.nodes) - 1, 1), (lo, lo + mid, len(self.nodes) - 1, 0)]
+            if node[6] < node[7]:
+                at = np.flatnonzero(own[1:] != own[:-1]) + 1  # in order of labels here
+                mid = int(at[np.abs(at - (hi - lo) / 2).argmin()])
+            else:
+                vantage = rows[far(rows, rows[0]).argmax()]  # at the rim, where distances spread
+                away = far(rows, vantage)
+                by = np.argsort(away, kind="stable")
+                order[lo:hi], away = rows[by], away[by]
+                mid = (hi - lo) // 2  # halves of rows, not of distances: equal rows make no deep tree
+                node[2:4] = (x[vantage], extra[vantage]), ((away[0], away[mid - 1]), (away[mid], away[-1]))
+            stack += [(lo + mid, hi, number, 1), (lo, lo + mid, number, 0)]
         self.x, self.label, self.least, self.order, self.longest = x[order], label[order], least[order], order, longest
 
     def nearest(self, a: np.ndarray, own: int, same: bool, windows: np.ndarray, k: int) -> tuple[list[list[tuple[int, int, int]]], int]:
@@ -68,6 +73,7 @@ class VantageTree:
         slack = 1e-6 * math.sqrt(base)
         distance = lambda score: math.sqrt(max(base - 2 * score, 0.0))
         inner, outer = ([distance(float(w[i])) for w in windows] for i in (1, 0))  # the outer one comes nearer as rows are found
+        least = [float(w[0]) for w in windows]
         found: list[list[tuple[int, int, int]]] = [[] for _ in windows]
         heap, scored = [(0.0, math.inf, 0)] if len(windows) else [], 0
         while heap:
@@ -80,19 +86,25 @@ class VantageTree:
             wanted = [w for w in range(len(windows)) if low <= outer[w] + slack and high >= inner[w] - slack]
             if not wanted:
                 continue
-            if vantage is None:
-                scores = self.x[lo:hi] @ a  # exact: integers below 2^53
-                fits, scored = (self.label[lo:hi] == own) == same, scored + hi - lo
-                for w in wanted:
-                    at = np.flatnonzero(fits & (scores >= windows[w, 0]) & (scores <= windows[w, 1]) & (scores >= -found[w][-1][0] if len(found[w]) == k else True))
-                    if len(at):
-                        rows = zip((-scores[at]).astype(np.int64).tolist(), self.least[lo:hi][at].tolist(), (at + lo).tolist(), strict=True)
+            if near < 0:
+                scores, scored = self.x[lo:hi] @ a, scored + hi - lo  # exact: integers below 2^53
+                at = np.flatnonzero((scores >= min(least[w] for w in wanted)) & (scores <= max(windows[w, 1] for w in wanted)))
+                if first != last:
+                    at = at[(self.label[lo:hi][at] == own) == same]
+                scores = scores[at]
+                for w in wanted if len(at) else ():
+                    fit = (scores >= least[w]) & (scores <= windows[w, 1])
+                    if fit.any():
+                        rows = zip((-scores[fit]).astype(np.int64).tolist(), self.least[lo:hi][at[fit]].tolist(), (at[fit] + lo).tolist(), strict=True)
                         found[w] = heapq.nsmallest(k, itertools.chain(found[w], rows))
                         if len(found[w]) == k:
-                            outer[w] = distance(-found[w][-1][0])
+                            least[w] = -found[w][-1][0]
+                            outer[w] = distance(least[w])
                 continue
-            gap = a - vantage[0]
-            away = math.sqrt(float(gap @ gap) + float(vantage[1]) ** 2)
+            away = 0.0
+            if vantage is not None:
+                gap = a - vantage[0]
+                away = math.sqrt(float(gap @ gap) + float(vantage[1]) ** 2)
             for child, (nearest, farthest) in zip((near, far), halves, strict=True):
                 heapq.heappush(heap, (max(low, nearest - away, away - farthest), min(high, away + farthest), child))
         return found, scored

@@ -40,7 +40,8 @@ def test_equals_brute_force(spark, monkeypatch, seed, spread, leaf):
     assert got == brute(rows) and len(got) > 100
 
 
-def test_the_tree_leaves_rows_out_on_clustered_vectors():
+def test_the_tree_leaves_rows_out_on_clustered_vectors(monkeypatch):
+    monkeypatch.setattr(hn, "LEAF", 16)
     rng = np.random.default_rng(4)
     centres = rng.integers(-200, 200, (40, 16))
     x = (centres[rng.integers(0, 40, 20_000)] + rng.integers(-9, 10, (20_000, 16))).astype(float)
