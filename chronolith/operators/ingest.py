@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -109,12 +110,12 @@ def freshness(lag_minutes: Column, backlog: Column, window: int = 15) -> Column:
     )
 
 
-def fetch_window(lag_minutes: float | None, window: int = 15) -> tuple[float | None, bool]:
-    """(minutes to fetch, backlog needed): the lag rounded up, from one to three windows; a backlog if there is no checkpoint or it is older."""
+def fetch_window(lag_minutes: float | None, window: int = 15, batches: int = 3) -> tuple[int, bool]:
+    """(minutes to fetch, backlog needed): the lag rounded up, from one window to one for each batch of a run; a backlog if there is no checkpoint or it is older."""
     if lag_minutes is None:
-        return None, True
-    wanted = min(max(-int(-lag_minutes // 1), window), 3 * window)
-    return float(wanted), lag_minutes > 3 * window
+        return window * batches, True
+    wanted = min(max(math.ceil(lag_minutes), window), window * batches)
+    return wanted, lag_minutes > wanted
 
 
 def with_cached_embeddings(frames: DataFrame, cache: DataFrame) -> DataFrame:

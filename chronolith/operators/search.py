@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from ..functions.text import keyword_form
 from ..functions.values import clamp_limit, dot
 from ..session import few, sliced
+from .intervals import outside
 
 RRF_CONSTANT = 60
 
@@ -94,14 +95,8 @@ def grouped_by_session(hits: DataFrame) -> DataFrame:
 
 
 def without_suppressed_points(hits: DataFrame, ranges: DataFrame, ts: str = "frame_timestamp") -> DataFrame:
-    """Drop rows whose time falls into a (from, to) range, ends included; rows without a time stay. A control table of few ranges is sent to all
-    tasks; beyond that, rows and ranges meet by day."""
-    r = ranges.select(F.col("from").alias("_from"), F.col("to").alias("_to"))
-    inside = (F.col(ts) >= F.col("_from")) & (F.col(ts) <= F.col("_to"))
-    if few(r):
-        return hits.join(F.broadcast(r), inside, "left_anti")
-    days = r.withColumn("_day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))))
-    return hits.join(days, (F.to_date(ts) == F.col("_day")) & inside, "left_anti")
+    """Drop rows whose time falls into a (from, to) range, ends included; rows without a time stay."""
+    return outside(hits, ranges, ts)
 
 
 def similarity(embedding: Column, query: list[float]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions import narratives
 from ..functions.values import bucket_start, clamp, half_up, seconds_between
-from ..session import few
+from .intervals import outside
 
 IDLE_SECONDS = 120
 
@@ -69,15 +69,8 @@ def session_list(sessions: DataFrame, start=None, end=None, app: str | None = No
 
 
 def without_suppressed_intervals(sessions: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Drop sessions that overlap any (from, to) range, both ends included. A control table of few ranges is sent to all tasks; beyond
-    that, days of sessions and of ranges meet first."""
-    r = ranges.select(F.col("from").alias("_from"), F.col("to").alias("_to"))
-    overlap = (F.col("ended_at") >= F.col("_from")) & (F.col("started_at") <= F.col("_to"))
-    if few(r):
-        return sessions.join(F.broadcast(r), overlap, "left_anti")
-    days = r.withColumn("_day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))))
-    of = sessions.select("session_id", "started_at", "ended_at", F.explode(F.sequence(F.to_date("started_at"), F.to_date("ended_at"))).alias("_day"))
-    return sessions.join(of.join(days, (of["_day"] == days["_day"]) & overlap, "left_semi").select("session_id"), "session_id", "left_anti")
+    """Drop sessions that overlap any (from, to) range, both ends included."""
+    return outside(sessions, ranges, "started_at", "ended_at")
 
 
 def recall_sessions(sessions: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..functions import code as cd, narratives as nv, text as tx, values as vl
-from ..operators import diagnostics as dg, find as fi, ingest as ig, lifecycle as lc, privacy as pr, routines as rt, search as se, sessions as ss
+from ..operators import diagnostics as dg, find as fi, ingest as ig, intervals as iv, lifecycle as lc, pool as po, privacy as pr, routines as rt, search as se, sessions as ss, summaries as su
 from ..functions import trees as tr
 from ..operators.linedelta import line_delta
 from ..session import intermediate_dir
-from ..sources import readers as rd
+from ..sources import backlog as bl, readers as rd
 from ..streaming import commits as cm, release as rl, streams as st
 from .views import FRAMES_SQL, IDLE, NUMBERED_SQL, USER, activity, frames, rows, table, vectors
 
@@ -1131,3 +1131,113 @@ def stream_hydrated_delta(spark, d):
     later = _stream_frames(spark, d).filter(F.col("frame_timestamp") > F.lit(CUT).cast("timestamp"))
     out = st.run_available(st.stream_line_delta(later, "lang", IDLE, known), _folder(spark))
     return out.select("frame_id", "context", "kept_lines", "delta_text")
+
+
+@query(SQL["stream_line_delta_equals_batch"])
+def backlog_replay(spark, d):
+    """All history, in pages of 300 rows, four to a run."""
+    path = _folder(spark)
+    pages = bl.paged(frames(spark, d), f"{path}/pages", 300)
+    bl.replayed(spark, pages, 4, lambda stream: st.started(st.stream_line_delta(stream, "lang", IDLE), path))
+    return spark.read.schema(st.DELTA).parquet(f"{path}/out").select("frame_id", "context", "epoch", "kept_lines", "delta_text")
+
+
+# --- ranges of any number and width --------------------------------------------------------------------------------------
+
+#: After each error a user is hidden from all for 20 minutes, and all that comes after a time is. Ranges overlap; a few are empty or end before they start.
+HIDDEN_SQL = """hidden AS (SELECT ts AS f, ts + INTERVAL 20 MINUTE AS t FROM events WHERE event_type = 'error' UNION ALL SELECT ts, ts - INTERVAL 1 DAY FROM events WHERE event_type = 'view'
+  UNION ALL SELECT TIMESTAMP '2024-01-28 12:00:00', TIMESTAMP '9999-12-31 00:00:00' UNION ALL SELECT ts, NULL FROM events WHERE event_type = 'click')"""
+
+
+def _hidden(spark, d) -> DataFrame:
+    e = activity(spark, d).withColumn("ts", F.col("frame_timestamp"))
+    of = lambda app, end: e.filter(F.col("app_name") == app).select(F.col("ts").alias("from"), F.expr(end).cast("timestamp").alias("to"))
+    open_ = rows(spark, [("2024-01-28 12:00:00", "9999-12-31 00:00:00")], "f string, t string").select(F.col("f").cast("timestamp").alias("from"), F.col("t").cast("timestamp").alias("to"))
+    return of("error", "ts + interval 20 minutes").unionByName(of("view", "ts - interval 1 day")).unionByName(of("click", "NULL")).unionByName(open_)
+
+
+@query(f"WITH {HIDDEN_SQL} SELECT event_id AS frame_id FROM events WHERE NOT EXISTS (SELECT 1 FROM hidden WHERE ts BETWEEN f AND t)")
+def ranges_points(spark, d):
+    return iv.outside(activity(spark, d), _hidden(spark, d), "frame_timestamp", most=50).select("frame_id")
+
+
+@query(f"WITH {NUMBERED_SQL}, {HIDDEN_SQL} SELECT session_id FROM sessions WHERE NOT EXISTS (SELECT 1 FROM hidden WHERE f <= t AND ended_at >= f AND started_at <= t)")
+def ranges_sessions(spark, d):
+    return iv.outside(sessions(spark, d), _hidden(spark, d), "started_at", "ended_at", most=50).select("session_id")
+
+
+@query(f"""WITH {HIDDEN_SQL}, o AS (SELECT f, t, CASE WHEN f <= max(t) OVER (ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM hidden WHERE f <= t),
+g AS (SELECT *, sum(new) OVER (ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT epoch_us(min(f)) AS from_us, epoch_us(max(t)) AS to_us FROM g GROUP BY g""")
+def ranges_merged(spark, d):
+    return iv.merged(_hidden(spark, d)).select(us("from").alias("from_us"), us("to").alias("to_us"))
+
+
+# one record in five has a time that nobody can read, and one range an end: texts decide then
+@query("""WITH r AS (SELECT event_id, ts, CASE event_id % 5 WHEN 0 THEN '2024-01-1' || (event_id % 7) || ' about noon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS s, event_id % 5 > 0 AS ok FROM events), g(f, t, ok) AS (VALUES
+  ('2024-01-02 00:00:00', '2024-01-03 06:00:00', true), ('2024-01-12 00:00:00', '2024-01-14 00:00:00', true), ('2024-01-20 00:00:00', '2024-01-20 someday', false))
+SELECT event_id AS frame_id FROM r WHERE NOT EXISTS (SELECT 1 FROM g WHERE CASE WHEN r.ok AND g.ok THEN CAST(s AS TIMESTAMP) BETWEEN CAST(CASE WHEN g.ok THEN f END AS TIMESTAMP) AND CAST(CASE WHEN g.ok THEN t END AS TIMESTAMP) ELSE s BETWEEN f AND t END)""")
+def ranges_by_text(spark, d):
+    text = F.when(F.col("frame_id") % 5 == 0, F.concat(F.lit("2024-01-1"), (F.col("frame_id") % 7).cast("string"), F.lit(" about noon"))).otherwise(F.date_format("frame_timestamp", "yyyy-MM-dd HH:mm:ss"))
+    ranges = rows(spark, [("2024-01-02 00:00:00", "2024-01-03 06:00:00"), ("2024-01-12 00:00:00", "2024-01-14 00:00:00"), ("2024-01-20 00:00:00", "2024-01-20 someday")], "from string, to string")
+    return iv.outside_by_text(activity(spark, d).withColumn("timestamp", text), ranges).select("frame_id")
+
+
+# --- calls of providers --------------------------------------------------------------------------------------------------
+
+
+def _embed(text: str) -> list[float]:
+    """A stand-in for a provider: two numbers of a text, and no answer where the text is long and of an even length."""
+    if len(text) > 400 and len(text) % 2 == 0:
+        raise ConnectionError("provider is down")
+    return [float(len(text)), float(text.count(" "))]
+
+
+# a text in three is in the cache; every seventh frame has none
+@query(f"""WITH {FRAMES_SQL}, f AS (SELECT frame_id, frame_timestamp, CASE WHEN frame_id % 7 = 0 THEN '' ELSE extracted_text END AS x FROM frames), cache AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 = 0),
+m AS (SELECT x, min({{'t': frame_timestamp, 'i': frame_id}}) AS first FROM f WHERE x <> '' AND x NOT IN (SELECT text FROM cache WHERE text IS NOT NULL) GROUP BY 1)
+SELECT frame_id, CASE WHEN coalesce(f.x, '') = '' THEN 'skipped-empty' WHEN m.x IS NULL THEN 'reused-hash' WHEN length(f.x) > 400 AND length(f.x) % 2 = 0 THEN 'provider-unavailable' WHEN m.first.i = frame_id THEN 'computed' ELSE 'reused-hash' END AS outcome,
+  CASE WHEN m.x IS NULL THEN NULL WHEN length(f.x) > 400 AND length(f.x) % 2 = 0 THEN 'ConnectionError: provider is down' END AS error,
+  CASE WHEN coalesce(f.x, '') = '' OR (m.x IS NOT NULL AND length(f.x) > 400 AND length(f.x) % 2 = 0) THEN NULL ELSE CAST(length(f.x) AS DOUBLE) END AS chars FROM f LEFT JOIN m USING (x)""")
+def embedding_outcomes(spark, d):
+    hashed = lambda df: df.withColumn("text_hash", tx.text_hash(F.col("extracted_text")))
+    f = hashed(frames(spark, d).withColumn("extracted_text", F.when(F.col("frame_id") % 7 == 0, "").otherwise(F.col("extracted_text"))))
+    cached = hashed(table(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("text").alias("extracted_text"))).filter("extracted_text <> ''").dropDuplicates(["text_hash"])
+    cache = cached.select(F.col("text_hash").alias("hash"), F.array(F.length("extracted_text").cast("double"), F.lit(0.0)).alias("embedding"))
+    out = po.embedding_outcomes(f, cache, _embed, bound=8, tasks=4)
+    return out.select("frame_id", "outcome", "error", F.col("embedding")[0].alias("chars"))
+
+
+def _summarize(row: dict) -> str:
+    if row["frames"] % 5 == 0:
+        raise TimeoutError("too slow")
+    return "" if row["frames"] % 7 == 0 else f"{row['session_id']} has {row['frames']}"
+
+
+#: Sessions as stored: some ready, some ready without a text, some failed before; of every eleventh nobody knows how long it was.
+STORED_SQL = """st AS (SELECT session_id, user_id AS u, frames AS n, started_at, ended_at, CASE WHEN frames % 11 = 0 THEN NULL ELSE active END AS active, CASE frames % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' WHEN 2 THEN 'ready' ELSE 'pending' END AS status,
+  CASE WHEN frames % 4 < 2 THEN 'old text' END AS text FROM sessions)"""
+ISO_SQL = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+
+# of users with odd numbers capture is paused, and of every third one nobody can tell; session ids that don't exist are asked for, too
+@query(f"""WITH {NUMBERED_SQL}, {STORED_SQL}, x AS (SELECT *, NOT (u % 2 = 1 OR u % 3 = 0) AS free, status = 'ready' AND text IS NOT NULL AS ready,
+  CASE WHEN active IS NOT NULL THEN '在 app 中工作约 ' || CAST(floor(active / 60 + 0.5) AS BIGINT) || ' 分钟，围绕 "c"，共 ' || n || ' 帧证据（' || {ISO_SQL.format('started_at')} || '起，' || {ISO_SQL.format('ended_at')} || '止）。' END AS template,
+  CASE WHEN n % 5 > 0 AND n % 7 > 0 THEN session_id || ' has ' || n END AS said FROM st),
+y AS (SELECT session_id, CASE WHEN ready OR (free AND said IS NOT NULL) THEN 'ready' WHEN template IS NULL THEN 'failed' WHEN free THEN 'degraded' ELSE 'ready' END AS summary_status, * EXCLUDE (session_id) FROM x)
+SELECT session_id, summary_status, CASE WHEN summary_status = 'failed' OR ready THEN text WHEN free AND said IS NOT NULL THEN said ELSE template END AS summary_text,
+  CASE WHEN NOT ready AND free AND said IS NOT NULL THEN 'llm' ELSE 'template' END AS summary_provider_kind, NOT ready AS stored FROM y WHERE u IS NOT NULL
+UNION ALL SELECT 'gone#' || event_id, 'failed', NULL, 'template', false FROM events WHERE event_type = 'signup'""")
+def summaries_ensured(spark, d):
+    s = sessions(spark, d).filter("user_id IS NOT NULL").withColumns({
+        "app_name": F.lit("app"), "context_label": F.lit("c"), "active_seconds": F.expr("CASE WHEN frames % 11 > 0 THEN active_seconds END"),
+        "summary_status": F.expr("CASE frames % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' WHEN 2 THEN 'ready' ELSE 'pending' END"), "summary_text": F.expr("CASE WHEN frames % 4 < 2 THEN 'old text' END"),
+        "summary_provider_kind": F.lit(None).cast("string"), "summary_generated_at": F.lit(None).cast("timestamp"),
+    })
+    gone = activity(spark, d).filter("app_name = 'signup'").select(F.concat(F.lit("gone#"), F.col("frame_id").cast("string")).alias("session_id"))
+    out = None
+    for part, paused in (("user_id % 2 = 1", F.lit(True)), ("user_id % 2 = 0 AND user_id % 3 = 0", F.lit(None).cast("boolean")), ("user_id % 2 = 0 AND user_id % 3 <> 0", F.lit(False))):
+        own = s.filter(part)
+        wanted = own.select("session_id") if out is not None else own.select("session_id").unionByName(gone)
+        made = su.ensured(wanted, own, _summarize, "llm", paused, F.lit("2024-02-01").cast("timestamp"), bound=4, tasks=2)
+        out = made if out is None else out.unionByName(made)
+    return out.select("session_id", "summary_status", "summary_text", "summary_provider_kind", "stored")

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import MapState, ValueState
 
 from ..functions.text import lines, text_hash
@@ -119,14 +119,18 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return what it wrote. Each micro-batch has a folder of its own, so a replayed batch replaces itself."""
+def started(stream: DataFrame, path: str, mode: str = "append") -> StreamingQuery:
+    """A query over what is there, which writes below path/out. Each micro-batch has a folder of its own, so a replayed batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         name = f"batch={0 if mode == 'complete' else number}"  # a complete result replaces the one before
         batch.write.mode("overwrite").parquet(f"{path}/out/{name}")
 
     with rocksdb(stream.sparkSession):
-        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
+        return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+
+
+def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there and return all that it and earlier runs wrote."""
+    started(stream, path, mode).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
