@@ -18,6 +18,7 @@ numbered by row so that they spread over tasks too. An empty table gives an empt
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from bisect import bisect_right
@@ -45,7 +46,7 @@ def _bytes_of() -> dict[str, int]:
 
 
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """Token ids of a text by a byte-level BPE tokenizer file; strings of special tokens are ordinary text.
+    """Token ids of a text by a byte-level BPE tokenizer file, as tokenizers gives them without adding special tokens: those that stand in the text become their ids.
 
     tokenizers reads the file. Where its ids count merges in their order, texts aren't normalised, and the pre-tokenizer is the byte-level one with its own pattern
     (PARTS) and no space put first, tiktoken merges the same vocabulary in half the time; all of that is checked here, and any other tokenizer is used as it is.
@@ -54,7 +55,6 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     model, byte = json.loads(tokenizer.to_str()), _bytes_of()
     special = {t["content"] for t in model["added_tokens"]}
     vocabulary = model["model"]["vocab"]
@@ -64,7 +64,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     plain = plain and model["normalizer"] is None and not any(model["model"].get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
     if plain and all(vocabulary[m] == 256 + i for i, m in enumerate(merged)):
         ranks = {bytes(byte[c] for c in k): v for k, v in vocabulary.items() if k not in special}
-        return tiktoken.Encoding("byte-bpe", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        if not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
+            return functools.partial(tiktoken.Encoding("byte-bpe", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in model["added_tokens"]}).encode, allowed_special="all")
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 

@@ -1,17 +1,19 @@
 r"""PII by format-preserving Feistel pseudonyms, in DataFrame functions only.
 
 Values are found by patterns, validated, and replaced by a keyed permutation of the valid values of their own format: equal values get equal
-pseudonyms in every document, different values different ones, and whoever holds the key can undo them. Separators, case classes and
-lengths stay as they are. What fails its validation stays.
+pseudonyms in every document, different values different ones, and whoever holds the key can undo them. Separators and
+lengths stay as they are. Emails and secrets alone are replaced by a keyed hash: equal ones stay equal, but their lengths and domains go, and nothing undoes it.
+What fails its validation stays.
 
-* iban: the digits of the account part are permuted; the check digits (mod 97) are made valid again
+* iban: the digits of the account part are permuted; the check digits (mod 97) are made valid again. A word of capitals behind it isn't a part of it
 * ipv4: the 32-bit address is permuted; octets are below 256
 * date (ISO, or day/month/year with one separator): the day number from 1900 to 2099 is permuted by a Feistel network over 271 x 271 cells,
   walking until the result is a day of the range
 * ssn: permuted among valid numbers (area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999)
 * phone: the national digits are permuted, whatever the separators, parentheses and country code they are written with; ten of them for
   country code 1, 15 at most with the code for others
-* card: 13 to 19 digits that pass Luhn: all digits but the last are permuted, the last is made valid again
+* card: 13 to 19 digits that pass Luhn: all digits but the last are permuted, the last is made valid again. Beside other numbers those in one piece, in fours, or as 4 + 6 + 4 or 5
+  digits are found. Cards in one run of digits count as one
 * email: the local part and the domain become letters from the keyed hash of the whole (lower-cased) address
 * secret: hexadecimal and base-64-like tokens after key words, and well-known key prefixes: each run becomes hexadecimal digits from
   its keyed hash
@@ -20,9 +22,9 @@ A Feistel round adds a keyed hash of one half of a value (a number) to the other
 kind, round, value). The key is a parameter: ``key``, else the session's ``spark.chronolith.pii.key``, else a key that is public and good for tests only.
 
 Kinds are looked for one after another in what no earlier kind has replaced, so no pseudonym is taken for a value again. Patterns
-repeat groups a bounded number of times only: long texts of any content neither recurse deeply nor backtrack far.
+repeat groups a bounded number of times, or without giving back: long texts of any content neither recurse deeply nor backtrack far.
 
-Null texts stay null, empty ones empty. Other columns pass through untouched, those named like a count (``n_<kind>``) are replaced.
+Null texts stay null, empty ones empty. Rows are judged one by one: repeated ones come out alike, an empty table gives an empty one. Other columns pass through untouched, those named like a count (``n_<kind>``) are replaced.
 """
 
 from __future__ import annotations
@@ -110,15 +112,41 @@ def _luhn_sum(digits: Column) -> Column:
     )
 
 
+#: How a card number is written that stands beside other numbers: in one piece, in fours, or as 4 + 6 + 4 or 5.
+CARD_SHAPE = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})[ -]?$"
+
+
 def _card(m: Column, key: str) -> Column:
-    def swap(d: Column) -> Column:
+    """A run of digit groups: from each group on the longest stretch that is a card number and is written like one; where there is none, all of the run, if that is one. The rest stays."""
+
+    def swapped(text: Column) -> Column:
+        def made(d: Column) -> Column:
+            body = F.substring(d, F.lit(1), F.length(d) - 1)
+            return let(permute_digits(body, key, "card"), lambda p: _digits_at(text, F.concat(p, ((10 - _luhn_sum(p) % 10) % 10).cast("string"))))
+
+        return let(_only_digits(text), made)
+
+    def valid(d: Column) -> Column:
         n = F.length(d)
-        body = F.substring(d, F.lit(1), n - 1)
-        valid = (n >= 13) & (n <= 19) & ((_luhn_sum(body) + F.substring(d, n, F.lit(1)).cast("int")) % 10 == 0)
-        made = let(permute_digits(body, key, "card"), lambda p: F.concat(p, ((10 - _luhn_sum(p) % 10) % 10).cast("string")))
-        return F.when(valid, _digits_at(m, made))
+        return F.when((n >= 13) & (n <= 19), (_luhn_sum(F.substring(d, F.lit(1), n - 1)) + F.substring(d, n, F.lit(1)).cast("int")) % 10 == 0)
 
-    return let(_only_digits(m), swap)
+    def swap(v: Column) -> Column:
+        last = F.size(v["groups"]) - 1 - F.length(v["glued"])  # a group with a letter at its end is no part of a number
+        text = lambda i, j: F.array_join(F.slice(v["groups"], i + 1, j - i + 1), "")
+
+        def step(s: Column, i: Column) -> Column:
+            number = lambda t: F.coalesce(let(_only_digits(t), valid), F.lit(False))
+            ends = F.filter(F.sequence(i, F.least(i + 18, last)), lambda j: let(text(i, j), lambda t: t.rlike(CARD_SHAPE) & number(t)))
+            all_of_it = F.when((i == 0) & (last < 19) & number(text(i, last)), last)
+            whole = let(F.coalesce(F.array_max(ends), all_of_it), lambda j: F.when(j.isNotNull(), F.struct(F.concat(s["out"], swapped(text(i, j))).alias("out"), (j + 1).alias("past"))))
+            return F.when(i < s["past"], s).otherwise(F.coalesce(F.when(i <= last, whole), F.struct(F.concat(s["out"], F.get(v["groups"], i)).alias("out"), s["past"].alias("past"))))
+
+        groups = F.sequence(F.lit(0), F.size(v["groups"]) - 1)
+        out = F.aggregate(groups, F.struct(F.lit("").alias("out"), F.lit(0).alias("past")), step, lambda s: F.when(s["past"] > 0, F.concat(s["out"], v["glued"])))
+        return out
+
+    glued = F.regexp_extract(m, "([^0-9]?)$", 1)
+    return let(F.struct(F.split(F.regexp_replace(m, "[^0-9]$", ""), "(?<=[ -])", -1).alias("groups"), glued.alias("glued")), swap)
 
 
 def _padded(number: Column, width: int) -> Column:
@@ -213,19 +241,34 @@ def _lettered(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
 
 
+#: How long the account numbers of each country are.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()
+
+
 def _iban(m: Column, key: str) -> Column:
-    def swap(t: Column) -> Column:
+    """The whole match if it is valid, else as much of it as its country's numbers are long: what follows may be a word of capitals."""
+
+    def swap(v: Column) -> Column:
+        t = v["t"]
         country, body = F.substring(t, 1, 2), F.substr(t, F.lit(5))
         valid = _mod97(_lettered(F.concat(body, F.substring(t, 1, 4)))) == 1
 
         def make(b: Column) -> Column:
             check = F.lpad((98 - _mod97(_lettered(F.concat(b, country, F.lit("00"))))).cast("string"), 2, "0")
-            return _digits_at(m, F.concat(check, _only_digits(b)))
+            return _digits_at(v["m"], F.concat(check, _only_digits(b)))
 
         made = let(_digits_at(body, permute_digits(_only_digits(body), key, "iban")), make)
         return F.when(valid & (F.length(_only_digits(body)) >= 8), made)
 
-    return let(F.regexp_replace(m, " ", ""), swap)
+    known = F.create_map(*[F.lit(x) for c in IBAN_LENGTHS for x in (c[:2], int(c[2:]))])
+    n = F.element_at(known, F.substring(m, 1, 2))
+    end = F.when(m.contains(" "), n + F.floor((n - 1) / 4).cast("int")).otherwise(n)  # groups of four
+    tried = lambda x: let(F.struct(x.alias("m"), F.regexp_replace(x, " ", "").alias("t")), swap)
+    shorter = F.when(F.substring(m, end + 1, F.lit(1)) == " ", F.concat(tried(F.substring(m, F.lit(1), end)), F.substr(m, end + 1)))
+    return F.coalesce(tried(m), shorter)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -247,18 +290,19 @@ def _secret(m: Column, key: str) -> Column:
 
 #: (kind, pattern, replacement), looked for in this order. Patterns don't match inside longer runs of digits or letters.
 KINDS: list[tuple[str, str, Callable[[Column, str], Column]]] = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,10}\.[A-Za-z]{2,}(?![\w@])", _email),
+    ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,126}\.[A-Za-z]{2,}(?![\w@])", _email),
     ("secret", r"""(?i)\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|password|passwd|bearer)\b["']?\s{0,3}(?:[:=]\s{0,3})?["']?[A-Za-z0-9+/_\-]{16,}={0,2}""", _secret),
     ("secret", r"\b(?:sk-[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9-]{16,}|AIza[\w-]{35}|AKIA[A-Z0-9]{16})", _secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ipv4", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)", _ipv4),
-    ("date", r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\w]|[/.-]\d)", _date),
+    ("date", r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?!(?!T\d{2}:?\d{2})\w|[/.-]\d)", _date),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)", _phone),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-])\d{2,4}(?:[ .-]\d{2,8}){1,4}(?!\w)", _phone),
     ("phone", r"(?<![\w.-])(?:1[.-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", _phone),
     ("phone", r"(?<![\w.])\+\d{8,15}(?!\w)", _phone),
-    ("card", r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])", _card),
+    ("card", r"(?<![\w.])\d(?:[ -]?+\d){12,}+\w?", _card),
+    ("phone", r"(?<![\w.-])(?<!\d )(?:1 )?[2-9]\d{2} [2-9]\d{2} \d{4}(?![\w-]| \d)", _phone),
 ]
 #: No value of any kind is in a text without one of these: words (in any case), marks, runs of digits or what begins an account number.
 HINT_WORDS = ("key", "secret", "token", "passw", "bearer")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from ..session import materialize, ranked, shared_dir
+from ..session import intermediate_dir, materialize, ranked
 
 SHARDS = 24
 #: Rounds end after so many in a row that moved nothing.
@@ -59,7 +59,7 @@ def propagate(cells: DataFrame, shards: int, room: int) -> DataFrame:
     leave the rounds.
     """
     spark = cells.sparkSession
-    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    path = f"{intermediate_dir(spark)}/cells-{uuid.uuid4().hex}"
     by_key = W.partitionBy("key")
     cells = cells.select("key", F.col("shard").cast("int").alias("shard"), F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("arrived"))
     settled, closed, full, fresh, idle, number = np.zeros(shards), [], set(), set(), 0, 0

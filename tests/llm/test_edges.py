@@ -191,6 +191,28 @@ def test_pseudonyms_equal_the_python_version(spark):
             assert int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1, (v, t)
 
 
+def test_values_beside_words_numbers_and_marks(spark):
+    """Whatever stands on either side of a value that doesn't join it, the value goes and its surroundings stay."""
+    r = random.Random(11)
+    cases = []
+    for kind, v in [x for x in made_values(r) if x[0] in ("card", "iban", "date", "phone", "ipv4")][:400]:
+        alone = kind not in ("card", "iban") or " " in v
+        before = r.choice(["", "see ", "No. 1 ", "(", "qty 12 ", "\n"] if kind == "card" and alone else ["", "see ", "(", "x: ", "\n"])
+        after = r.choice({"card": [" 12", " 7 items", ".", ")", ", 5", " x"] if alone else [".", " x"], "iban": [" BANK", " AND", " for", ".", " X"] if alone else [" BANK", "."], "date": ["T10:00:00Z", "T23:59", ".", " 5"]}.get(kind, [".", " x", ")", ", 5"]))
+        cases.append((kind, v, before, after))
+    df = spark.createDataFrame([(i, b + v + a) for i, (_, v, b, a) in enumerate(cases)], "id long, text string")
+    got = [x["text"] for x in pii.pseudonymized(df, key="k").orderBy("id").select("text").collect()]
+    assert got == [b + python_pseudonym(k, v) + a for k, v, b, a in cases]
+
+
+def test_leaks_of_an_earlier_round_and_what_is_no_value(spark):
+    gone = ["ES91 2100 0418 4502 0005 1332 BANK", "qty 1 4111 1111 1111 1111", "4111 1111 1111 1111 12", "2021-01-05T10:00:00Z", "415 555 1234", "5 4111-1111-1111-1111 7 x", "a@b." + "c." * 40 + "com"]
+    kept = ["1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18", "100 200 3000", "4111 1111 1111 1111x", "2021-01-05Text", "12 415 555 1234 5", "9" * 5000, "1 " * 5000, None, ""]
+    got = [x["text"] for x in pii.pseudonymized(spark.createDataFrame(list(enumerate(gone + kept)), "id long, text string")).orderBy("id").collect()]
+    assert all(g != t and re.sub(r"[^0-9]", "", g)[:12] != re.sub(r"[^0-9]", "", t)[:12] or "@" in t for g, t in zip(got, gone, strict=False)) and "b.c" not in got[len(gone) - 1]
+    assert got[len(gone) :] == kept
+
+
 def test_one_number_has_one_pseudonym(spark):
     forms = ["+1 415-555-1234", "415-555-1234", "(415) 555-1234", "+1 (415) 555-1234", "+14155551234", "1-415-555-1234", "415.555.1234"]
     out = pii.pseudonymized(spark.createDataFrame([(i, f"call {x}, please") for i, x in enumerate(forms)], "id long, text string")).collect()
@@ -414,3 +436,25 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     for _, g in packed.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 1024
+
+
+def test_special_tokens_in_a_text_are_as_the_tokenizer_has_them():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = packing.encoder(path), Tokenizer.from_file(path)
+    for text in ("<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y  z", "a\n\n <|endoftext|>\n", "<|endoftext", "\u00e9  1234's"):
+        assert list(own(text)) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_intermediate_tables_are_cleared(spark):
+    """What sharding writes in its rounds lies where clear_intermediate deletes."""
+    from chronolith.session import clear_intermediate, shared_dir
+
+    df = spark.createDataFrame([(i, f"text {i % 4}") for i in range(40)], "id long, key string")
+    assert sharding.sharded(df, 3).count() == 40
+    clear_intermediate(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    left = [x.getPath().getName() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    assert not [x for x in left if x.startswith(("cells-", "chronolith-"))]
