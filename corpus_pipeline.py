@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronolith.llm import jaccard_join, mixing, packing, pii, quality_rules
 from chronolith.llm.text import n_words
-from chronolith.session import materialize, shared_dir
+from chronolith.session import intermediate_dir, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Up to so many decisions (16 bytes each) reach the texts by broadcast; beyond it, texts are shuffled to them.
@@ -83,7 +83,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written to the shared folder and read again."""
-    path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = f"{intermediate_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
