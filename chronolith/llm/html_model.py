@@ -1,39 +1,58 @@
 """A bidirectional LSTM in numpy that labels each block of a page as main text or not, and the pages it learns from.
 
-A block is a vector: hashed tags, classes and ids of its path (nearer ones weigh more), hashed words, and a few measures (length, share
-of link text, punctuation, place). The network reads a page's blocks in both directions, so that each decision sees the whole page.
+A block is a vector: tags and words of classes, ids and roles of its path in hashed cells (nearer ones weigh more), hashed words, and a few measures (length, share
+of link text, punctuation, place, how close its neighbours stand in the tree). The network reads a page's blocks in both directions, so that each decision sees the whole page.
+
+Only tags and words that training pages hold (KNOWN) have cells: a name that nobody has seen (css-1x2y, col-md-8) says nothing, instead of what another name of its cell does.
 
 It is trained here, on pages made by `page`: layouts with menus, headers, notices, adverts, side bars, forms, comments and footers under many
-names around articles, in invented words, so that it learns structure and not vocabulary. Seeds are fixed: training always gives the same weights.
+names around articles, in invented words, so that it learns structure and not vocabulary. On a part of the pages names are generated ones or missing, and the article is found by
+what it looks like and by what stands around it. Seeds are fixed: training always gives the same weights.
 """
 
 from __future__ import annotations
 
 import functools
 import random
+import re
 import zlib
 
 import numpy as np
 
-from .html_blocks import Block, Place, blocks
+from .html_blocks import ATTRIBUTE, Block, Place, blocks
 from .shingles import word_hashes
 
-PATH, WORDS, MEASURES = 96, 16, 8
+PATH, WORDS, MEASURES = 128, 16, 13
 INPUT, HIDDEN = PATH + WORDS + MEASURES, 24
 LABEL_CACHE = 20_000
+#: A line of a page's owner: a sign more than a word.
+RIGHTS = re.compile(r"©|\(c\)|\bcopyright\b|\u2117", re.I)
+TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 DECAY = 0.9
 _labels: dict[str, np.ndarray] = {}
 
 
+def parts_of(mark: str) -> list[str]:
+    """A tag as it is; of key=value the words of the value, marked as words."""
+    key, _, value = mark.rpartition("=")
+    return [f"={x}" for x in re.split(r"[^a-z]+", value) if len(x) > 1] if key else [mark]
+
+
+@functools.cache
+def known_parts() -> frozenset[str]:
+    """What has cells: HTML's tags, and the words of the names that training pages use."""
+    openings = [*MAIN, *NAV, *HEADER, *FOOTER, *ADS, *NOTICE, *SIDE, *COMMENTS, *WRAP, *TITLE]
+    names = {f"={x}" for o in openings for a in ATTRIBUTE.findall(o) for v in a[1:] for x in re.split(r"[^a-z]+", v.lower()) if len(x) > 1}
+    return frozenset(names | TAGS | {"hidden", "aria-hidden"})
+
+
 def _label_vector(label: str) -> np.ndarray:
     known = _labels.get(label)
     if known is None:
         known = np.zeros(PATH, np.float32)
-        for mark in label.split():
-            key, _, value = mark.rpartition("=")
-            for part in {mark, *value.replace("_", "-").split("-")} if key else {mark}:
-                h = zlib.crc32(part.encode("utf-8", "surrogatepass"))
-                known[h % PATH] += 1 if h >> 20 & 1 else -1
+        for part in {x for mark in label.split() for x in parts_of(mark)} & known_parts():
+            h = zlib.crc32(part.encode("utf-8", "surrogatepass"))
+            known[h % PATH] += 1 if h >> 20 & 1 else -1
         if len(_labels) > LABEL_CACHE:
             _labels.clear()
         _labels[label] = known
@@ -55,6 +74,29 @@ def _path_vector(place: Place | None) -> np.ndarray:
     return known
 
 
+NEAR = 8
+
+
+def _above(place: Place | None) -> list[Place]:
+    """A place and those around it, NEAR at most."""
+    out = []
+    while place is not None and len(out) < NEAR:
+        out.append(place)
+        place = place.up
+    return out
+
+
+def steps_up(page: list[Block]) -> np.ndarray:
+    """For each block how far one must go up to an element that also holds the block before it, and the one after it: 1 for what stands side by side, 0 at NEAR or more."""
+    out = np.zeros((len(page), 2), np.float32)
+    above = [_above(b.place) for b in page]
+    for i in range(1, len(page)):
+        before, own = ({id(p): k for k, p in enumerate(above[j])} for j in (i - 1, i))
+        out[i, 0] = next((1 / max(k, 1) for k, p in enumerate(above[i]) if id(p) in before), 0)
+        out[i - 1, 1] = next((1 / max(k, 1) for k, p in enumerate(above[i - 1]) if id(p) in own), 0)
+    return out
+
+
 def vectors(page: list[Block]) -> np.ndarray:
     out = np.zeros((len(page), INPUT), np.float32)
     if not page:
@@ -63,13 +105,13 @@ def vectors(page: list[Block]) -> np.ndarray:
     np.add.at(out, (owner, PATH + (hashes % np.uint64(WORDS)).astype(np.int64)), np.where(hashes >> np.uint64(40) & np.uint64(1), 1, -1).astype(np.float32))
     n = np.bincount(owner, minlength=len(page)).astype(np.float32)
     out[:, PATH : PATH + WORDS] /= np.sqrt(n + 1)[:, None] * 4
-    last = max(len(page) - 1, 1)
+    last, up = max(len(page) - 1, 1), steps_up(page)
     for i, b in enumerate(page):
         out[i, :PATH] = _path_vector(b.place)
         size = len(b.text)
         out[i, PATH + WORDS :] = (
             np.log1p(size) / 6, b.linked / size, min(sum(map(b.text.count, ".!?,;")) / (n[i] + 1), 1.0), float(b.text[-1] in ".!?:\"'"),
-            i / last, np.log1p(n[i]) / 4, min(b.place.depth if b.place else 0, 12) / 12, 1.0,
+            i / last, np.log1p(n[i]) / 4, min(b.place.depth if b.place else 0, 12) / 12, 1.0, float(bool(RIGHTS.search(b.text[:200]))), *up[i], *(up[i] == 1),
         )
     return out
 
@@ -168,14 +210,18 @@ def padded(pages: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarra
 
 # --- pages to learn from -----------------------------------------------------------------------------------------
 
-MAIN = ["<article>", "<main>", '<main><article class="post">', '<div class="content">', '<div id="content">', '<div class="post-body">', '<div class="article-body">', '<div class="entry-content">', '<section class="story">', '<div role="main">', '<div id="main">', '<article itemprop="articleBody">', '<div class="main"><div class="text">', '<div class="page"><article>']
-NAV = ["<nav>", '<ul class="menu">', '<div class="navbar">', '<div id="nav">', '<nav class="breadcrumbs">', '<div class="breadcrumb">', '<div role="navigation">', '<div class="top-menu">', '<div class="pagination">']
-HEADER = ["<header>", '<div class="header">', '<div id="masthead">', '<div class="site-header">', '<div role="banner">', '<header class="top">']
-FOOTER = ["<footer>", '<div class="footer">', '<div id="footer">', '<div class="site-footer">', '<div role="contentinfo">', '<footer class="bottom">', '<div class="copyright">']
+MAIN = ["<article>", "<main>", '<main><article class="post">', '<div class="content">', '<div id="content">', '<div class="post-body">', '<div class="article-body">', '<div class="entry-content">', '<section class="story">', '<div role="main">', '<div id="main">', '<article itemprop="articleBody">', '<div class="main"><div class="text">', '<div class="page"><article>', '<div class="mw-body" role="main"><div class="mw-parser-output">', '<div id="mw-content-text">', '<div class="field-item">', '<div class="node-content"><div class="field-body">', '<div class="text">', '<div class="markdown-body">', '<div class="prose">', '<div class="story-body">', '<div class="article-text">', '<div class="blog-post hentry">', '<div id="article">', '<div class="document">', '<section class="single-content">', '<div id="bodyContent">', '<div class="entry">', '<div class="article__body">', '<div class="richtext">']
+NAV = ["<nav>", '<ul class="menu">', '<div class="navbar">', '<div id="nav">', '<nav class="breadcrumbs">', '<div class="breadcrumb">', '<div role="navigation">', '<div class="top-menu">', '<div class="pagination">', '<div id="p-navigation">', '<div class="toc">', '<div id="toc">', '<div class="mw-panel">', '<ul class="nav">', '<div class="links">', '<div class="navigation-menu">']
+HEADER = ["<header>", '<div class="header">', '<div id="masthead">', '<div class="site-header">', '<div role="banner">', '<header class="top">', '<div id="siteSub">', '<div class="page-header">', '<div class="logo">', '<div class="branding">']
+FOOTER = ["<footer>", '<div class="footer">', '<div id="footer">', '<div class="site-footer">', '<div role="contentinfo">', '<footer class="bottom">', '<div class="copyright">', '<div id="catlinks">', '<ul id="footer-info">', '<div class="legal">', '<div id="bottom">', '<div class="colophon">']
 ADS = ['<div class="ad">', '<div class="ads">', '<div class="advert">', '<div id="ad-1">', '<div class="sponsored">', '<aside class="promo">', '<div class="advertisement">', '<section class="ad">', '<div class="banner-ad">']
-NOTICE = ['<div class="cookie-banner">', '<div id="cookie-notice">', '<div class="notice">', '<div class="consent">', '<div class="alert">', '<div class="gdpr">', '<div class="popup">', '<div class="newsletter">', '<div role="alert">', '<div class="subscribe">']
-SIDE = ["<aside>", '<div class="sidebar">', '<div id="sidebar">', '<div class="widget">', '<div class="related">', '<aside class="related-posts">', '<div role="complementary">', '<div class="recommended">', '<section class="trending">', '<div class="share">', '<div class="social">', '<div class="tags">', '<div class="author-bio">']
-COMMENTS = ['<section class="comments">', '<div id="comments">', '<ol class="commentlist">', '<div class="comment-thread">', '<section id="discussion">', '<div class="reader-comments">', '<div class="replies">', '<div id="disqus_thread">', '<ul class="responses">']
+NOTICE = ['<div class="cookie-banner">', '<div id="cookie-notice">', '<div class="notice">', '<div class="consent">', '<div class="alert">', '<div class="gdpr">', '<div class="popup">', '<div class="newsletter">', '<div role="alert">', '<div class="subscribe">', '<div class="modal">', '<div class="overlay">', '<div id="siteNotice">', '<div class="message">', '<dialog>', '<div role="dialog">', '<div class="banner">']
+SIDE = ["<aside>", '<div class="sidebar">', '<div id="sidebar">', '<div class="widget">', '<div class="related">', '<aside class="related-posts">', '<div role="complementary">', '<div class="recommended">', '<section class="trending">', '<div class="share">', '<div class="social">', '<div class="tags">', '<div class="author-bio">', '<div class="navbox">', '<div class="infobox">', '<div class="see-also">', '<div class="most-read">', '<div class="right-column">', '<div class="meta">']
+COMMENTS = ['<section class="comments">', '<div id="comments">', '<ol class="commentlist">', '<div class="comment-thread">', '<section id="discussion">', '<div class="reader-comments">', '<div class="replies">', '<div id="disqus_thread">', '<ul class="responses">', '<div class="forum-replies">', '<div class="feedback">', '<div id="respond">', '<section class="user-comments">']
+WRAP = ["", "", '<div class="wrapper">', '<div id="page">', '<div class="container">', '<div id="root">', '<div class="row">', '<div class="top">', '<div class="site">', '<div class="body-wrapper">', '<div class="layout">']
+TITLE = ["<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>", '<h1 class="title">{}</h1>', "<header><h1>{}</h1></header>", '<h1 id="firstHeading" class="firstHeading">{}</h1>', '<h1 class="headline">{}</h1>', '<div class="title">{}</div>']
+#: Tags that say by themselves what is in them; names of others may be generated ones where the text shows it.
+TELLING = ("<nav", "<header", "<footer", "<aside", "<ul", "<dialog")
 
 
 def _close(opening: str) -> str:
@@ -186,11 +232,18 @@ def _close(opening: str) -> str:
 class _Writer:
     def __init__(self, r: random.Random):
         self.r = r
+        self.named = r.random() >= 0.3  # else names are generated ones or missing
         self.syllables = [r.choice("bcdfghklmnprstvz") + r.choice("aeiouäéöü") + r.choice(["", "n", "r", "st", "l"]) for _ in range(40)]
 
     def word(self) -> str:
         return "".join(self.r.choice(self.syllables) for _ in range(self.r.randint(1, 4)))
 
+    def dressed(self, opening: str) -> str:
+        """An opening with other names in it, or with none."""
+        code = lambda: "".join(self.r.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(self.r.randint(4, 8)))
+        made = self.r.choice(["", "", f' class="css-{code()}"', f' class="{code()} {code()}"', f' class="sc-{code()} {code()}"', f' class="col-md-{self.r.randint(1, 12)}"', f' id="{code()}"', f' data-{code()}="{code()}"'])
+        return re.sub(r"\s(?:class|id|role|itemprop)=\"[^\"]*\"", "", opening).replace(">", f"{made}>")
+
     def phrase(self, a: int, b: int) -> str:
         return " ".join(self.word() for _ in range(self.r.randint(a, b)))
 
@@ -236,14 +289,17 @@ def page(r: random.Random) -> tuple[str, list[bool]]:
         truth.extend([main] * len(blocks(html)))
         parts.append(html)
 
-    def around(opening: str, inner: str) -> None:
+    def around(opening: str, inner: str, shown: bool = False) -> None:
+        """Noise; shown: its text shows it, so that the names don't have to."""
+        if not w.named and (shown or opening.startswith(TELLING)):
+            opening = w.dressed(opening)
         add(f"{opening}{inner}{_close(opening)}", False)
 
     def form() -> str:
         return f"<form><label>{w.phrase(1, 3)}</label><input><button>{w.word()}</button><p>{w.sentence()}</p></form>"
 
     noise = {
-        "nav": lambda: around(r.choice(NAV), w.links(2, 9)),
+        "nav": lambda: around(r.choice(NAV), w.links(2, 9), True),
         "header": lambda: around(r.choice(HEADER), r.choice([f"<h1>{w.phrase(1, 4)}</h1>", f"<p>{w.phrase(2, 6)}</p>", f"<a href='/'>{w.word()}</a>"]) + (w.links(2, 5) if r.random() < 0.5 else "")),
         "ad": lambda: around(r.choice(ADS), r.choice([w.prose(1, 3), f"<p>{w.prose(1, 3)}</p>", w.phrase(2, 9), w.links(1, 2)])),
         "notice": lambda: around(r.choice(NOTICE), f"<p>{w.prose(1, 3)}</p>" + (f"<button>{w.word()}</button>" if r.random() < 0.6 else "") + (form() if r.random() < 0.2 else "")),
@@ -276,17 +332,18 @@ def page(r: random.Random) -> tuple[str, list[bool]]:
                 noise[r.choice(["ad", "side", "notice", "form"])]()
 
     parts.append("<!DOCTYPE html><html><head><title>x</title></head><body>")
-    wrap = r.choice(["", "", '<div class="wrapper">', '<div id="page">', '<div class="container">'])
+    wrap = r.choice(WRAP)
     parts.append(wrap)
     before = [k for k, chance in (("notice", 0.3), ("header", 0.6), ("nav", 0.75), ("ad", 0.45), ("side", 0.2), ("form", 0.1)) if r.random() < chance]
     if r.random() < 0.3:
         r.shuffle(before)
     for k in before:
         noise[k]()
-    main = "<div>" * (r.randint(1, 24) if r.random() < 0.15 else 0) + r.choice(MAIN) + "<div>" * (r.randint(1, 24) if r.random() < 0.15 else 0)  # some deep pages
+    opening = r.choice(MAIN) if w.named or r.random() < 0.2 else w.dressed(r.choice(["<div>", "<div>", "<section>", "<div><div>", "<table><tr><td>"]))
+    main = "<div>" * (r.randint(1, 24) if r.random() < 0.15 else 0) + opening + "<div>" * (r.randint(1, 24) if r.random() < 0.15 else 0)  # some deep pages
     parts.append(main)
     if r.random() < 0.85:
-        add(r.choice(["<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>", '<h1 class="title">{}</h1>', "<header><h1>{}</h1></header>"]).format(r.choice([w.phrase(2, 10), w.sentence(), w.phrase(1, 2)])), True)
+        add(r.choice(TITLE).format(r.choice([w.phrase(2, 10), w.sentence(), w.phrase(1, 2)])), True)
     body()
     if r.random() < 0.12:
         comments()
@@ -299,7 +356,12 @@ def page(r: random.Random) -> tuple[str, list[bool]]:
     if r.random() < 0.2:
         noise["nav"]()
     if r.random() < 0.8:
-        around(r.choice(FOOTER), r.choice([f"&copy; {w.phrase(1, 4)}", f"<p>{w.prose(1, 2)}</p>", f"&copy; {w.word()}.example &middot; {w.prose(1, 2)}", w.links(2, 6)]))
+        rights = f"{r.choice(['&copy;', 'Copyright', '(c)'])} {r.randint(1995, 2025)} {w.phrase(1, 4)}. {w.sentence()}"
+        bare = r.random() < 0.2  # no more than a line at the end
+        if bare:
+            add(r.choice(["<p>{}</p>", "<center>{}</center>", "<hr>{}", "<div>{}</div>"]).format(rights), False)
+        else:
+            around(r.choice(FOOTER), r.choice([rights, f"&copy; {w.phrase(1, 4)}", f"<p>{w.prose(1, 2)}</p>", f"&copy; {w.word()}.example &middot; {w.prose(1, 2)}", w.links(2, 6)]))
     parts.append(_close(wrap) if wrap else "")
     parts.append("</body></html>")
     html = "".join(parts)
