@@ -1,15 +1,16 @@
-"""String functions as Column expressions; only Unicode normalisation and the Unicode tokenizer leave the JVM."""
+"""String functions as Column expressions; only Unicode normalisation leaves the JVM."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 # Marks that editors put on titles of changed documents, in the order they are removed.
 TITLE_MARKS_ANYWHERE = ["•", "●", "◆"]
@@ -168,12 +169,38 @@ def token_list(text: str, question: bool = False) -> list[str]:
     return list(out)
 
 
-@pandas_udf(ArrayType(StringType()))
-def tokens(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None else token_list(t))
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda variable is bound."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _parts(run: Column, least: Column) -> Column:
+    """A CJK run and its parts of `least` to LONGEST_GRAM characters, as arrays."""
+    of = lambda n: F.transform(F.sequence(F.lit(0), F.length(run) - n), lambda i: F.substr(run, i + 1, n))
+    sizes = F.sequence(least, F.least(F.lit(LONGEST_GRAM), F.length(run)))
+    return F.concat(F.array(run), F.when(F.length(run) >= least, F.flatten(F.transform(sizes, of))).otherwise(F.array().cast("array<string>")))
+
+
+def parted(text: Column) -> Column:
+    """A text in lower case, camel case parted."""
+    return F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
+
+
+def tokens(text: Column) -> Column:
+    """`token_list` of a text that is no question, as array expressions; none for null. Letters are counted without their marks."""
+    cjk = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+
+    def of_word(word: Column) -> Column:
+        runs = F.regexp_extract_all(word, F.lit(f"[{cjk}]+"), F.lit(0))
+        segments = F.filter(F.regexp_extract_all(word, F.lit("[a-z0-9_]+"), F.lit(0)), lambda x: F.length(x) >= SHORTEST)
+        grams = F.flatten(F.transform(runs, lambda r: _parts(r, F.when(r.rlike(r"\p{IsHan}"), 1).otherwise(2))))
+        plain = F.when(F.length(F.regexp_replace(word, r"\p{M}", "")) >= SHORTEST, F.array(word)).otherwise(F.array().cast("array<string>"))
+        return F.when(word.rlike(f"[{cjk}]"), F.concat(F.array(word), segments, grams)).otherwise(plain)
+
+    words = F.regexp_extract_all(parted(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    return F.coalesce(_once(F.array_distinct(words), lambda w: F.array_distinct(F.flatten(F.transform(w, of_word)))), F.array().cast("array<string>"))
 
 
 def ascii_tokens(text: Column) -> Column:
-    """The ASCII part of `tokens` in the JVM."""
-    parted = F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
-    return F.array_distinct(F.filter(F.regexp_extract_all(parted, F.lit("[a-z0-9_]+"), F.lit(0)), lambda t: F.length(t) >= 3))
+    """The ASCII part of `tokens`."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(parted(text), F.lit("[a-z0-9_]+"), F.lit(0)), lambda t: F.length(t) >= 3))

@@ -60,7 +60,7 @@ def nested(value) -> dict | None:
 def parsed(text: str | None) -> dict | None:
     try:
         return nested(json.loads(text)) if text and text.strip() else None
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than the parser goes
         return None
 
 
@@ -164,10 +164,14 @@ def pruned(value, secure: frozenset[str]):
         return value
     if is_secure(value):
         return None
-    out = dict(value)
-    if isinstance(out.get("children"), list):
-        out["children"] = [p for c in out["children"] if isinstance(c, dict) and (p := pruned(c, secure)) is not None]
-    return out
+    root = dict(value)
+    pending = [root]
+    while pending:  # nodes are copied before what is below them: no depth is too much
+        node = pending.pop()
+        if isinstance(node.get("children"), list):
+            node["children"] = [dict(c) for c in node["children"] if isinstance(c, dict) and not is_secure(c)]
+            pending += node["children"]
+    return root
 
 
 def prune_json(tree: Column, secure_roles: list[str]) -> Column:
@@ -178,9 +182,9 @@ def prune_json(tree: Column, secure_roles: list[str]) -> Column:
         def one(text):
             try:
                 value = pruned(json.loads(text), secure) if text else None
-            except ValueError:
-                return None
-            return None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+                return None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+            except (ValueError, RecursionError):
+                return None  # what can't be read is not shown
 
         return trees.map(one)
 

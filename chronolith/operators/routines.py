@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import ascii_tokens, lines, redact_secrets, token_list, tokens, truncated
+from ..functions.text import ascii_tokens, lines, parted, redact_secrets, token_list, tokens, truncated
 from ..functions.values import ratio
 from ..session import ranked
 
@@ -39,10 +41,14 @@ def file_lines(files: DataFrame) -> DataFrame:
 
 
 def evidence_lines(file_rows: DataFrame, question: str, limit: int = 5, ascii_only: bool = False) -> DataFrame:
-    """The lines that share most distinct tokens with a question, by score then place."""
+    """The lines that share most distinct tokens with a question, by score then place. Only lines that hold a token's letters at all are cut into tokens."""
     asked = token_list(question, question=True)
+    if not asked:
+        return file_rows.withColumn("score", F.lit(0)).limit(0)
     own = ascii_tokens(F.col("line")) if ascii_only else tokens(F.col("line"))
-    scored = file_rows.withColumn("score", F.size(F.array_intersect(own, F.array(*[F.lit(t) for t in asked]).cast("array<string>"))))
+    score = F.size(F.array_intersect(own, F.array(*[F.lit(t) for t in asked])))
+    met = reduce(lambda a, b: a | b, [F.col("_parted").contains(t) for t in asked])
+    scored = file_rows.withColumn("_parted", parted(F.col("line"))).withColumn("score", F.when(met, score).otherwise(0)).drop("_parted")
     return scored.filter("score > 0").orderBy(F.desc("score"), "key", "line_number").limit(limit)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..functions import code as cd, narratives as nv, text as tx, values as vl
-from ..operators import diagnostics as dg, find as fi, ingest as ig, intervals as iv, lifecycle as lc, pool as po, privacy as pr, routines as rt, search as se, sessions as ss, summaries as su
+from ..operators import deletion as de, diagnostics as dg, find as fi, ingest as ig, intervals as iv, lifecycle as lc, pool as po, privacy as pr, routines as rt, search as se, sessions as ss, summaries as su
 from ..functions import trees as tr
 from ..operators.linedelta import line_delta
 from ..session import intermediate_dir
@@ -778,6 +778,23 @@ def token_overlap_topn(spark, d):
     return found.select("key", F.col("line_number").cast("long").alias("line_number"), "score")
 
 
+#: Whole texts with a line of other scripts in front, as many kinds as there are ids.
+SCRIPTS = ["用户界面設計2024", "テスト ひらがな abc漢字XyZ", "한국어 문장이다 foo한bar", "Ünï cafe\u0301 né ab", "camelCaseWord snake_case x1"]
+_TOKEN_SQL = """lower(regexp_replace(['{}'][doc_id % 5 + 1] || ' ' || coalesce(text, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'))""".format("', '".join(SCRIPTS))
+_CJK_SQL = "[\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}]"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all({_TOKEN_SQL}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'))) AS w FROM documents), r AS (SELECT doc_id, w, regexp_extract_all(w, '{_CJK_SQL}+') AS runs FROM w),
+t AS (SELECT doc_id, w AS t FROM r WHERE len(runs) > 0 OR length(regexp_replace(w, '\\p{{M}}', '', 'g')) >= 3 UNION SELECT doc_id, unnest(list_filter(regexp_extract_all(w, '[a-z0-9_]+'), lambda x: length(x) >= 3)) FROM r WHERE len(runs) > 0
+  UNION SELECT doc_id, unnest(runs) FROM r UNION SELECT doc_id, substring(run, i, n) FROM (SELECT doc_id, unnest(runs) AS run FROM r), unnest(range(1, 5)) AS a(n), unnest(range(1, length(run) - n + 2)) AS b(i) WHERE n >= CASE WHEN regexp_matches(run, '\\p{{Han}}') THEN 1 ELSE 2 END)
+SELECT doc_id, count(*) AS n, sha256(string_agg(t, ' ' ORDER BY t)) AS tokens FROM t GROUP BY 1""")
+def tokens_of_scripts(spark, d):
+    docs = table(spark, d, "documents")
+    line = F.concat(F.array(*[F.lit(x) for x in SCRIPTS])[(F.col("doc_id") % 5).cast("int")], F.lit(" "), F.coalesce("text", F.lit("")))
+    own = docs.select("doc_id", tx.tokens(line).alias("t"))
+    return own.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join(F.sort_array("t"), " ").cast("binary"), 256).alias("tokens"))
+
+
 @query(f"WITH {LINES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line_number) AS r FROM l WHERE trim(line) <> '') SELECT key, string_agg(trim(line), chr(10) ORDER BY line_number) AS highlights FROM n WHERE r <= 3 GROUP BY 1")
 def file_highlights(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
@@ -827,6 +844,16 @@ def _kinds(spark, d) -> DataFrame:
     return files.select("module", "language", "directory", "path", "k.*")
 
 
+# files of a comment or a template that is never closed, with line ends of both kinds, or without an end
+@query("""SELECT doc_id AS path, doc_id % 4 + 2 + doc_id % 5 + 1 AS total, CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 ELSE doc_id % 4 + 2 + CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 ELSE 0 END END AS code, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 + 3 ELSE 0 END AS comment,
+  CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS blank FROM documents""")
+def source_kinds_unclosed(spark, d):
+    even = F.expr("repeat('x = 1;\r\n', doc_id % 4) || '/* a\n\n' || repeat('b\r\n', doc_id % 5) || 'c' || if(doc_id % 3 = 0, '\n', '')")
+    odd = F.expr("repeat('x = 1;\n', doc_id % 4) || '`a\n\n' || repeat('b\n', doc_id % 5) || 'c' || if(doc_id % 3 = 0, '\n', '')")
+    k = cd.line_kinds(F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd), F.lit(".ts"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("path"), k.alias("k")).select("path", "k.total", "k.code", "k.comment", "k.blank")
+
+
 @query(f"""WITH {KINDS_SQL} SELECT source AS module, lang AS language, dir AS directory, CAST(GROUPING(source) * 4 + GROUPING(lang) * 2 + GROUPING(dir) AS BIGINT) AS grouping, count(*) AS files,
   CAST(sum(total) AS BIGINT) AS total, CAST(sum(code) AS BIGINT) AS code, CAST(sum(comment) AS BIGINT) AS comment, CAST(sum(blank) AS BIGINT) AS blank FROM k GROUP BY GROUPING SETS ((source), (lang), (dir), ())""")
 def source_line_kinds(spark, d):
@@ -1182,6 +1209,68 @@ def ranges_by_text(spark, d):
     return iv.outside_by_text(activity(spark, d).withColumn("timestamp", text), ranges).select("frame_id")
 
 
+# --- deletion as a whole -------------------------------------------------------------------------------------------------
+
+
+def _derived(spark, d):
+    """What deletes what is derived from frames: sessions of users, contents of events, vectors."""
+    named = vectors(spark, d).select("vec_id", "id", F.lit(None).cast("long").alias("meta_frame_id"), F.lit("").alias("capture_id"))
+    return lambda ids: de.derived_deleted(sessions(spark, d), activity(spark, d), named, ids)
+
+
+def _no_tombstones(spark) -> DataFrame:
+    return spark.createDataFrame([], de.TOMBSTONE)
+
+
+def _counted(spark, left) -> DataFrame:
+    return rows(spark, [(name, left.counts[name], t.count()) for name, t in left.tables.items()], "name string, deleted long, remaining long")
+
+
+# lines of orders stand in for elements
+@query(f"""WITH {NUMBERED_SQL}, x AS (SELECT event_id AS f FROM events WHERE date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-10 10:00:00' AND TIMESTAMP '2024-01-12 10:00:00'), t AS (
+  SELECT 'frames' AS name, event_id IN (SELECT f FROM x) AS gone FROM events UNION ALL SELECT 'elements', l_orderkey IN (SELECT f FROM x) FROM lineitem UNION ALL SELECT 'content', event_id IN (SELECT f FROM x) FROM events
+  UNION ALL SELECT 'vectors', vec_id IN (SELECT f FROM x) FROM embeddings JOIN events ON vec_id = event_id UNION ALL SELECT 'sessions', bool_or(frame_id IN (SELECT f FROM x)) FROM owned GROUP BY session_id)
+SELECT name, count(*) FILTER (gone) AS deleted, count(*) FILTER (NOT gone) AS remaining FROM t GROUP BY 1""")
+def delete_range_whole(spark, d):
+    a = activity(spark, d)
+    ids = lc.frames_in_range(a, "2024-01-10 10:00:00", "2024-01-12 10:00:00")
+    left, _, failed = de.cascaded(a, _elements(spark, d), ids, _derived(spark, d), "2024-02-01", _no_tombstones(spark))
+    return _counted(spark, left) if failed is None else _counted(spark, left).limit(0)
+
+
+# the cascade fails once: its range is hidden, then tried again
+@query("""WITH x AS (SELECT event_id, ts FROM events WHERE date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-10 10:00:00' AND TIMESTAMP '2024-01-12 10:00:00')
+SELECT 'hidden' AS name, count(*) FILTER (NOT ts BETWEEN (SELECT min(ts) FROM x) AND (SELECT max(ts) FROM x)) AS n FROM events UNION ALL SELECT 'failed ids', count(*) FROM x UNION ALL SELECT 'resolved', 1 UNION ALL SELECT 'unresolved', 0
+UNION ALL SELECT 'content', (SELECT count(*) FROM events) - count(*) FROM x""")
+def delete_range_retried(spark, d):
+    a, tries, after = activity(spark, d), [], {}
+
+    def derived(ids: DataFrame):
+        tries.append(1)
+        if len(tries) == 1:
+            raise OSError("derived tables are locked")
+        after["left"] = _derived(spark, d)(ids)
+        return after["left"]
+
+    ids = lc.frames_in_range(a, "2024-01-10 10:00:00", "2024-01-12 10:00:00")
+    _, noted, _ = de.cascaded(a, _elements(spark, d), ids, derived, "2024-02-01", _no_tombstones(spark))
+    hidden = se.without_suppressed_points(a, pr.unresolved(noted)).count()
+    done, resolved = de.reconciled(noted, derived, "2024-02-02")
+    ids_of = noted.agg(F.sum(F.size("failed_frame_ids"))).first()[0]
+    return rows(spark, [("hidden", hidden), ("failed ids", ids_of), ("resolved", resolved), ("unresolved", pr.unresolved(done).count()), ("content", after["left"].tables["content"].count())], "name string, n long")
+
+
+@query(SQL["retention_cut"].replace("SELECT event_id AS frame_id FROM s JOIN b", f"""SELECT * FROM (WITH {NUMBERED_SQL}, x AS (SELECT event_id AS f FROM s JOIN b""").replace("AND ts < TIMESTAMP '2024-01-20'", """AND ts < TIMESTAMP '2024-01-20'), t AS (
+  SELECT 'frames' AS name, event_id IN (SELECT f FROM x) AS gone FROM events UNION ALL SELECT 'elements', l_orderkey IN (SELECT f FROM x) FROM lineitem UNION ALL SELECT 'content', event_id IN (SELECT f FROM x) FROM events
+  UNION ALL SELECT 'vectors', vec_id IN (SELECT f FROM x) FROM embeddings JOIN events ON vec_id = event_id UNION ALL SELECT 'sessions', bool_or(frame_id IN (SELECT f FROM x)) FROM owned GROUP BY session_id)
+SELECT name, count(*) FILTER (gone) AS deleted, count(*) FILTER (NOT gone) AS remaining FROM t GROUP BY 1)"""))
+def retention_whole(spark, d):
+    sized = activity(spark, d).withColumn("bytes", F.floor(F.col("value") * 100))
+    budget = sized.agg(F.floor(F.sum("bytes") / 2).alias("b")).first()["b"]
+    left, _, _ = de.retained(sized, _elements(spark, d), budget, "2024-01-20 00:00:00", _derived(spark, d), "2024-02-01", _no_tombstones(spark))
+    return _counted(spark, left)
+
+
 # --- calls of providers --------------------------------------------------------------------------------------------------
 
 

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as s
 from pyspark.sql import functions as F
 
-from chronolith.functions import text as tx, trees as tr, values as vl
+from chronolith.functions import code as cd, text as tx, trees as tr, values as vl
 from chronolith.sources import readers
 
 
@@ -129,3 +130,33 @@ def test_line_kinds_of_source_files():
     for text, want in cases.items():
         assert kinds(text, ".ts") == want, text
     assert kinds("#!/bin/sh\n# c\n\nls # d\n", ".sh") == (4, 2, 1, 1)
+
+
+TEXTS = ["", None, "fooBar ab", "日本語", "用户界面設計2024 fooBar", "テスト ひらがな abc漢字XyZ", "한국어 foo한bar é x", "café né", "a b c", "snake_case_1 1234 12", "日", "한", "ｱｲｳ", "𠀀𠀁x", "ÀÉ Straße ǅabc", "क़ख़"]
+
+
+def test_tokens_in_the_jvm_equal_the_plain_version(spark):
+    rng = random.Random(2)
+    texts = TEXTS + ["".join(rng.choice("abAB_1 日本かなカ한국é́-") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.tokens(F.col("t")).alias("own"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        want = tx.token_list(texts[r["i"]] or "")
+        assert sorted(r["own"]) == sorted(want), (texts[r["i"]], r["own"], want)
+
+
+def test_line_kinds_of_comments_that_are_not_closed():
+    assert cd.kinds("a\nconst r = /[/*]/;\nb\nc\n", ".ts") == (4, 2, 2, 0)
+    assert cd.kinds("/* a\n", ".ts") == (1, 0, 1, 0) and cd.kinds("/* a\n\n", ".ts") == (2, 0, 2, 0) and cd.kinds("`a\n", ".ts") == (1, 1, 0, 0)
+    assert cd.kinds("", ".ts") == (0, 0, 0, 0) and cd.kinds("\n", ".ts") == (1, 0, 0, 1) and cd.kinds("x\r\n\r\n// y", ".ts") == (3, 1, 1, 1)
+
+
+def test_trees_of_any_depth_end_no_task(spark):
+    def chain(depth, leaf):
+        return '{"role":"AXGroup","children":[' * depth + leaf + "]}" * depth
+
+    texts = [chain(2_000, '{"role":"AXSecureTextField","value":"pw"},{"role":"AXStaticText","value":"kept"}'), chain(200_000, '{"role":"AXSecureTextField","value":"pw"}'), "[" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", tr.prune_json(F.col("t"), ["AXSecureTextField"]).alias("p"), tr.tree_text(F.col("t"), F.lit(None).cast("string")).alias("x")).orderBy("i").collect()
+    assert "pw" not in (got[0]["p"] or "") and "kept" in (got[0]["p"] or "kept")
+    assert got[1]["p"] is None and got[2]["p"] is None and "kept" in got[0]["x"] and got[1]["x"] == got[2]["x"] == ""
