@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import frame_of_capture
 from ..functions.values import iso
-from ..session import materialize, sliced
+from ..session import intermediate_dir, materialize, sliced
 
 
 def sessions_without_frames(sessions: DataFrame, ids: DataFrame, frame: str = "frame_id") -> DataFrame:
@@ -102,15 +105,16 @@ def secure_subtrees(nodes: DataFrame, secure_roles: list[str]) -> DataFrame:
     shape = shape.filter("secure").select("frame_id", "linked", "placed")
     tree = materialize(tree.join(shape, "frame_id"), "secure-trees")
 
-    frontier = materialize(tree.filter("secure AND (linked OR placed)").select("frame_id", "id").distinct(), "blocked")
-    blocked = frontier
+    spark, path = nodes.sparkSession, f"{intermediate_dir(nodes.sparkSession)}/blocked-{uuid.uuid4().hex}"
+    found = tree.filter("secure AND (linked OR placed)").select("frame_id", "id").distinct()
     children = tree.filter("linked AND parent_id IS NOT NULL").select("frame_id", "id", "parent_id")
-    while True:
-        below = children.join(frontier.withColumnRenamed("id", "parent_id"), ["frame_id", "parent_id"], "left_semi").select("frame_id", "id").distinct()
-        frontier = materialize(below.join(blocked, ["frame_id", "id"], "left_anti"), "blocked")
+    for level in itertools.count():
+        found.write.parquet(f"{path}/level={level}")  # each level is written once
+        frontier, blocked = (spark.read.schema(found.schema).parquet(x) for x in (f"{path}/level={level}", path))
         if frontier.isEmpty():
             break
-        blocked = materialize(blocked.unionByName(frontier), "blocked-so-far")
+        below = children.join(frontier.withColumnRenamed("id", "parent_id"), ["frame_id", "parent_id"], "left_semi").select("frame_id", "id").distinct()
+        found = below.join(blocked, ["frame_id", "id"], "left_anti")
 
     # paths: a node goes if any of the paths above its own belongs to a secure node
     paths = tree.filter("placed AND NOT linked AND path IS NOT NULL")

@@ -37,18 +37,19 @@ def line_delta(frames: DataFrame, context: str = "context_key", idle: int = IDLE
 
     An epoch of a context ends after a pause of over `idle` seconds. A line counts as seen from the frame after its
     first one on, so repeats inside one frame survive. Frames without lines keep the epoch alive. The hash is null if nothing is left.
-    Texts are not ordered: epochs come from times and ids. First occurrences come from a partial minimum, so a line on every frame is
-    pre-aggregated before its shuffle.
+    Texts are not ordered: epochs come from times and ids. Lines travel as two 64-bit hashes, and texts meet only the places of the lines that are
+    kept. First occurrences come from a partial minimum, so a line on every frame is pre-aggregated before its shuffle.
     """
     placed = materialize(epochs(frames, context, idle), "placed")
-    split = frames.select("frame_id", F.posexplode(F.transform(lines(F.col("extracted_text")), lambda x: F.trim(x))).alias("at", "line")).filter("line <> ''")
-    each = split.join(placed, "frame_id")
-    first = each.groupBy(context, "epoch", "line").agg(F.min("seq").alias("first"))
-    kept = each.join(first, [context, "epoch", "line"]).filter("seq = first")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
-    texts = kept.groupBy("frame_id").agg(F.count("*").alias("kept_lines"), joined.alias("delta_text"))
-    out = placed.join(texts, "frame_id", "left")
+    trimmed = F.transform(lines(F.col("extracted_text")), lambda x: F.trim(x))
+    split = frames.select("frame_id", F.posexplode(trimmed).alias("at", "line")).filter("line <> ''")
+    hashed = split.select("frame_id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    each = materialize(hashed.join(placed, "frame_id"), "lines")
+    first = each.groupBy(context, "epoch", "h1", "h2").agg(F.min("seq").alias("first"))
+    kept = each.join(first, [context, "epoch", "h1", "h2"]).filter("seq = first").groupBy("frame_id").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    told = F.transform(F.array(trimmed), lambda own: F.array_join(F.transform("places", lambda i: F.get(own, i)), "\n"))[0]  # own is bound once
+    out = placed.join(kept, "frame_id", "left").join(frames.select("frame_id", "extracted_text"), "frame_id").withColumn("delta_text", told)
     return out.select(
-        "frame_id", context, F.col("epoch").cast("long").alias("epoch"), F.coalesce("kept_lines", F.lit(0)).alias("kept_lines"),
+        "frame_id", context, F.col("epoch").cast("long").alias("epoch"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("kept_lines"),
         F.coalesce("delta_text", F.lit("")).alias("delta_text"), text_hash(F.col("delta_text")).alias("delta_hash"),
     )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import ascii_tokens, lines, parted, redact_secrets, token_list, tokens, truncated
 from ..functions.values import ratio
-from ..session import ranked
+from ..session import sliced
 
 
 def latest_runs(definitions: DataFrame, runs: DataFrame) -> DataFrame:
@@ -119,9 +120,17 @@ def session_iou(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def p95_by_index(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """The value at place floor(0.95 n) - 1 of each key's sorted values, and 0 at least. Keys aren't null. Ranks are taken over slices, so no task holds a key."""
-    kept = rows.select(key, value).filter(F.col(value).isNotNull())
+    """The value at place floor(0.95 n) - 1 of each key's sorted values, and 0 at least. Keys aren't null.
+
+    Rows are counted by value before anything is ordered, so that a value that most rows have is one row; running counts of values go over slices.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
+    placed = sliced(counted, [F.col(key), F.col(value)], "p95")
+    runs = placed.groupBy("_part", key).agg(F.sum("_c").alias("_in"))
+    before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.select("_part", key, F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_past"))
+    own = W.partitionBy("_part", key).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
     n = rows.groupBy(key).agg(F.count(value).alias("_m"), F.count("*").alias("n"))
-    placed = ranked(kept, key, [F.col(value)], "p95").join(n, key)
+    ends = placed.join(runs, ["_part", key]).withColumn("_end", F.col("_past") + F.sum("_c").over(own)).join(n, key)
     at = F.greatest(F.floor(F.col("_m") * 0.95) - 1, F.lit(0))
-    return placed.filter(F.col("rank") == at).select(key, F.col(value).alias(order), "n")
+    return ends.filter((F.col("_end") - F.col("_c") <= at) & (at < F.col("_end"))).select(key, F.col(value).alias(order), "n")

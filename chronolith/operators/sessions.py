@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -16,16 +18,25 @@ def sessionized(frames: DataFrame, keys: list[str], idle: int = IDLE_SECONDS, ts
     """frames with session_no (from 0 within its key), session_id and gap_seconds to the frame before (null for a first frame).
 
     A frame extends its session if it comes at most `idle` seconds after the last; event time decides, as frames are ordered by it.
-    One shuffle by key. Windows of one key are sorted and streamed, not held.
+    Rows are shuffled and ordered by key and day, so that a key with a large share of all rows spreads over its days; what crosses midnight is
+    settled on a table of a row a key and day.
     """
-    by_key = W.partitionBy(*keys).orderBy(ts, frame)
-    gap = seconds_between(F.col(ts), F.lag(ts).over(by_key))
-    opened = frames.withColumn("gap_seconds", gap).withColumn("_new", F.when(F.col("gap_seconds") <= idle, 0).otherwise(1))
-    running = by_key.rowsBetween(W.unboundedPreceding, W.currentRow)
-    numbered = opened.withColumn("session_no", (F.sum("_new").over(running) - 1).cast("long")).drop("_new")
-    numbered = numbered.withColumn("gap_seconds", F.when(F.col("gap_seconds") <= idle, F.col("gap_seconds")))
+    running = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    by_day = W.partitionBy(*keys, "_day").orderBy(ts, frame)
+    gap = seconds_between(F.col(ts), F.lag(ts).over(by_day))
+    rows = frames.withColumn("_day", F.date_trunc("day", ts)).withColumns({"_gap": gap, "_at": F.row_number().over(by_day)})
+    rows = rows.withColumn("_new", F.when(F.col("_gap") <= idle, 0).otherwise(1)).withColumn("_opened", F.sum("_new").over(running(by_day)))
+
+    days = rows.groupBy(*keys, "_day").agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"), (F.sum("_new") - 1).alias("_inside"))
+    by_key = W.partitionBy(*keys).orderBy("_day")
+    days = days.withColumn("_night", seconds_between(F.col("_from"), F.lag("_to").over(by_key))).withColumn("_first", F.when(F.col("_night") <= idle, 0).otherwise(1))
+    days = days.withColumn("_past", F.sum(F.col("_inside") + F.col("_first")).over(running(by_key)) - F.col("_inside"))  # sessions up to the day's first frame
+    side = days.select(*[F.col(k).alias(f"_{k}_") for k in keys], F.col("_day").alias("_day_"), "_night", "_past")
+    met = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"{x}_" if x == "_day" else f"_{x}_")) for x in [*keys, "_day"]])
+    own = F.when(F.col("_at") == 1, F.col("_night")).otherwise(F.col("_gap"))
+    numbered = rows.join(side, met).withColumn("gap_seconds", F.when(own <= idle, own)).withColumn("session_no", (F.col("_past") + F.col("_opened") - 2).cast("long"))
     name = F.concat_ws("#", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.col("session_no").cast("string"))
-    return numbered.withColumn("session_id", name)
+    return numbered.select(*frames.columns, "gap_seconds", "session_no", name.alias("session_id"))
 
 
 def sessions_of(numbered: DataFrame, keys: list[str], ts: str = "frame_timestamp", frame: str = "frame_id", first: tuple[str, ...] = ()) -> DataFrame:

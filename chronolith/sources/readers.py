@@ -64,16 +64,49 @@ def memory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+#: What is read of a log at once, and at most.
+LOG_CHUNK, LOG_MOST = 64 << 10, 10 << 20
+
+
+def tail_lines(spark: SparkSession, path: str, wanted: int, chunk: int = LOG_CHUNK, most: int = LOG_MOST) -> tuple[list[str], int]:
+    """(the last `wanted` lines that aren't blank, in order; bytes read) of a log file, or of a folder of them in order of their names.
+
+    Files are read from their ends, a chunk at a time, until there are enough lines or `most` bytes are read. A line that begins before these bytes is left out.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return [], 0
+    found: list[bytes] = []
+    read = 0
+    for file in sorted((x for x in system.listStatus(at) if x.isFile()), key=lambda x: x.getPath().getName(), reverse=True):
+        stream, place, held = system.open(file.getPath()), file.getLen(), b""
+        try:
+            while place > 0 and read < most and len(found) + sum(bool(x.strip()) for x in held.split(b"\n")[1:]) < wanted:
+                size = min(chunk, place, most - read)
+                place, read = place - size, read + size
+                stream.seek(place)
+                held = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size)) + held
+        finally:
+            stream.close()
+        whole = held.split(b"\n")[0 if place == 0 else 1 :]
+        found = [x for x in whole if x.strip()] + found
+        if len(found) >= wanted or read >= most:
+            break
+    return [x.decode("utf-8", "replace").rstrip("\r") for x in found[-wanted:]], read
+
+
 def log_tail(spark: SparkSession, path: str, limit: int = 200, level: str | None = None) -> DataFrame:
     """The last lines of a log, newest first; JSON lines are parsed, others are kept raw and have no level. Levels are compared in any case.
 
-    A line's place is its file, the block of the file it was read in, and its number there: how blocks are dealt to tasks doesn't matter.
+    Of the log only its end is read (`tail_lines`): so many lines, or, to find those of one level, LOG_MOST bytes. At most 1,000 lines come.
     """
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = spark.read.text(path).select("value", place.alias("at")).filter(F.trim("value") != "")
-    rows = lines.select("at", F.get_json_object("value", "$.level").alias("level"), F.get_json_object("value", "$.message").alias("message"), F.col("value").alias("raw"))
+    most = min(max(limit, 1), 1000)
+    lines, _ = tail_lines(spark, path, most if level is None else LOG_MOST)
+    rows = spark.createDataFrame(list(enumerate(lines)), "at long, raw string")
+    rows = rows.select("at", F.get_json_object("raw", "$.level").alias("level"), F.get_json_object("raw", "$.message").alias("message"), "raw")
     rows = rows if level is None else rows.filter(F.lower("level") == level.lower())
-    return rows.orderBy(F.desc("at")).limit(min(max(limit, 1), 1000)).drop("at")
+    return rows.orderBy(F.desc("at")).limit(most).drop("at")
 
 
 def folder_bytes(spark: SparkSession, path: str) -> DataFrame:

@@ -160,3 +160,17 @@ def test_trees_of_any_depth_end_no_task(spark):
     got = df.select("i", tr.prune_json(F.col("t"), ["AXSecureTextField"]).alias("p"), tr.tree_text(F.col("t"), F.lit(None).cast("string")).alias("x")).orderBy("i").collect()
     assert "pw" not in (got[0]["p"] or "") and "kept" in (got[0]["p"] or "kept")
     assert got[1]["p"] is None and got[2]["p"] is None and "kept" in got[0]["x"] and got[1]["x"] == got[2]["x"] == ""
+
+
+def test_a_log_is_read_from_its_end(spark, tmp_path):
+    line = lambda i: json.dumps({"level": "error" if i % 100 == 0 else "info", "message": f"né {i}", "pad": "x" * 60})
+    (tmp_path / "a.log").write_text("\n".join(line(i) for i in range(30_000)) + "\n\n")
+    got, read = readers.tail_lines(spark, str(tmp_path / "a.log"), 50, chunk=4096)
+    assert got == [line(i) for i in range(29_950, 30_000)] and read <= 3 * 4096
+    assert [r["message"] for r in readers.log_tail(spark, str(tmp_path / "a.log"), 3).collect()] == ["né 29999", "né 29998", "né 29997"]
+    errors = readers.log_tail(spark, str(tmp_path / "a.log"), 2, level="ERROR").collect()
+    assert [r["message"] for r in errors] == ["né 29900", "né 29800"]
+    (tmp_path / "b.log").write_text("plain\r\n  \nlast")  # the newer file, without an end of its last line
+    assert readers.tail_lines(spark, str(tmp_path), 3)[0] == [line(29_999), "plain", "last"]
+    assert readers.tail_lines(spark, str(tmp_path / "a.log"), 10**6, most=10_000)[1] == 10_000
+    assert readers.tail_lines(spark, str(tmp_path / "none.log"), 5) == ([], 0) and readers.log_tail(spark, str(tmp_path / "none.log")).count() == 0

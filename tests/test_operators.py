@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -211,3 +212,18 @@ def test_vector_and_checkpoint_files(spark, tmp_path):
         rd.vectors_file(spark, str(path)).collect()
     (tmp_path / "c.json").write_text('{\n "timestamp": "2024-01-01T00:00:00Z",\n "cursor": "a"\n}')
     assert rd.checkpoint_file(spark, str(tmp_path / "c.json")).first()["cursor"] == "a"
+
+
+def test_sessions_across_days_keys_without_a_name_and_times_that_are_missing(spark):
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1, 22)
+    rows = [(i, rng.choice(["a", None, "b"]), start + dt.timedelta(seconds=rng.randrange(5 * 86_400)) if rng.random() < 0.95 else None) for i in range(400)]
+    got = {r["frame_id"]: (r["session_no"], r["gap_seconds"]) for r in ss.sessionized(spark.createDataFrame(rows, "frame_id int, k string, frame_timestamp timestamp"), ["k"], 3600).collect()}
+    want = {}
+    for key in ("a", None, "b"):
+        last, n = None, -1
+        for i, _, t in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is not None, r[2] or start, r[0])):
+            gap = (t - last).total_seconds() if t and last else None
+            n, gap = (n, gap) if gap is not None and gap <= 3600 else (n + 1, None)
+            want[i], last = (n, gap), t
+    assert got == want
