@@ -110,7 +110,7 @@ def secure_subtrees(nodes: DataFrame, secure_roles: list[str]) -> DataFrame:
     children = tree.filter("linked AND parent_id IS NOT NULL").select("frame_id", "id", "parent_id")
     for level in itertools.count():
         found.write.parquet(f"{path}/level={level}")  # each level is written once
-        frontier, blocked = (spark.read.schema(found.schema).parquet(x) for x in (f"{path}/level={level}", path))
+        frontier, blocked = (spark.read.schema(found.schema).parquet(x).select("frame_id", "id") for x in (f"{path}/level={level}", path))
         if frontier.isEmpty():
             break
         below = children.join(frontier.withColumnRenamed("id", "parent_id"), ["frame_id", "parent_id"], "left_semi").select("frame_id", "id").distinct()
