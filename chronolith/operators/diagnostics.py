@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import preview
-from ..functions.values import ratio, slice_start
+from ..functions.values import ratio, seconds_between, slice_start
 
 WINDOW_MINUTES, MIN_TEXT, GROUPS, SAMPLE, OCR_SAMPLE = 60, 24, 5, 1000, 5000
 
@@ -188,6 +188,33 @@ def disk_budget(size: Column, budget: Column) -> Column:
     return F.struct(F.greatest(budget - size, F.lit(0)).alias("headroom"), (size >= budget * 0.9).alias("warning"))
 
 
+def recovery_status(readable: Column, persisted: Column, records: Column, checkpoint: Column, backlog: Column) -> Column:
+    """What a vector store and its checkpoint (a time, null for none; backlog: one is under way) need: degraded where the store can't be read, needs-rebuild, or ready. An empty store that was never written is fine beside a checkpoint."""
+    fresh = checkpoint.isNotNull() & ~persisted & F.coalesce(records == 0, F.lit(False))
+    return F.when(~readable, "degraded").when(checkpoint.isNull() | backlog | (~persisted & ~fresh), "needs-rebuild").otherwise("ready")
+
+
+def internal_status(frames: DataFrame, sessions: DataFrame, vectors: DataFrame | None, facts: DataFrame, budget: int, grace: int = 60, liveness: int = 120) -> DataFrame:
+    """One row on everything: capture, sources, disk, retrieval, extraction, sessions and summaries.
+
+    frames (frame_timestamp, extracted_text, bytes), sessions (is_open, summary_status), vectors (source_types), None where they can't be read, and facts, one row (now, running, process_age,
+    persisted, checkpoint, backlog). A part whose table can't be read has nulls; the others are told all the same.
+    """
+    told = frames.agg(F.max("frame_timestamp").alias("last_frame"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"))
+    mix = frames.sparkSession.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in (("records", "long"), ("accessibility", "long"), ("ocr", "long"), ("accessibility_ratio", "double"))])
+    if vectors is not None:
+        mix = ingestion_mix(vectors).crossJoin(vectors.agg(F.count("*").alias("records")))
+    row = facts.crossJoin(told).crossJoin(mix).crossJoin(roll_up(frames, sessions))  # a row each
+    age = seconds_between(F.col("now"), F.col("last_frame"))
+    disk = disk_budget(F.col("size"), F.lit(budget))
+    return row.select(
+        capture_state(F.col("last_frame").isNotNull(), F.col("running"), F.col("process_age"), age, grace, liveness).alias("capture"),
+        "accessibility", "ocr", "accessibility_ratio", disk["headroom"].cast("long").alias("headroom"), disk["warning"].alias("disk_warning"), F.col("checkpoint").isNotNull().alias("checkpoint_exists"),
+        recovery_status(F.lit(vectors is not None), F.col("persisted"), F.col("records"), F.col("checkpoint"), F.col("backlog")).alias("recovery"),
+        "total", "empty", "empty_ratio", "sessions", "open", "ready", "pending", "failed",
+    )
+
+
 def maintenance_counts(frames: DataFrame, elements: DataFrame) -> DataFrame:
     """How many frames have trees, elements or references that lead nowhere."""
     dangling = dangling_references(frames, elements).agg(F.count("*").alias("dangling"))

@@ -748,6 +748,20 @@ def status_roll_up(spark, d):
     return dg.roll_up(table(spark, d, "documents").withColumnRenamed("text", "extracted_text"), s).select("total", "empty", "sessions", "open", "failed")
 
 
+@query(f"""WITH {FRAMES_SQL}, {NUMBERED_SQL}, s AS (SELECT NOT (ended_at < TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 14400 SECOND) AS is_open, CASE frames % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'pending' WHEN 2 THEN 'failed' ELSE 'degraded' END AS st FROM sessions),
+t AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN ['accessibility', 'ocr'] WHEN event_type = 'error' THEN ['ocr'] ELSE [] END AS s FROM events), m AS (SELECT count(*) FILTER (list_contains(s, 'accessibility')) AS a, count(*) FILTER (NOT list_contains(s, 'accessibility') AND list_contains(s, 'ocr')) AS o FROM t),
+f AS (SELECT count(*) AS total, count(*) FILTER (coalesce(extracted_text, '') = '') AS empty, max(frame_timestamp) AS last, CAST(coalesce(sum(strlen(extracted_text)), 0) AS BIGINT) AS bytes FROM frames)
+SELECT CASE WHEN epoch(TIMESTAMP '2024-02-01') - epoch(last) > 120 THEN 'idle' ELSE 'ok' END AS capture, a AS accessibility, o AS ocr, round(coalesce(a::DOUBLE / nullif(a + o, 0), 0), 6) AS accessibility_ratio, greatest(5000000 - bytes, 0) AS headroom, bytes >= 4500000 AS disk_warning, true AS checkpoint_exists, 'needs-rebuild' AS recovery,
+  total, empty, round(empty::DOUBLE / total, 6) AS empty_ratio, (SELECT count(*) FROM s) AS sessions, (SELECT count(*) FILTER (is_open) FROM s) AS open, (SELECT count(*) FILTER (st = 'ready') FROM s) AS ready, (SELECT count(*) FILTER (st = 'pending') FROM s) AS pending, (SELECT count(*) FILTER (st IN ('failed', 'degraded')) FROM s) AS failed FROM m, f""")
+def internal_status(spark, d):
+    s = ss.idle_flushed(sessions(spark, d), F.lit("2024-01-30 20:00:00").cast("timestamp"), IDLE)
+    s = s.withColumn("summary_status", F.expr("CASE frames % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'pending' WHEN 2 THEN 'failed' ELSE 'degraded' END"))
+    sources = F.when(F.col("app_name").isin("click", "view"), F.array(F.lit("accessibility"), F.lit("ocr"))).when(F.col("app_name") == "error", F.array(F.lit("ocr"))).otherwise(F.array().cast("array<string>"))
+    facts = rows(spark, [("2024-02-01 00:00:00", True, 100, True, "2024-01-30 00:00:00", True)], "now string, running boolean, process_age int, persisted boolean, checkpoint string, backlog boolean").withColumn("now", F.col("now").cast("timestamp"))
+    sized = frames(spark, d).withColumn("bytes", F.octet_length("extracted_text"))
+    return dg.internal_status(sized, s, activity(spark, d).withColumn("source_types", sources), facts, 5_000_000)
+
+
 @query("""SELECT doc_id, '{"doc_id":' || doc_id || CASE WHEN doc_id % 3 > 0 THEN ',"lang":"' || lang || '"' ELSE '' END || '}' AS shown FROM documents""")
 def elided_fields(spark, d):
     return table(spark, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang"))).select("doc_id", dg.elided(["doc_id", "lang"]).alias("shown"))

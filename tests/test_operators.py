@@ -227,3 +227,15 @@ def test_sessions_across_days_keys_without_a_name_and_times_that_are_missing(spa
             n, gap = (n, gap) if gap is not None and gap <= 3600 else (n + 1, None)
             want[i], last = (n, gap), t
     assert got == want
+
+
+def test_status_is_told_where_vectors_cannot_be_read(spark):
+    frames_ = frames(spark, [(1, 0, "a", "x"), (2, 60, "a", "")]).withColumn("bytes", F.lit(10))
+    sessions = spark.createDataFrame([(True, "ready"), (False, "failed")], "is_open boolean, summary_status string")
+    facts = spark.createDataFrame([(at(90), True, 5, False, "2024-01-01", False)], "now timestamp, running boolean, process_age int, persisted boolean, checkpoint string, backlog boolean")
+    got = dg.internal_status(frames_, sessions, None, facts, 100).first()
+    assert (got["capture"], got["recovery"], got["accessibility"], got["headroom"], got["empty"], got["open"], got["failed"]) == ("ok", "degraded", None, 80, 1, 1, 1)
+    vectors = spark.createDataFrame([], "source_types array<string>")
+    assert dg.internal_status(frames_, sessions, vectors, facts, 100).first()["recovery"] == "ready"
+    assert dg.internal_status(frames_, sessions, vectors, facts.withColumn("checkpoint", F.lit(None).cast("string")), 20).select("recovery", "disk_warning", "checkpoint_exists").first() == ("needs-rebuild", True, False)
+    assert dg.internal_status(frames_.limit(0), sessions.limit(0), vectors, facts, 20).select("capture", "total").first() == ("unknown", 0)
