@@ -361,7 +361,7 @@ def test_every_query_takes_empty_tables(spark, tmp_path):
     table(spark, path, [], SCHEMA)
     table(spark, path, [], "doc_id long, quality int, toxic int", "labels")
     table(spark, path, [], "page_id long, url string, html string", "pages")
-    table(spark, path, [], "vec_id long, embedding array<float>", "embeddings")
+    table(spark, path, [], "vec_id long, embedding array<float>, label int", "embeddings")
     import corpus_pipeline
 
     for name, query in (registry.QUERIES | {"pipeline": corpus_pipeline.run}).items():
