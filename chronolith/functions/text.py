@@ -7,11 +7,14 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import StringType
 
+from .arrow import each
+
 # Marks that editors put on titles of changed documents, in the order they are removed.
 TITLE_MARKS_ANYWHERE = ["•", "●", "◆"]
 TITLE_MARKS = [r"^\s*\*+", r"\*+\s*$", r"(?i)\(\s*modified\s*\)\s*$", r"(?i)\[\s*unsaved\s*\]\s*$", r"^\s*●\s*", r"(?i)\s*—\s*Edited$"]
@@ -27,10 +30,14 @@ SECRETS = [
 ]
 
 
-@pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode normal form C, which Spark has no function for."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+@arrow_udf(StringType())
+def _nfc(text: pa.Array) -> pa.Array:
+    return each(lambda t: None if t is None else unicodedata.normalize("NFC", t), pa.string(), text)
+
+
+def nfc(text: Column) -> Column:
+    """Unicode normal form C, which Spark has no function for. Only texts beyond ASCII, which have others, go to Python."""
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def keyword_form(text: Column, ascii_only: bool = False) -> Column:
