@@ -9,12 +9,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from .arrow import each
+
 # What accessibility roles stand for.
 WINDOW_ROLES = frozenset("AXWindow AXMainWindow AXDocument AXApplication AXStandardWindow".split())
 DOMAIN_ROLES = {
@@ -127,10 +129,15 @@ def structured(root: dict, window_title: str | None = None) -> dict[str, list[st
     return out
 
 
-@pandas_udf(StructType([StructField(k, ArrayType(StringType())) for k in ("window", "nav", "action", "body")]))
-def tree_domains(tree: pd.Series, title: pd.Series) -> pd.DataFrame:
-    out = [structured(t, w) if (t := parsed(j)) else dict.fromkeys(("window", "nav", "action", "body"), []) for j, w in zip(tree, title, strict=True)]
-    return pd.DataFrame(out, columns=["window", "nav", "action", "body"])
+DOMAINS = ("window", "nav", "action", "body")
+
+
+@arrow_udf(StructType([StructField(k, ArrayType(StringType())) for k in DOMAINS]))
+def tree_domains(tree: pa.Array, title: pa.Array) -> pa.Array:
+    def one(text, window):
+        return structured(t, window) if (t := parsed(text)) else dict.fromkeys(DOMAINS, [])
+
+    return each(one, pa.struct([(k, pa.list_(pa.string())) for k in DOMAINS]), tree, title)
 
 
 def tree_text(tree: Column, title: Column) -> Column:
@@ -177,16 +184,16 @@ def pruned(value, secure: frozenset[str]):
 def prune_json(tree: Column, secure_roles: list[str]) -> Column:
     secure = frozenset(r.lower() for r in secure_roles)
 
-    @pandas_udf(StringType())
-    def run(trees: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                value = pruned(json.loads(text), secure) if text else None
-                return None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-            except (ValueError, RecursionError):
-                return None  # what can't be read is not shown
+    def one(text):
+        try:
+            value = pruned(json.loads(text), secure) if text else None
+            return None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None  # what can't be read is not shown
 
-        return trees.map(one)
+    @arrow_udf(StringType())
+    def run(trees: pa.Array) -> pa.Array:
+        return each(one, pa.string(), trees)
 
     return run(tree)
 
@@ -204,9 +211,9 @@ def holds_secure(tree: Column, secure_roles: list[str]) -> Column:
             pending += children(node)
         return False
 
-    @pandas_udf(BooleanType())
-    def run(trees: pd.Series) -> pd.Series:
-        return trees.map(lambda t: any_secure(parsed(t)))
+    @arrow_udf(BooleanType())
+    def run(trees: pa.Array) -> pa.Array:
+        return each(lambda t: any_secure(parsed(t)), pa.bool_(), trees)
 
     return run(tree)
 
