@@ -15,7 +15,8 @@ class HeldFrames(StatefulProcessor):
     """Per key: whether it is blocked, the frames held, and how many have been let through.
 
     A control row blocks (true), unblocks (false), or can't be read (null): then the key counts as blocked. A held frame is given up once it is
-    older than `hold_us`: by a timer on event time, or when the key is unblocked too late.
+    older than `hold_us`: by a timer on event time, or when the key is unblocked too late. A key has one timer, for the oldest frame that it holds: it
+    gives up all that are too old, and is set again for the next one.
     """
 
     def __init__(self, hold_us: int):
@@ -36,7 +37,6 @@ class HeldFrames(StatefulProcessor):
                 blocked = says is None or says != says or bool(says)
             elif blocked:
                 held.append((frame, us))
-                self.handle.registerTimer((us + self.hold_us) // 1000 + 1)
             else:
                 out.append((frame, us, "passed", us, passed))
                 passed += 1
@@ -50,7 +50,7 @@ class HeldFrames(StatefulProcessor):
         yield self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         held = [tuple(x) for x in self.held.get()]
         given_up = [(frame, us, "dropped", None, None) for frame, us in held if us + self.hold_us < now]
         self._keep([x for x in held if x[1] + self.hold_us >= now], *self.state.get())
@@ -61,6 +61,7 @@ class HeldFrames(StatefulProcessor):
         self.held.clear()
         if held:
             self.held.put([(int(frame), int(us)) for frame, us in held])
+            self.handle.registerTimer((min(int(us) for _, us in held) + self.hold_us) // 1000 + 1)
 
     @staticmethod
     def _rows(key, rows: list) -> pd.DataFrame:
