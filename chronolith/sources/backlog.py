@@ -79,15 +79,27 @@ class BacklogSource(DataSource):
         return BacklogReader(self.options)
 
 
-def stream_pages(spark: SparkSession, backlog: Backlog, pages: int) -> DataFrame:
-    """The rows of a backlog as a stream, `pages` pages a micro-batch. Only page numbers go through the driver; the rows of these pages alone are read, by their folders.
+def _there(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
-    A page that has other than the rows it must hold makes no progress: the query fails.
+
+def stream_pages(spark: SparkSession, backlog: Backlog, pages: int, at: int | None = None) -> DataFrame:
+    """The rows of a backlog as a stream, `pages` pages a micro-batch. Only page numbers go through the driver.
+
+    A page that has other than the rows it must hold makes no progress: the query fails. Spark doesn't prune folders by a stream's rows, so a micro-batch looks
+    into all pages, unless `at` says how much of the backlog is taken: then the stream brings one micro-batch, and only its folders are read.
     """
     spark.dataSource.register(BacklogSource)
     options = {"from": backlog.start, "to": backlog.end, "rows": backlog.rows, "size": backlog.size, "pages": pages}
     numbers = spark.readStream.format("backlog").options(**{k: str(v) for k, v in options.items()}).load()
-    stored = spark.read.option("basePath", backlog.path).parquet(backlog.path).withColumn("page", F.col("page").cast("long"))
+    folders = [backlog.path]
+    if at is not None:
+        first = -(-at // backlog.size)
+        folders = [f"{backlog.path}/page={page}" for page in range(first, min(first + pages, -(-backlog.rows // backlog.size)))]
+        if not all(_there(spark, folder) for folder in folders):
+            raise RuntimeError(f"no progress beyond backlog offset {at}")
+    stored = spark.read.option("basePath", backlog.path).parquet(*folders).withColumn("page", F.col("page").cast("long"))
     names = [c for c in stored.columns if c != "page"]
     held = stored.groupBy("page").agg(F.count("*").alias("_held"))  # from the files' footers
     checked = numbers.filter("page >= 0").join(F.broadcast(held), "page", "left")
@@ -109,7 +121,7 @@ def replayed(spark: SparkSession, backlog: Backlog, pages: int, run: Callable[[D
     """
     at, runs = -1, 0
     while at < backlog.rows:
-        query = run(stream_pages(spark, backlog, pages))
+        query = run(stream_pages(spark, backlog, pages, at if runs else None))
         query.awaitTermination()
         runs += 1
         reached = offset_of(query)
