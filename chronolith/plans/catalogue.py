@@ -39,6 +39,10 @@ def r6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
+def _texts(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("frame_id"), F.col("text").alias("extracted_text"))
+
+
 def numbered(spark, d) -> DataFrame:
     return ss.sessionized(activity(spark, d), USER, IDLE)
 
@@ -319,7 +323,7 @@ f AS (SELECT *, min(seq) OVER (PARTITION BY lang, epoch, line) AS first FROM l),
 k AS (SELECT frame_id, count(*) AS kept_lines, string_agg(line, chr(10) ORDER BY pos) AS t FROM f WHERE seq = first GROUP BY 1)
 SELECT p.frame_id, p.lang, CAST(p.epoch AS BIGINT) AS epoch, coalesce(k.kept_lines, 0) AS kept_lines, coalesce(k.t, '') AS delta_text, sha256(k.t) AS delta_hash FROM p LEFT JOIN k USING (frame_id)""")
 def line_delta_batch(spark, d):
-    return line_delta(frames(spark, d), "lang", IDLE)
+    return line_delta(frames(spark, d), "lang", IDLE, _texts(spark, d))
 
 
 #: A title of each document with an editor's marks, in the SQL of both engines.
