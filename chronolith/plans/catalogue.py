@@ -1126,7 +1126,7 @@ def stream_sessions_equals_batch(spark, d):
 
 @query(SQL["line_delta_batch"].replace("p.frame_id, p.lang, CAST(p.epoch AS BIGINT) AS epoch, ", "p.frame_id, p.lang AS context, CAST(p.epoch AS BIGINT) AS epoch, ").replace(", sha256(k.t) AS delta_hash", ""))
 def stream_line_delta_equals_batch(spark, d):
-    out = st.run_available(st.stream_line_delta(_stream_frames(spark, d), "lang", IDLE), _folder(spark))
+    out = st.stream_line_delta(_stream_frames(spark, d), _folder(spark), "lang", IDLE)
     return out.select("frame_id", "context", "epoch", "kept_lines", "delta_text")
 
 
@@ -1174,7 +1174,7 @@ def stream_hydrated_delta(spark, d):
     open_ = ss.idle_flushed(ss.sessions_of(ss.sessionized(before, ["lang"], IDLE), ["lang"]), F.lit(CUT).cast("timestamp"), IDLE).filter("is_open")
     known = ig.hydrated(before, open_, CUT, "lang")
     later = _stream_frames(spark, d).filter(F.col("frame_timestamp") > F.lit(CUT).cast("timestamp"))
-    out = st.run_available(st.stream_line_delta(later, "lang", IDLE, known), _folder(spark))
+    out = st.stream_line_delta(later, _folder(spark), "lang", IDLE, known)
     return out.select("frame_id", "context", "kept_lines", "delta_text")
 
 
@@ -1183,7 +1183,7 @@ def backlog_replay(spark, d):
     """All history, in pages of 300 rows, four to a run."""
     path = _folder(spark)
     pages = bl.paged(frames(spark, d), f"{path}/pages", 300)
-    bl.replayed(spark, pages, 4, lambda stream: st.started(st.stream_line_delta(stream, "lang", IDLE), path))
+    bl.replayed(spark, pages, 4, lambda stream: st.started_line_delta(stream, path, "lang", IDLE))
     return spark.read.schema(st.DELTA).parquet(f"{path}/out").select("frame_id", "context", "epoch", "kept_lines", "delta_text")
 
 

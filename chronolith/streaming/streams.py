@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import MapState, ValueState
+from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import lines, text_hash
+from ..operators.linedelta import KEY, epochs, first_lines, told
+from ..session import few, materialize
 
 
 def stream_sessions(frames: DataFrame, keys: list[str], idle: int, watermark: str | None = None) -> DataFrame:
@@ -20,88 +19,92 @@ def stream_sessions(frames: DataFrame, keys: list[str], idle: int, watermark: st
     return out.select(*keys, F.col("session_window.start").alias("started_at"), "ended_at", "frames")
 
 
-class Shown:
-    """What one context has shown since its epoch began, over what its state knows. It becomes state on `save` only."""
-
-    def __init__(self, last: ValueState, seen: MapState, idle_us: int):
-        self.state, self.seen, self.idle_us = last, seen, idle_us
-        self.last, self.epoch = last.get() if last.exists() else (None, 0)
-        self.fresh: set[str] = set()
-        self.cleared = False
-
-    def add(self, us: int, texts: list[str], hashes: list[str]) -> list[str]:
-        """The lines of a frame that its epoch hasn't shown before. A pause or a step back in time begins a new epoch."""
-        if self.last is None or us < self.last or us - self.last > self.idle_us:
-            self.epoch, self.cleared = self.epoch + 1, True
-            self.fresh.clear()
-        known = {h: h in self.fresh or not self.cleared and self.seen.containsKey((h,)) for h in set(hashes)}
-        self.fresh |= {h for h, was in known.items() if not was}
-        self.last = us
-        return [text for text, h in zip(texts, hashes, strict=True) if not known[h]]
-
-    def save(self) -> None:
-        if self.last is None:
-            return
-        if self.cleared:
-            self.seen.clear()
-        for h in self.fresh:
-            self.seen.updateValue((h,), (self.epoch,))
-        self.state.update((int(self.last), int(self.epoch)))
-        self.fresh, self.cleared = set(), False
-
-
-LAST, HASH, EPOCH = "us long, epoch long", "hash string", "epoch long"
+SEEN, LAST = "context string, epoch long, h1 long, h2 long", "context string, last timestamp, epoch long"
+FRAME = "frame_id long, context string, frame_timestamp timestamp, extracted_text string"
 DELTA = "frame_id long, context string, epoch long, kept_lines long, delta_text string"
 
 
-class LineDelta(StatefulProcessor):
-    """Per context: when it was last seen, and the hashes of the lines of its epoch."""
+class LineState:
+    """What contexts have shown since their epochs began, as tables below a folder: when each was last seen and in which epoch, and the hashes of the lines of that epoch.
 
-    def __init__(self, idle_us: int):
-        self.idle_us = idle_us
+    Each step (a micro-batch) writes tables of its own number and reads those of earlier ones, so a step that is replayed replaces itself. A line's hash is written once, and
+    again with every `every`th step, which leaves ended epochs out: a step reads so many tables at most. Nothing is keyed by context alone, as one may hold most of the frames.
+    """
+
+    def __init__(self, path: str, idle: int, every: int = 32):
+        self.path, self.idle, self.every = path, idle, every
+
+    def _at(self, name: str, step: int) -> str:
+        return f"{self.path}/{name}/batch={step}"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last, self.seen = handle.getValueState("last", LAST), handle.getMapState("seen", HASH, EPOCH)
+    def last(self, spark: SparkSession, step: int) -> DataFrame:
+        """(context, last, epoch) after a step; nothing before the first one."""
+        return spark.read.schema(LAST).parquet(self._at("last", step)) if step >= 0 else spark.createDataFrame([], LAST)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """The context goes on from frames (ts_us, hashes) of its open epoch, given in any order and number of parts."""
-        last, epoch = self.last.get() if self.last.exists() else (0, 1)
-        for hashes in initialState["hashes"]:
-            for h in hashes:
-                self.seen.updateValue((h,), (epoch,))
-        self.last.update((max(int(last), int(initialState["ts_us"].max())), int(epoch)))
+    def seen(self, spark: SparkSession, step: int) -> DataFrame:
+        """(context, epoch, h1, h2) after a step."""
+        whole = step - step % self.every
+        return spark.read.schema(SEEN).parquet(*[self._at("seen", n) for n in range(whole, step + 1)]) if step >= 0 else spark.createDataFrame([], SEEN)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "frame_id"])  # one context of one micro-batch, which the source's rate limit bounds
-        shown, out = Shown(self.last, self.seen, self.idle_us), []
-        for frame, us, texts, hashes in zip(batch["frame_id"], batch["ts_us"], batch["lines"], batch["hashes"], strict=True):
-            kept = shown.add(us, texts, hashes)
-            out.append((frame, key[0], shown.epoch, len(kept), "\n".join(kept)))
-        shown.save()
-        yield pd.DataFrame(out, columns=["frame_id", "context", "epoch", "kept_lines", "delta_text"])
+    def placed(self, frames: DataFrame, step: int) -> DataFrame:
+        """(frame_id, context, epoch, seq) of frames that come after a step."""
+        return materialize(epochs(frames, "context", self.idle, self.last(frames.sparkSession, step)), "placed")
 
-    def close(self) -> None:
-        pass
+    def fresh(self, placed: DataFrame, texts: DataFrame, step: int) -> DataFrame:
+        """(context, epoch, h1, h2, frame_id, at) of the lines of placed frames that weren't seen up to a step."""
+        first = materialize(first_lines(placed, texts, "context"), "first")
+        seen, key = self.seen(placed.sparkSession, step), ["context", *KEY]
+        if few(first, 100_000):  # what was seen stays where it is
+            seen = seen.join(F.broadcast(first.select(*key)), key, "left_semi")
+            return first.join(F.broadcast(seen), key, "left_anti")
+        return first.join(seen, key, "left_anti")
 
+    def save(self, step: int, frames: DataFrame, placed: DataFrame, fresh: DataFrame) -> None:
+        """Make placed frames and their fresh lines state, as a step of that number."""
+        spark = frames.sparkSession
+        ends = placed.join(frames.select("frame_id", "frame_timestamp"), "frame_id").groupBy("context").agg(F.max(F.struct("epoch", "frame_timestamp")).alias("_e"))
+        ends = ends.select("context", F.col("_e.frame_timestamp").alias("last"), F.col("_e.epoch").cast("long").alias("epoch"))
+        before = self.last(spark, step - 1)
+        ends.unionByName(before.join(ends, "context", "left_anti")).write.mode("overwrite").parquet(self._at("last", step))
+        new = fresh.select("context", F.col("epoch").cast("long").alias("epoch"), "h1", "h2")
+        if step % self.every == 0:
+            new = new.unionByName(self.seen(spark, step - 1))
+        open_ = self.last(spark, step).select("context", "epoch")
+        new.join(open_, ["context", "epoch"], "left_semi").write.mode("overwrite").parquet(self._at("seen", step))
 
-def lined(frames: DataFrame, context: str) -> DataFrame:
-    """(context, frame_id, ts_us, lines, hashes) of frames."""
-    kept = F.filter(F.transform(lines(F.col("extracted_text")), lambda x: F.trim(x)), lambda x: x != "")
-    rows = frames.select(F.col(context).alias("context"), "frame_id", F.unix_micros("frame_timestamp").alias("ts_us"), kept.alias("lines"))
-    return rows.withColumn("hashes", F.transform("lines", lambda x: text_hash(x)))
 
+def framed(frames: DataFrame, context: str) -> DataFrame:
+    """frames as (frame_id, context, frame_timestamp, extracted_text)."""
+    return frames.select("frame_id", F.col(context).alias("context"), "frame_timestamp", "extracted_text")
 
-def stream_line_delta(frames: DataFrame, context: str, idle: int, known: DataFrame | None = None) -> DataFrame:
-    """(frame_id, context, epoch, kept_lines, delta_text) of a stream of frames; state is keyed by context. Needs the RocksDB state store (`rocksdb`), and a
-    source with a rate limit (``maxBytesPerTrigger``): a task holds what a context adds in one micro-batch.
+
+def started_line_delta(frames: DataFrame, path: str, context: str, idle: int, known: DataFrame | None = None) -> StreamingQuery:
+    """A query over what is there of a stream of frames, which writes (frame_id, context, epoch, kept_lines, delta_text) below path/out, a folder a micro-batch.
 
     A new query may go on where another one ended: known has the frames of the open sessions up to there (`ingest.hydrated`), which become
     the state of their contexts. It counts when the query has no checkpoint yet; epochs are numbered from that of the open session, 1.
     """
-    start = None if known is None else lined(known, context).select("context", "ts_us", "hashes").groupBy("context")
-    return lined(frames, context).groupBy("context").transformWithStateInPandas(
-        statefulProcessor=LineDelta(idle * 1_000_000), outputStructType=DELTA, outputMode="Append", timeMode="None", initialState=start
-    )
+    state, spark = LineState(f"{path}/state", idle), frames.sparkSession  # a micro-batch's own session plans without adaptive execution
+
+    def write(batch: DataFrame, number: int) -> None:
+        if number == 0:  # step 0 is what was known before
+            old = spark.createDataFrame([], FRAME) if known is None else materialize(framed(known, context), "known")
+            one = old.select("frame_id", "context", F.lit(1).alias("epoch"), F.lit(0).alias("seq"))
+            state.save(0, old, one, first_lines(one, old, "context"))
+        batch.write.mode("overwrite").parquet(f"{path}/frames/batch={number}")
+        rows = spark.read.schema(FRAME).parquet(f"{path}/frames/batch={number}")
+        placed = state.placed(rows, number)
+        fresh = materialize(state.fresh(placed, rows, number), "fresh")
+        told(placed, rows, "context", fresh).withColumn("delta_text", F.coalesce("delta_text", F.lit(""))).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        state.save(number + 1, rows, placed, fresh)
+
+    return framed(frames, context).writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+
+
+def stream_line_delta(frames: DataFrame, path: str, context: str, idle: int, known: DataFrame | None = None) -> DataFrame:
+    """`started_line_delta` over what is there, and all that it and earlier runs wrote."""
+    started_line_delta(frames, path, context, idle, known).awaitTermination()
+    return frames.sparkSession.read.schema(DELTA).parquet(f"{path}/out")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
