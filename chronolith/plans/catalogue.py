@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..functions import code as cd, narratives as nv, text as tx, values as vl
 from ..operators import deletion as de, diagnostics as dg, find as fi, ingest as ig, intervals as iv, lifecycle as lc, pool as po, privacy as pr, routines as rt, search as se, sessions as ss, summaries as su
 from ..functions import trees as tr
-from ..operators.linedelta import line_delta
+from ..operators.linedelta import line_columns, line_delta
 from ..session import intermediate_dir
 from ..sources import backlog as bl, readers as rd
 from ..streaming import commits as cm, release as rl, streams as st
@@ -1182,8 +1182,8 @@ def stream_hydrated_delta(spark, d):
 def backlog_replay(spark, d):
     """All history, in pages of 300 rows, four to a run."""
     path = _folder(spark)
-    pages = bl.paged(frames(spark, d), f"{path}/pages", 300)
-    bl.replayed(spark, pages, 4, lambda stream: st.started_line_delta(stream, path, "lang", IDLE))
+    pages = bl.paged(frames(spark, d), f"{path}/pages", 300, columns=line_columns("lang"))
+    bl.replayed_in_one(spark, pages, 4, f"{path}/checkpoint", st.line_delta_of_few(path, IDLE), "size(own)")
     return spark.read.schema(st.DELTA).parquet(f"{path}/out").select("frame_id", "context", "epoch", "kept_lines", "delta_text")
 
 

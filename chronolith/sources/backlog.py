@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
+from pyspark.errors import AnalysisException
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,8 +28,8 @@ class Backlog:
     size: int
 
 
-def paged(history: DataFrame, path: str, size: int, start: str = "1970-01-01 00:00:00", end: str = "9999-12-31 23:59:59", ts: str = "frame_timestamp", frame: str = "frame_id") -> Backlog:
-    """Write the window of history below path, in the order of (ts, frame): a folder for each page, a page never over `size` rows.
+def paged(history: DataFrame, path: str, size: int, start: str = "1970-01-01 00:00:00", end: str = "9999-12-31 23:59:59", ts: str = "frame_timestamp", frame: str = "frame_id", columns: list[Column] | None = None) -> Backlog:
+    """Write the window of history below path, in the order of (ts, frame): a folder for each page, a page never over `size` rows. columns say what is written of a row: all it has, or what follows from it.
 
     Places come from slices of the order, whose counts (a row a slice) are summed up; a page is written by one task.
     """
@@ -38,7 +39,7 @@ def paged(history: DataFrame, path: str, size: int, start: str = "1970-01-01 00:
     runs = runs.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy(ts, frame)) - 1
     numbered = placed.join(F.broadcast(runs), "_part").withColumn("page", F.floor(place / size).cast("long")).drop("_part", "_before")
-    numbered.repartition("page").write.mode("overwrite").partitionBy("page").parquet(path)
+    numbered.repartition("page").select(*([*columns, "page"] if columns else ["*"])).write.mode("overwrite").partitionBy("page").parquet(path)
     return Backlog(path, start, end, placed.count(), size)
 
 
@@ -84,15 +85,19 @@ def _there(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def _numbers(spark: SparkSession, backlog: Backlog, pages: int) -> DataFrame:
+    spark.dataSource.register(BacklogSource)
+    options = {"from": backlog.start, "to": backlog.end, "rows": backlog.rows, "size": backlog.size, "pages": pages}
+    return spark.readStream.format("backlog").options(**{k: str(v) for k, v in options.items()}).load()
+
+
 def stream_pages(spark: SparkSession, backlog: Backlog, pages: int, at: int | None = None) -> DataFrame:
     """The rows of a backlog as a stream, `pages` pages a micro-batch. Only page numbers go through the driver.
 
     A page that has other than the rows it must hold makes no progress: the query fails. Spark doesn't prune folders by a stream's rows, so a micro-batch looks
     into all pages, unless `at` says how much of the backlog is taken: then the stream brings one micro-batch, and only its folders are read.
     """
-    spark.dataSource.register(BacklogSource)
-    options = {"from": backlog.start, "to": backlog.end, "rows": backlog.rows, "size": backlog.size, "pages": pages}
-    numbers = spark.readStream.format("backlog").options(**{k: str(v) for k, v in options.items()}).load()
+    numbers = _numbers(spark, backlog, pages)
     folders = [backlog.path]
     if at is not None:
         first = -(-at // backlog.size)
@@ -133,6 +138,43 @@ def replayed(spark: SparkSession, backlog: Backlog, pages: int, run: Callable[[D
     return runs
 
 
+def replayed_in_one(spark: SparkSession, backlog: Backlog, pages: int, checkpoint: str, take: Callable[[DataFrame, int, int], None], weight: str = "1") -> int:
+    """Take what is left of a backlog, `pages` pages a run, in one query whose micro-batches are the runs; how many there were. take gets the rows of a run, its number and the sum of the rows' weights.
+
+    A run begins when the one before it is in the checkpoint, and reads its own folders only. A page that isn't there, or has other than the rows it must hold, ends the
+    query before anything is taken of its run; the next replay goes on from there. Runs are planned in the query's own session, without adaptive execution: they are small.
+    """
+    schema, runs = None, 0
+
+    def run(batch: DataFrame, number: int) -> None:
+        nonlocal schema, runs
+        own = batch.sparkSession
+        own.conf.set("spark.sql.adaptive.enabled", "false")
+        wanted = {r["page"]: r["rows"] for r in batch.collect()}  # a few numbers
+        folders = {page: f"{backlog.path}/page={page}" for page in sorted(wanted)}
+        try:
+            schema = schema or own.read.option("basePath", backlog.path).parquet(folders[min(wanted)]).withColumn("page", F.col("page").cast("long")).schema
+            rows = own.read.schema(schema).option("basePath", backlog.path).parquet(*folders.values())
+        except AnalysisException as e:
+            gone = [page * backlog.size for page, folder in folders.items() if not _there(spark, folder)]
+            if not gone:
+                raise
+            raise RuntimeError(f"no progress beyond backlog offset {gone[0]}") from e
+        held = rows.coalesce(1).selectExpr(*[f"count_if(page = {page}) AS p{page}" for page in folders], f"sum({weight}) AS weight").first()
+        stuck = [page * backlog.size for page in folders if held[f"p{page}"] != wanted[page]]
+        if stuck:
+            raise RuntimeError(f"no progress beyond backlog offset {stuck[0]}")
+        take(rows.drop("page"), number, held["weight"] or 0)
+        runs += 1
+
+    query = _numbers(spark, backlog, pages).writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).start()
+    try:
+        query.processAllAvailable()  # a backlog has an end
+    finally:
+        query.stop()
+    return runs
+
+
 def window_of(checkpoint: datetime | None, now: datetime, window: int = 15, batches: int = 3) -> tuple[datetime, datetime] | None:
     """The window of a backlog; none while the checkpoint is within the minutes that a fetch reaches back (`ingest.fetch_window`). It starts at the checkpoint, but no earlier than a fetch reaches."""
     lag = None if checkpoint is None else max(0.0, (now - checkpoint).total_seconds() / 60)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.util import inheritable_thread_target
 
-from ..operators.linedelta import KEY, epochs, first_lines, told
+from ..operators.linedelta import KEY, epochs, epochs_of_few, first_lines, first_lines_of_few, told, told_of_few
 from ..session import few, materialize
 
 
@@ -23,6 +25,9 @@ SEEN, LAST = "context string, epoch long, h1 long, h2 long", "context string, la
 FRAME = "frame_id long, context string, frame_timestamp timestamp, extracted_text string"
 DELTA = "frame_id long, context string, epoch long, kept_lines long, delta_text string"
 
+#: Lines of a micro-batch that are looked for in what was seen without moving it, and files of the table of contexts after few frames.
+MATCHED, FILES = 100_000, 8
+
 
 class LineState:
     """What contexts have shown since their epochs began, as tables below a folder: when each was last seen and in which epoch, and the hashes of the lines of that epoch.
@@ -53,19 +58,54 @@ class LineState:
     def fresh(self, placed: DataFrame, texts: DataFrame, step: int) -> DataFrame:
         """(context, epoch, h1, h2, frame_id, at) of the lines of placed frames that weren't seen up to a step."""
         first = materialize(first_lines(placed, texts, "context"), "first")
-        seen, key = self.seen(placed.sparkSession, step), ["context", *KEY]
-        if few(first, 100_000):  # what was seen stays where it is
+        return self._unseen(first, few(first, MATCHED), step)
+
+    def _unseen(self, first: DataFrame, is_few: bool, step: int) -> DataFrame:
+        seen, key = self.seen(first.sparkSession, step), ["context", *KEY]
+        if is_few:  # what was seen stays where it is
             seen = seen.join(F.broadcast(first.select(*key)), key, "left_semi")
             return first.join(F.broadcast(seen), key, "left_anti")
         return first.join(seen, key, "left_anti")
 
     def save(self, step: int, frames: DataFrame, placed: DataFrame, fresh: DataFrame) -> None:
         """Make placed frames and their fresh lines state, as a step of that number."""
-        spark = frames.sparkSession
-        ends = placed.join(frames.select("frame_id", "frame_timestamp"), "frame_id").groupBy("context").agg(F.max(F.struct("epoch", "frame_timestamp")).alias("_e"))
-        ends = ends.select("context", F.col("_e.frame_timestamp").alias("last"), F.col("_e.epoch").cast("long").alias("epoch"))
+        self._save_last(step, placed.join(frames.select("frame_id", "frame_timestamp"), "frame_id"))
+        self._save_seen(step, fresh)
+
+    def take_few(self, step: int, frames: DataFrame, lines: int, out: str) -> None:
+        """Write what is told of few frames (`linedelta.line_columns`), which come after a step and have so many lines, to out, and make them state as the next step.
+
+        One task orders the frames and finds their lines, so nothing is shuffled; what was seen before is looked through by many. What follows from these lines is written side by side.
+        """
+        placed = epochs_of_few(frames.coalesce(1), "context", self.idle, self.last(frames.sparkSession, step)).persist()
+        fresh = self._unseen(first_lines_of_few(placed, "context"), lines <= MATCHED, step).persist()
+        whole, in_thread = (step + 1) % self.every == 0, inheritable_thread_target(frames.sparkSession)  # jobs are the query's, and end with it
+        try:
+            with ThreadPoolExecutor(3) as beside:
+                ends = beside.submit(in_thread(self._save_last), step + 1, placed, True)
+                shown = beside.submit(in_thread(lambda: told_of_few(placed, "context", fresh).write.mode("overwrite").parquet(out)))
+                if whole:  # the lines of epochs that have ended go, so these must be known
+                    ends.result()
+                seen = beside.submit(in_thread(self._save_seen if whole else self._add_seen), step + 1, fresh)
+                for done in (ends, shown, seen):
+                    done.result()
+        finally:
+            fresh.unpersist()
+            placed.unpersist()
+
+    def _add_seen(self, step: int, fresh: DataFrame) -> None:
+        fresh.select("context", *KEY).write.mode("overwrite").parquet(self._at("seen", step))
+
+    def _save_last(self, step: int, placed: DataFrame, is_few: bool = False) -> None:
+        spark = placed.sparkSession
+        ends = placed.groupBy("context").agg(F.expr("max(struct(epoch, frame_timestamp)) AS _e"))
+        ends = ends.selectExpr("context", "_e.frame_timestamp AS last", "CAST(_e.epoch AS LONG) AS epoch")
         before = self.last(spark, step - 1)
-        ends.unionByName(before.join(ends, "context", "left_anti")).write.mode("overwrite").parquet(self._at("last", step))
+        after = ends.unionByName(before.join(F.broadcast(ends) if is_few else ends, "context", "left_anti"))
+        (after.coalesce(FILES) if is_few else after).write.mode("overwrite").parquet(self._at("last", step))
+
+    def _save_seen(self, step: int, fresh: DataFrame) -> None:
+        spark = fresh.sparkSession
         new = fresh.select("context", F.col("epoch").cast("long").alias("epoch"), "h1", "h2")
         if step % self.every == 0:
             new = new.unionByName(self.seen(spark, step - 1))
@@ -88,9 +128,7 @@ def started_line_delta(frames: DataFrame, path: str, context: str, idle: int, kn
 
     def write(batch: DataFrame, number: int) -> None:
         if number == 0:  # step 0 is what was known before
-            old = spark.createDataFrame([], FRAME) if known is None else materialize(framed(known, context), "known")
-            one = old.select("frame_id", "context", F.lit(1).alias("epoch"), F.lit(0).alias("seq"))
-            state.save(0, old, one, first_lines(one, old, "context"))
+            begun(spark, state, None if known is None else framed(known, context))
         batch.write.mode("overwrite").parquet(f"{path}/frames/batch={number}")
         rows = spark.read.schema(FRAME).parquet(f"{path}/frames/batch={number}")
         placed = state.placed(rows, number)
@@ -101,6 +139,25 @@ def started_line_delta(frames: DataFrame, path: str, context: str, idle: int, kn
     return framed(frames, context).writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
 
 
+def begun(spark: SparkSession, state: LineState, known: DataFrame | None) -> None:
+    """Make what was known before step 0 of a state; nothing, in most cases."""
+    old = spark.createDataFrame([], FRAME) if known is None else materialize(known, "known")
+    one = old.select("frame_id", "context", F.lit(1).alias("epoch"), F.lit(0).alias("seq"))
+    state.save(0, old, one, first_lines(one, old, "context"))
+
+
+def line_delta_of_few(path: str, idle: int) -> Callable[[DataFrame, int, int], None]:
+    """What takes the stored frames of a micro-batch (`linedelta.line_columns`), few at a time, its number and how many lines they have, and writes what `started_line_delta` would below path/out."""
+    state = LineState(f"{path}/state", idle)
+
+    def take(frames: DataFrame, number: int, lines: int) -> None:
+        if number == 0:
+            begun(frames.sparkSession, state, None)
+        state.take_few(number, frames, lines, f"{path}/out/batch={number}")
+
+    return take
+
+
 def stream_line_delta(frames: DataFrame, path: str, context: str, idle: int, known: DataFrame | None = None) -> DataFrame:
     """`started_line_delta` over what is there, and all that it and earlier runs wrote."""
     started_line_delta(frames, path, context, idle, known).awaitTermination()

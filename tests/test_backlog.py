@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.operators import ingest as ig, intervals as iv, pool as po, summaries as su
+from chronolith.operators import ingest as ig, intervals as iv, linedelta as ld, pool as po, summaries as su
 from chronolith.sources import backlog as bl
 from chronolith.streaming import streams as st
 
@@ -41,6 +41,74 @@ def test_a_stuck_page_raises_and_a_mended_one_goes_on(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/q/out").select("frame_id").distinct().count() == 500
 
 
+def talk(spark, n):
+    """Frames whose lines come again, in three contexts; one is silent for long, in its frames and others' too."""
+    texts = [None if i % 11 == 0 else "\n".join(f" line {(i * k) % 23} " if k % 4 else "" for k in range(i % 7)) + ("\nline 1\nline 1" if i % 5 == 0 else "") for i in range(n)]
+    return spark.createDataFrame([(i, "abc"[i % 3] if i % 50 < 40 else "a", datetime(2024, 1, 1) + timedelta(seconds=60 * i + 4000 * (i // 60)), t) for i, t in enumerate(texts)], "frame_id long, c string, frame_timestamp timestamp, extracted_text string")
+
+
+def replay_of_few(spark, path, n, every=32, fails=()):
+    fails, state = set(fails), st.LineState(f"{path}/state", 900, every)
+    b = bl.paged(talk(spark, n), f"{path}/pages", 10, columns=ld.line_columns("c"))
+
+    def take(frames, number, lines):
+        if number == 0:
+            st.begun(spark, state, None)
+        state.take_few(number, frames, lines, f"{path}/out/batch={number}")
+        if number in fails:
+            fails.remove(number)
+            raise ValueError("after all was written")
+
+    def go():
+        return bl.replayed_in_one(spark, b, 2, f"{path}/checkpoint", take, "size(own)")
+
+    while fails:
+        with pytest.raises(Exception, match="after all was written"):
+            go()
+    return go()
+
+
+def test_a_replay_in_one_query_is_line_delta(spark, tmp_path):
+    """With steps that keep the lines of open epochs only, a run that fails once all is written, and after the end."""
+    want = {(r["frame_id"], r["c"], r["epoch"], r["kept_lines"], r["delta_text"]) for r in ld.line_delta(talk(spark, 190), "c", 900).collect()}
+    assert replay_of_few(spark, str(tmp_path), 190, 3, (2, 4)) == 6
+    got = list(map(tuple, spark.read.schema(st.DELTA).parquet(f"{tmp_path}/out").drop("batch").collect()))
+    assert len(got) == 190 and set(got) == want and len({e for _, _, e, _, _ in want}) > 2 and any(k for _, _, _, k, _ in want)
+
+
+def test_a_run_takes_few_jobs_and_as_many_tasks_whatever_the_session_shuffles_into(spark, tmp_path):
+    """A run of few rows is one micro-batch of a query that goes on, with a few jobs of a few tasks."""
+    scheduler, before = spark.sparkContext._jsc.sc().dagScheduler(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        used = []
+        for n in (40, 120):
+            at = int(scheduler.nextJobId()), int(scheduler.nextStageId())
+            replay_of_few(spark, f"{tmp_path}/{n}", n)
+            used.append((int(scheduler.nextJobId()) - at[0], int(scheduler.nextStageId()) - at[1]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert used[1][0] - used[0][0] <= 4 * 11 and not list(tmp_path.glob("*/out/*/part-00001*"))
+
+
+def test_a_page_with_other_rows_or_none_ends_a_replay_in_one_query(spark, tmp_path):
+    b = bl.paged(history(spark, 50).drop("page"), f"{tmp_path}/pages", 20)
+    took = []
+    take = lambda rows, number, n: (took.append((number, n)), rows.write.mode("overwrite").parquet(f"{tmp_path}/out/{number}"))
+    go = lambda: bl.replayed_in_one(spark, b, 1, f"{tmp_path}/checkpoint", take)
+    shutil.move(f"{b.path}/page=1", f"{tmp_path}/aside")
+    with pytest.raises(Exception, match="no progress beyond backlog offset 20"):
+        go()
+    shutil.copytree(f"{b.path}/page=2", f"{b.path}/page=1")
+    with pytest.raises(Exception, match="no progress beyond backlog offset 20"):
+        go()
+    assert took == [(0, 20)]
+    shutil.rmtree(f"{b.path}/page=1")
+    shutil.move(f"{tmp_path}/aside", f"{b.path}/page=1")
+    assert go() == 2 and took == [(0, 20), (1, 20), (2, 10)] and go() == 0
+    assert spark.read.parquet(*[f"{tmp_path}/out/{n}" for n in range(3)]).select("frame_id").distinct().count() == 50
+
+
 def test_an_empty_window_has_no_pages(spark, tmp_path):
     reader = bl.BacklogReader({"from": "a", "to": "b", "rows": "0", "size": "10", "pages": "3"})
     pages, end = reader.read(reader.initialOffset())
