@@ -138,6 +138,10 @@ def replayed(spark: SparkSession, backlog: Backlog, pages: int, run: Callable[[D
     return runs
 
 
+#: Up to this sum of its rows' weights, what a run shuffles goes to one task.
+LIGHT = 100_000
+
+
 def replayed_in_one(spark: SparkSession, backlog: Backlog, pages: int, checkpoint: str, take: Callable[[DataFrame, int, int], None], weight: str = "1") -> int:
     """Take what is left of a backlog, `pages` pages a run, in one query whose micro-batches are the runs; how many there were. take gets the rows of a run, its number and the sum of the rows' weights.
 
@@ -164,6 +168,7 @@ def replayed_in_one(spark: SparkSession, backlog: Backlog, pages: int, checkpoin
         stuck = [page * backlog.size for page in folders if held[f"p{page}"] != wanted[page]]
         if stuck:
             raise RuntimeError(f"no progress beyond backlog offset {stuck[0]}")
+        own.conf.set("spark.sql.shuffle.partitions", "1" if (held["weight"] or 0) <= LIGHT else spark.conf.get("spark.sql.shuffle.partitions"))
         take(rows.drop("page"), number, held["weight"] or 0)
         runs += 1
 
